@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import new_path, table
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .archives import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"), new_path(spark, "warc")).drop("record_id")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +35,24 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best
+  FROM pages
+), bits AS (
+  SELECT *, list_aggregate(list_transform(range(0, 40), lambda i: format('{:04b}', instr('0123456789abcdef', substr(hex, CAST(i AS INTEGER) + 1, 1)) - 1)), 'string_agg', '') AS b
+  FROM p
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(list_transform(range(0, 5), lambda j: (ascii(substr(b, CAST(5 * i + j AS INTEGER) + 1, 1)) - 48) * CAST(pow(2, 4 - j) AS BIGINT))) AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to,
+       CASE WHEN url IS NULL OR url = '' THEN 'http://page.invalid/' || page_id ELSE regexp_replace(url, '\\s', '%20', 'g') END AS target_uri,
+       '2024-01-01T00:00:00Z' AS warc_date
+FROM bits
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -43,8 +73,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_packing, op9_topk_search)}
+    return {f.__name__: f for f in (op1_main_text, op4_warc, op5_packing, op9_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk_search": OP9_SQL}
+    return {"op4_warc": OP4_SQL, "op9_topk_search": OP9_SQL}
