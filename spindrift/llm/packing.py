@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ RANK_PARTS = 256
 #: Slots of one plan row are listed in runs of at most this many.
 SLOT_RUN = 1 << 16
 #: A worker forgets its cached word pieces beyond so many.
-CACHED = 1_500_000
+CACHED = 600_000
 
 
 class Tokens:
@@ -50,7 +51,7 @@ class Tokens:
         self.tokenizer.encode_special_tokens = True
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.special = regex.compile(r"\s{3}")
-        self.cached: dict[str, np.ndarray] = {}
+        self.cached: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Tokens":
@@ -61,15 +62,17 @@ class Tokens:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def pieces_of(self, cuts: list[str]) -> list[np.ndarray]:
-        """Ids of each cut; what is not cached is split into words and encoded in one batch."""
+    def pieces_of(self, cuts: list[str]) -> list[bytes]:
+        """Ids of each cut, four bytes each; what is not cached is split into words and encoded in one batch."""
         if len(self.cached) > CACHED:
             self.cached.clear()
         split = [self.words.findall(x) for x in cuts]
         new = list({w for words in split for w in words if w not in self.cached})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-            self.cached[w] = np.array(e.ids, "<u4")
-        return [self.cached[w[0]] if len(w) == 1 else np.concatenate([self.cached[x] for x in w]) if w else np.zeros(0, "<u4") for w in split]
+        for i in range(0, len(new), 20_000):
+            for w, e in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False), strict=True):
+                self.cached[w] = array("I", e.ids).tobytes()
+        get = self.cached.__getitem__
+        return [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in split]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in sequence, and for each text the index of its first (one more than texts)."""
@@ -88,8 +91,8 @@ class Tokens:
         parts = pc.if_else(pa.array(head), parts, pc.binary_join_element_wise(pa.scalar("", parts.type), parts, pa.scalar(" ", parts.type)))
         coded = parts.dictionary_encode()
         ids = self.pieces_of(coded.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in ids], np.int64)
-        pool, first = np.concatenate([*ids, np.zeros(0, "<u4")]), np.concatenate([[0], np.cumsum(lengths)])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
         at = np.asarray(coded.indices)
         n = lengths[at]
         ends = np.cumsum(n)
@@ -110,7 +113,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens.of(tokenizer_path)
         for whole in batches:
-            for batch in pieces(whole, "text", 8 << 20):
+            for batch in pieces(whole, "text", 4 << 20):
                 flat, bounds = tokens.batch(pc.fill_null(batch.column(1), "").cast(pa.large_string()))
                 out = []
                 for key, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
