@@ -28,6 +28,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify, fit
+
+    documents = table(spark, sf_dir, "documents")
+    return classify(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+
+    documents = table(spark, sf_dir, "documents")
+    return identify(documents, fit(documents))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_search import top_k
 
@@ -73,7 +87,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op4_warc, op5_packing, op9_topk_search)}
+    return {f.__name__: f for f in (op1_main_text, op4_warc, op5_packing, op7_quality, op8_language, op9_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
