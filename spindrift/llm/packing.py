@@ -29,7 +29,7 @@ RANK_PARTS = 256
 #: Slots of one plan row are listed in runs of at most this many.
 SLOT_RUN = 1 << 16
 #: A worker forgets its cached word pieces beyond so many.
-CACHED = 600_000
+CACHED = 1_000_000
 
 
 class Tokens:
@@ -66,13 +66,16 @@ class Tokens:
         """Ids of each cut, four bytes each; what is not cached is split into words and encoded in one batch."""
         if len(self.cached) > CACHED:
             self.cached.clear()
-        split = [self.words.findall(x) for x in cuts]
+        out = list(map(self.cached.get, cuts))  # most cuts are one word
+        rest = [i for i, x in enumerate(out) if x is None]
+        split = [self.words.findall(cuts[i]) for i in rest]
         new = list({w for words in split for w in words if w not in self.cached})
         for i in range(0, len(new), 20_000):
             for w, e in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False), strict=True):
                 self.cached[w] = array("I", e.ids).tobytes()
-        get = self.cached.__getitem__
-        return [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in split]
+        for i, w in zip(rest, split, strict=True):
+            out[i] = b"".join(map(self.cached.__getitem__, w))
+        return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in sequence, and for each text the index of its first (one more than texts)."""
