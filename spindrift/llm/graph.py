@@ -1,0 +1,34 @@
+"""Connected components of a link table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .tables import written
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges (u, v), u > v."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    down = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable) for every node of ``links`` (a, b).
+
+    Each round is written to the shared folder. A node with very many neighbours is only
+    aggregated with partial sums and joined, so Spark can split it. Rounds grow with the
+    logarithm of the longest chain.
+    """
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges, before = written(edges, "links"), None
+    while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        if state == before or not state[0]:
+            break
+        before, edges = state, written(_stars(edges), "links")
+    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
