@@ -67,6 +67,12 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passage_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -129,7 +135,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_near_dedup, op3_decontamination, op4_warc, op5_packing, op6_licenses, op7_quality, op8_language, op9_topk_search)}
+    return {f.__name__: f for f in (op1_main_text, op2_near_dedup, op3_decontamination, op4_warc, op5_packing, op6_licenses, op7_quality, op8_language, op9_topk_search, op10_passage_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
