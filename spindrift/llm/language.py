@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrays import pieces
 from .quality import held_out
+from .tables import small_side, written
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -157,8 +158,10 @@ def fit(documents: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE,
     reach the driver, the most frequent first (ties by key).
     """
     usable = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    ids = usable.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang")).withColumn("r", rank).where(F.col("r") <= sample_per_language).select(F.col("id").alias("__id")).distinct()
+    ids = usable.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"))
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # in parts first: one language may have most rows
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where(F.col("r") <= sample_per_language)
+    ids = small_side(written(ids.select(F.col("id").alias("__id")).distinct(), "sample"))
     sample = usable.join(ids, usable[id_col] == ids["__id"], "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
