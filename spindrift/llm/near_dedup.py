@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrays import BYTE_VALUES, LOWER, SPACE, RangeHash, flat, int64, mix, pieces, word_bounds
 from .graph import components
-from .tables import written
+from .tables import small_side, written
 
 SHINGLE = 5
 #: Similarity at least NUMERATOR / 100.
@@ -36,8 +36,6 @@ K = 48
 SHARED = 18
 #: Lists up to this length are compared pair by pair, longer ones by the exact second pass.
 SHORT_LIST = 24
-#: A table of ids up to this many rows (16 bytes each) is broadcast, a larger one shuffled.
-BROADCAST_ROWS = 2_000_000
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +154,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """rep, set (ascending 64-bit values) of the wanted documents."""
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = small_side(wanted)
     texts = documents.join(wanted, documents["doc_id"] == wanted["rep"]).select("rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,3 +165,16 @@ def classify(documents: DataFrame, model: Neighbours, *, threshold: float = 0.7,
 
     source = documents.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def keep_good(documents: DataFrame, model: Neighbours, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The documents whose score reaches ``threshold``, with all their columns."""
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, text_col):
+                yield batch.filter(pa.array(shipped.value.score(term_counts(*flat(batch.column(at)))) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

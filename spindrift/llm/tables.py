@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A table of ids up to this many rows (16 bytes each) is broadcast, a larger one shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """``ids`` marked for broadcast where its counted rows are few; unchanged beyond that."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not among ``ids``; rows with a null key stay."""
+    return df.join(small_side(written(ids.where(F.col(key).isNotNull()).distinct(), "ids")), key, "left_anti").select(*df.columns)
