@@ -114,7 +114,9 @@ def json_object(text: Column) -> Column:
     stripped = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
 
     def parsed(c: Column) -> Column:
-        return F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.trim(c))
+        # inside brackets, as Spark's parser alone passes over what follows a value
+        alone = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")) == 1
+        return F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT") & alone, F.trim(c))
 
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
     # suffixes from each opening brace, the latest first
