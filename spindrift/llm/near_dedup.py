@@ -81,35 +81,62 @@ def sketches(documents: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame
 
 
 def _prefix(values: DataFrame, length: F.Column, total: F.Column) -> DataFrame:
-    """value, rep, n: each class under its rarest values, ``length`` of ``total`` if all were
-    shared; values that no other class has come first and need no list."""
+    """value, rep, n, u: each class under its rarest values, ``length`` of ``total`` if all were
+    shared; values that no other class has come first and need no list. ``u`` counts
+    such values: the fewer of its n, the more central the class."""
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     per = values.join(shared, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("s"))
     take = length - (total - F.size("s"))
-    return per.where(take > 0).select("rep", "n", F.explode(F.slice("s", 1, take)).alias("x")).select(F.col("x.value").alias("value"), "rep", "n")
+    alone = (total - F.size("s")).cast("long")
+    return per.where(take > 0).select("rep", "n", alone.alias("u"), F.explode(F.slice("s", 1, take)).alias("x")).select(F.col("x.value").alias("value"), "rep", "n", "u")
 
 
 def _close(n_a: F.Column, n_b: F.Column) -> F.Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * NUMERATOR
 
 
-def _star_pairs(lists: DataFrame, pick) -> DataFrame:
-    """Pairs of every class of a list with one of them."""
-    centre = lists.groupBy("value").agg(pick(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("value", F.col("c.rep").alias("b"), F.col("c.n").alias("n_b"))
-    return lists.join(centre, "value").where((F.col("rep") != F.col("b")) & _close(F.col("n"), F.col("n_b"))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+def _centres(lists: DataFrame) -> DataFrame:
+    """value, b, n_b: the most central class of each list."""
+    centre = lists.groupBy("value").agg(F.min(F.struct(F.round(F.col("u") / F.col("n"), 3), "rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    return centre.select("value", F.col("c.rep").alias("b"), F.col("c.n").alias("n_b"))
+
+
+def _star_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of the classes of each list with its most central one."""
+    return lists.join(_centres(lists), "value").where((F.col("rep") != F.col("b")) & _close(F.col("n"), F.col("n_b"))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
 def _open_lists(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Lists with classes of several components: value, rep, n, comp, size."""
-    marked = lists.join(nodes, lists["rep"] == nodes["node"], "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    """Lists with classes of several components: value, rep, n, u, comp, size."""
+    marked = lists.drop("comp").join(nodes, lists["rep"] == nodes["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
     several = marked.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("value", "size")
     return marked.join(several, "value")
 
 
-def _all_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of classes of different components within each list."""
-    other = lists.select("value", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    return lists.join(other, "value").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _close(F.col("n"), F.col("n_b"))).select(F.col("rep").alias("a"), "b").distinct()
+def _placed(lists: DataFrame, measured: DataFrame) -> DataFrame:
+    """Lists with each class's place relative to the list's centre: size (of the centre),
+    missing (of the centre's values), extra (others that some class shares); null if unknown."""
+    near = measured.select(F.col("a").alias("r"), F.col("b").alias("c"), "shared").unionByName(measured.select(F.col("b").alias("r"), F.col("a").alias("c"), "shared"))
+    at = lists.join(_centres(lists).withColumnsRenamed({"b": "centre", "n_b": "size_c"}), "value", "left").join(near, (F.col("rep") == F.col("r")) & (F.col("centre") == F.col("c")), "left")
+    shared = F.when(F.col("rep") == F.col("centre"), F.col("n")).otherwise(F.col("shared"))
+    return at.select("value", "rep", "n", "u", "size_c", (F.col("size_c") - shared).alias("missing"), F.greatest(F.lit(0), F.col("n") - shared - F.col("u")).alias("extra"))
+
+
+def _all_pairs(lists: DataFrame, exact: bool = False) -> DataFrame:
+    """Pairs of classes of different components within each list.
+
+    With ``exact`` counts, pairs are left out that can't share enough: values that no other
+    class has aren't shared, nor are those of the list's centre that either class misses.
+    """
+    names = ("rep", "n", "u", "comp") + (("missing", "extra") if exact else ())
+    other = lists.select("value", *[F.col(c).alias(f"{c}_b") for c in names])
+    can = _close(F.col("n"), F.col("n_b"))
+    if exact:
+        most = F.least(F.col("n") - F.col("u"), F.col("n_b") - F.col("u_b"))
+        by_centre = F.col("size_c") - F.greatest("missing", "missing_b") + F.least("extra", "extra_b")
+        by_centre = F.when(F.col("missing").isNotNull() & F.col("missing_b").isNotNull(), by_centre).otherwise(most)
+        can = can & (F.least(most, by_centre) * (100 + NUMERATOR) >= (F.col("n") + F.col("n_b")) * NUMERATOR)
+    return lists.join(other, "value").where((F.col("rep") < F.col("rep_b")) & (F.col("comp") != F.col("comp_b")) & can).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -134,22 +161,26 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that whole sets confirm."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, shared for pairs, from whole sets."""
     both = pairs.join(sets.withColumnsRenamed({"rep": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "set": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            out = np.zeros((batch.num_rows, 3), np.int64)
             for i in range(batch.num_rows):
                 p, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                out[i, :2] = len(p), len(q)
                 p, q = (p, q) if len(p) <= len(q) else (q, p)
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                shared = int(np.count_nonzero(q[at] == p))
-                keep[i] = 100 * shared >= NUMERATOR * (len(p) + len(q) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+                out[i, 2] = np.count_nonzero(q[at] == p)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(out[:, c])) for c in range(3)]], ["a", "b", "n_a", "n_b", "shared"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long, shared long")
+
+
+def _linked(measured: DataFrame) -> DataFrame:
+    return measured.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * NUMERATOR).select("a", "b")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -201,21 +232,22 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     lists = written(_prefix(values, total - needed + 1, total), "lists")
     sets = _sets(docs, lists.select("rep").distinct(), size)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(_verified(written(_estimated(pairs, classes, k), "pairs"), sets), "links")
+    def measured(pairs: DataFrame) -> DataFrame:
+        return written(_measured(written(pairs, "pairs"), sets), "measured")
 
-    links = confirmed(_star_pairs(lists, F.min))
+    links = _linked(measured(_estimated(_star_pairs(lists), classes, k)))
     nodes = written(components(links), "nodes")
     left = written(_open_lists(lists, nodes), "open")
-    links = links.unionByName(confirmed(_all_pairs(left.where(F.col("size") <= SHORT_LIST))))
+    links = links.unionByName(_linked(measured(_estimated(_all_pairs(left.where(F.col("size") <= SHORT_LIST)), classes, k))))
     long = left.where(F.col("size") > SHORT_LIST).select("rep").distinct()
     if not long.isEmpty():
         exact = _prefix(_set_values(sets.join(long, "rep", "left_semi")), F.col("n").cast("int") - F.ceil(F.col("n") * NUMERATOR / 100).cast("int") + 1, F.col("n").cast("int"))
         exact = written(exact, "lists")
-        for pick in (F.min, F.max):
-            links = links.unionByName(confirmed(_star_pairs(exact, pick)))
+        star = measured(_star_pairs(exact))
+        links = links.unionByName(_linked(star))
         nodes = written(components(links), "nodes")
-        links = links.unionByName(confirmed(_all_pairs(_open_lists(exact, nodes))))
+        rest = written(_open_lists(_placed(exact, star), nodes), "open")
+        links = links.unionByName(_linked(measured(_estimated(_all_pairs(rest, exact=True), classes, k))))
     nodes = written(components(links), "nodes")
     of_class = classes.join(nodes, classes["rep"] == nodes["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
