@@ -39,9 +39,9 @@ KMER = 32
 #: Bytes of text for which one bucket is planned; the number of buckets grows with the input.
 BUCKET_BYTES = 8 << 20
 #: Within a task, repeats are dropped among so many bytes of text.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Longer texts are read in overlapping segments of this size.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _RECORD = ("key", "bytes", "doc", "at", "lo", "n")
