@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 #: An odd multiplier has an inverse modulo 2**64, which makes hashes of any range two look-ups.
 _BASE = 0x9E3779B97F4A7C15
@@ -23,7 +23,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, kept between calls."""
     if len(_powers[0]) < n:
-        size = max(n, min(2 * len(_powers[0]), 4 << 20))
+        size = (n + (1 << 18) - 1 >> 18) << 18
         for i, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, np.uint64(base), np.uint64)
             steps[0] = 1

@@ -9,8 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of text that a Python worker gets at once; long texts make rows large.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of an input folder, through Spark's own reader."""
+    """The parquet table ``name`` of an input folder, through Spark's own reader.
+
+    Also bounds the session's Arrow batches, which otherwise hold up to 10,000 texts in the
+    executor and in the worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
