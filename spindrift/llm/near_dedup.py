@@ -128,7 +128,10 @@ def _all_pairs(lists: DataFrame, exact: bool = False) -> DataFrame:
     With ``exact`` counts, pairs are left out that can't share enough: values that no other
     class has aren't shared, nor are those of the list's centre that either class misses.
     """
-    names = ("rep", "n", "u", "comp") + (("missing", "extra") if exact else ())
+    names = ("rep", "n", "u", "comp", "all") + (("missing", "extra") if exact else ())
+    # a pair that meets in several lists is made in the one with the smallest value
+    lists = lists.join(lists.groupBy("rep").agg(F.collect_set("value").alias("all")), "rep")
+    first = F.array_min(F.array_intersect("all", "all_b")) == F.col("value")
     other = lists.select("value", *[F.col(c).alias(f"{c}_b") for c in names])
     can = _close(F.col("n"), F.col("n_b"))
     if exact:
@@ -136,7 +139,7 @@ def _all_pairs(lists: DataFrame, exact: bool = False) -> DataFrame:
         by_centre = F.col("size_c") - F.greatest("missing", "missing_b") + F.least("extra", "extra_b")
         by_centre = F.when(F.col("missing").isNotNull() & F.col("missing_b").isNotNull(), by_centre).otherwise(most)
         can = can & (F.least(most, by_centre) * (100 + NUMERATOR) >= (F.col("n") + F.col("n_b")) * NUMERATOR)
-    return lists.join(other, "value").where((F.col("rep") < F.col("rep_b")) & (F.col("comp") != F.col("comp_b")) & can).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
+    return lists.join(other, "value").where((F.col("rep") < F.col("rep_b")) & (F.col("comp") != F.col("comp_b")) & can & first).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
