@@ -44,8 +44,9 @@ BLOCK_BYTES = 16 << 20
 SEGMENT_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
-_RECORD = ("key", "bytes", "doc", "at", "lo", "n")
-_TYPES = {"key": np.uint64, "bytes": np.uint64, "doc": np.int64, "at": np.int64, "lo": np.int64, "n": np.int32}
+#: A record as it is shuffled. A text is shorter than 2**31 bytes, a run than 2**16 strings.
+_TYPES = {"key": np.uint64, "bytes": np.uint64, "doc": np.int64, "lo": np.int32, "n": np.uint16}
+_RECORD = tuple(_TYPES)
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -66,7 +67,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, base: in
     For a segment of one text, ``base`` is its place there and starts outside [first, last)
     of the buffer are left to the neighbouring segments.
     """
-    empty = {k: np.zeros(0, t) for k, t in _TYPES.items()}
+    empty = {k: np.zeros(0, np.uint64 if t is np.uint64 else np.int64) for k, t in _TYPES.items()}
     if len(data) < length:
         return empty
     words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
@@ -99,7 +100,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, base: in
     hashes = RangeHash(BYTE_VALUES[data])
     shape = (at - a) * 1024 + (b - at)
     begin = offsets[doc] - base
-    return {"key": h[at], "bytes": mix(hashes.of(a, b) + shape.astype(np.uint64)), "doc": ids[doc], "at": at - begin, "lo": lo - begin, "n": n}
+    return {"key": h[at], "bytes": mix(hashes.of(a, b) + shape.astype(np.uint64)), "doc": ids[doc], "lo": lo - begin, "n": n}
 
 
 def _first_of(r: dict[str, np.ndarray], *by: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -121,23 +122,39 @@ _PACKED_DDL = "bucket int, kind int, " + ", ".join(f"{k} binary" for k in _RECOR
 RECORDS, REPEATS, CLOSER = 0, 1, 2
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """An array's bytes, all first ones, then all second ones and so on: ascending small
+    numbers then compress well in the shuffle."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, t: type) -> np.ndarray:
+    size = np.dtype(t).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(t).ravel()
+
+
 def _packed(r: dict[str, np.ndarray], bucket: np.ndarray, kind: int) -> list[dict]:
     """One row for each bucket, its records as arrays."""
     if not len(bucket):
         return []
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((r["lo"], r["doc"], bucket))
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     out = []
     for part in np.split(order, cuts):
         row = {"bucket": int(bucket[part[0]]), "kind": kind}
-        row |= {k: r[k][part].astype(t).tobytes() if k in r else b"" for k, t in _TYPES.items()}
+        row |= {k: _planes(r[k][part].astype(t)) if k in r else b"" for k, t in _TYPES.items()}
         out.append(row)
     return out
 
 
 def _unpacked(t: pa.Table, kind: int) -> dict[str, np.ndarray]:
     rows = t.filter(pa.compute.equal(t["kind"], kind))
-    return {k: np.frombuffer(b"".join(rows[k].to_pylist()), d) for k, d in _TYPES.items()}
+    out = {}
+    for k, t in _TYPES.items():
+        parts = [_from_planes(x, t) for x in rows[k].to_pylist()]
+        a = np.concatenate(parts) if parts else np.zeros(0, t)
+        out[k] = a if t is np.uint64 else a.astype(np.int64)
+    return out
 
 
 def _table(rows: list[dict]) -> pa.Table:
