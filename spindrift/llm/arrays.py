@@ -6,7 +6,9 @@ byte is done by numpy, not by a Python loop.  Null texts are empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,24 @@ class RangeHash:
         return mix(h)
 
 
+def tidied(run: Callable) -> Callable:
+    """A map function over batches that gives its freed memory back when its task ends; a
+    worker lives on for later tasks, beside those of other stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def as_binary(column: pa.Array) -> pa.Array:
     """A string or binary column as binary with no nulls."""
     if pa.types.is_null(column.type):

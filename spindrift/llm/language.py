@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import pieces
+from .arrays import pieces, tidied
 from .quality import held_out
 from .tables import small_side, written
 
@@ -172,7 +172,7 @@ def fit(documents: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE,
                     keys, counts = np.unique(characters([t for x, t in zip(langs, texts, strict=True) if x == lang])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
-    grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     kept = grams.withColumn("r", F.row_number().over(top)).where(F.col("r") <= GRAMS_PER_LANGUAGE).select("lang", "gram", "n").toArrow().to_pandas()
     languages = sorted(kept["lang"].unique())
@@ -195,7 +195,7 @@ def _scored(source: DataFrame, id_type: str, model: Model) -> DataFrame:
                 names, score, entropy, rejected = shipped.value.score(_texts(batch, 2))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "entropy", "rejected"])
 
-    return source.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, entropy double, rejected boolean")
+    return source.mapInArrow(tidied(run), f"doc_id {id_type}, held_out boolean, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def identify(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, LOWER, SPACE, RangeHash, flat, int64, mix, pieces, word_bounds
+from .arrays import BYTE_VALUES, LOWER, SPACE, RangeHash, flat, int64, mix, pieces, tidied, word_bounds
 from .graph import components
 from .tables import small_side, written
 
@@ -77,7 +77,7 @@ def sketches(documents: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame
                 f1, f2 = (t[offsets[1:]] - t[offsets[:-1]] for t in total)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), int64(f1), int64(f2), _lists(h, offsets, k)], ["doc_id", "n", "f1", "f2", "sketch"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>")
+    return documents.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n long, f1 long, f2 long, sketch array<long>")
 
 
 def _prefix(values: DataFrame, length: F.Column, total: F.Column) -> DataFrame:
@@ -161,7 +161,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
                 keep[i] = np.count_nonzero(both[1:][twice] <= edge) >= least * min(k, len(union))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 out[i, 2] = np.count_nonzero(q[at] == p)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(out[:, c])) for c in range(3)]], ["a", "b", "n_a", "n_b", "shared"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long, shared long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long, n_a long, n_b long, shared long")
 
 
 def _linked(measured: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 h, offsets = shingle_sets(batch.column(1), size)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["rep", "set"])
 
-    return written(texts.mapInArrow(run, "rep long, set binary"), "sets")
+    return written(texts.mapInArrow(tidied(run), "rep long, set binary"), "sets")
 
 
 def _set_values(sets: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _set_values(sets: DataFrame) -> DataFrame:
                 values = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in blobs])
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(reps, n)), pa.array(np.repeat(n, n))], ["value", "rep", "n"])
 
-    return sets.mapInArrow(run, "value long, rep long, n long").distinct()
+    return sets.mapInArrow(tidied(run), "value long, rep long, n long").distinct()
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, k: int = K) -> DataFrame:

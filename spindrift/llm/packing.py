@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import pieces
+from .arrays import pieces, tidied
 from .tables import written
 
 CAPACITY = 2048
@@ -127,7 +127,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(tidied(run), f"doc_id {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import BYTE_VALUES, RangeHash, flat, mix, pieces
+from .arrays import BYTE_VALUES, RangeHash, flat, mix, pieces, tidied
 from .tables import written
 
 LENGTH = 100
@@ -258,7 +258,7 @@ def find_repeats(documents: DataFrame, keyed: DataFrame, groups: int, length: in
         return _table(_by_document(r, later, groups, REPEATS))
 
     plain = documents.select("doc_id", "text")
-    found = written(plain.mapInArrow(anchors, _PACKED_DDL).groupBy("bucket").applyInArrow(meet, _PACKED_DDL), "repeats")
+    found = written(plain.mapInArrow(tidied(anchors), _PACKED_DDL).groupBy("bucket").applyInArrow(meet, _PACKED_DDL), "repeats")
     closer = found.where(F.col("kind") == CLOSER).groupBy("bucket")
     single = keyed.groupBy("bucket").cogroup(closer).applyInArrow(strings, _PACKED_DDL).groupBy("bucket").applyInArrow(meet_strings, _PACKED_DDL)
     return found.where(F.col("kind") == REPEATS).unionByName(single)

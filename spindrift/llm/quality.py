@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, LOWER, SPACE, RangeHash, flat, mix, pieces, word_bounds
+from .arrays import BYTE_VALUES, LOWER, SPACE, RangeHash, flat, mix, pieces, tidied, word_bounds
 
 #: The labelled sample: at most so many rows of each label, those with the smallest hash of their id.
 SAMPLE_PER_LABEL = 3000
@@ -112,11 +112,11 @@ class Neighbours:
             return np.ones(len(terms))
         out = np.empty(len(terms))
         k = min(self.k, len(self.labels))
-        for i in range(0, len(terms), 512):
-            sims = _unit((terms[i : i + 512] - self.mean) @ self.projection) @ self.vectors.T
+        for i in range(0, len(terms), 256):
+            sims = _unit((terms[i : i + 256] - self.mean) @ self.projection) @ self.vectors.T
             near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             votes = np.maximum(np.take_along_axis(sims, near, 1), 1e-6) ** 4 * self.weights[self.labels[near]]
-            out[i : i + 512] = (votes * self.labels[near]).sum(1) / votes.sum(1)
+            out[i : i + 256] = (votes * self.labels[near]).sum(1) / votes.sum(1)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -139,7 +139,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample_per_label: int = SAMP
                 terms = term_counts(*flat(batch.column(2)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([x.tobytes() for x in terms], pa.binary())], ["id", "label", "terms"])
 
-    rows = sorted(texts.mapInArrow(run, "id string, label int, terms binary").collect(), key=lambda r: (r["label"], r["id"], bytes(r["terms"])))
+    rows = sorted(texts.mapInArrow(tidied(run), "id string, label int, terms binary").collect(), key=lambda r: (r["label"], r["id"], bytes(r["terms"])))
     rows = rows[: 4 * sample_per_label]  # repeated ids
     terms = np.array([np.frombuffer(r["terms"], np.float32) for r in rows], np.float32).reshape(len(rows), TERMS)
     y = np.array([r["label"] for r in rows], np.int64)
@@ -164,7 +164,7 @@ def classify(documents: DataFrame, model: Neighbours, *, threshold: float = 0.7,
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     source = documents.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(tidied(run), f"doc_id {source.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(documents: DataFrame, model: Neighbours, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -177,4 +177,4 @@ def keep_good(documents: DataFrame, model: Neighbours, *, threshold: float = 0.7
             for batch in pieces(whole, text_col):
                 yield batch.filter(pa.array(shipped.value.score(term_counts(*flat(batch.column(at)))) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidied(run), documents.schema)
