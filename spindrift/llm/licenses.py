@@ -1,9 +1,9 @@
 """License detection by ordered signature rules, with DataFrame operations only.
 
 A rule is a regular expression over a text's lower-case words (joined by single blanks),
-a keyword without which it cannot match, a label, a priority and a confidence.  Only
-texts that hold one of a few marks are looked at; of their words, those that are some
-rule's keyword pick the rules to try.  A detection inside another one of the same or a
+keywords of which each match holds one, a label, a priority and a confidence.  Only texts
+with a word that some rule's match must hold are looked at (see ``gate_words``); of their
+words, those that are some rule's keyword pick the rules to try.  A detection inside another one of the same or a
 higher priority is suppressed; base rules are reported whatever suppresses them.
 """
 
@@ -16,13 +16,10 @@ from .words import ascii_lower, n_words, text_key, words
 
 #: phrase, label, keyword: the places that are counted as such.
 BASE = (("mit license", "mit", "mit"), ("apache license", "apache", "apache"), ("general public license", "gpl", "general"))
-#: One of these stands in every text that any rule can match (letters of any case).
-MARKS = ("licen", "copyright", "spdx", "public domain", "copyleft", "gpl", "creative commons", "cc by", "cc-by", "cc0", "all rights reserved", "unlicense", "warranty", "redistribution")
-
-#: family label, keyword, pattern of the name, versions (a blank stands for the dot).
+#: family label, keywords, pattern of the name, versions (a blank stands for the dot).
 FAMILIES = (
     ("Apache", "apache", r"apache(?: software)?(?: foundation)?", ("1 0", "1 1", "2 0")),
-    ("MIT", "mit", r"(?:mit|expat|x11)", ()),
+    ("MIT", "mit expat x11", r"(?:mit|expat|x11)", ()),
     ("GPL", "general", r"(?:gnu )?general public", ("1 0", "2 0", "3 0", "1", "2", "3")),
     ("LGPL", "lesser", r"(?:gnu )?lesser general public", ("2 1", "3 0", "3")),
     ("LGPL", "library", r"(?:gnu )?library general public", ("2 0", "2")),
@@ -77,28 +74,30 @@ FAMILIES = (
     ("ECL", "educational", r"educational community", ("1 0", "2 0")),
 )
 CREATIVE = (("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc", "attribution non ?commercial"), ("by nd", "attribution no ?deriv(?:ative)?s"), ("by sa", "attribution share ?alike"), ("by", "attribution"))
-#: label, keyword, pattern, priority, confidence.
+#: label, keywords, pattern, priority, confidence.
 PHRASES = (
     ("copyright-notice", "copyright", r"copyright(?: c)? (?:19|20)\d\d", 1, 0.5),
     ("all-rights-reserved", "reserved", r"all rights reserved", 1, 0.5),
     ("public-domain", "domain", r"(?:released |placed |dedicated )?(?:in|into|to) the public domain", 2, 0.8),
     ("public-domain", "domain", r"public domain", 1, 0.5),
     ("CC0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 3, 0.9),
-    ("CC0-1.0", "universal", r"creative commons zero(?: v?1 0)?(?: universal)?", 3, 0.9),
+    ("CC0-1.0", "commons", r"creative commons zero(?: v?1 0)?(?: universal)?", 3, 0.9),
     ("copyleft", "copyleft", r"copyleft", 1, 0.4),
-    ("MIT", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
+    ("MIT", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
     ("ISC", "permission", r"permission to use copy modify and(?: or)? distribute this software for any purpose", 3, 1.0),
     ("BSD", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 3, 1.0),
     ("Zlib", "warranty", r"this software is provided as is without any express or implied warranty", 2, 0.8),
     ("GPL", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public", 3, 1.0),
-    ("no-warranty", "warranty", r"without (?:any )?warrant(?:y|ies)", 1, 0.3),
+    ("no-warranty", "warranty warranties", r"without (?:any )?warrant(?:y|ies)", 1, 0.3),
     ("proprietary", "proprietary", r"proprietary(?: and confidential)?(?: license)?", 1, 0.4),
 )
 _LICENSE = r"(?:public )?licen[cs]e"
+#: One of these is in each match of a rule whose pattern holds the word license.
+_LICENSE_WORDS = ("license", "licence")
 
 
 def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
-    """All rules in order: number, label, keyword, pattern, priority, confidence, base.
+    """All rules in order: number, label, keywords, pattern, priority, confidence, base.
 
     Each family gives its name with the word license, the same after a granting verb, an
     SPDX tag, and each of these again with each version.
@@ -129,19 +128,33 @@ def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
     return [(i, *x) for i, x in enumerate(dict.fromkeys(out))]
 
 
+def gate_words() -> list[str]:
+    """Words of which every match of every rule holds one: the word license where the
+    rule's pattern has it in any case, and the rule's keywords elsewhere."""
+    out: set[str] = set()
+    for _, _, keys, pattern, _, _, base in rules():
+        out.update(_LICENSE_WORDS if base or keys == "spdx" or f" {_LICENSE}" in pattern else keys.split())
+    return sorted(out)
+
+
 def _rule_table(spark: SparkSession) -> DataFrame:
-    """The rules as a table of fixed size; each pattern takes the blank before its first word."""
-    rows = [(i, label, key, f" (?:{pattern})(?= )", priority, score, base) for i, label, key, pattern, priority, score, base in rules()]
+    """The rules as a table of fixed size, one row for each keyword; each pattern takes the
+    blank before its first word."""
+    rows = [(i, label, key, f" (?:{pattern})(?= )", priority, score, base) for i, label, keys, pattern, priority, score, base in rules() for key in keys.split()]
     return F.broadcast(spark.createDataFrame(rows, "rule int, label string, keyword string, pattern string, priority int, confidence double, base boolean"))
 
 
+#: A character of a word of the lower-case text.
+_IN_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]"
+
+
 def detect(documents: DataFrame) -> DataFrame:
     """doc_id, key, rule, label, priority, confidence, base, first, last: all detections with
     their first and last word, before any suppression."""
     text = F.lower(F.col("text"))
     gate = F.lit(False)
-    for mark in MARKS:
-        gate = gate | F.contains(text, F.lit(mark))
+    for word in gate_words():  # the search for bytes comes first, as it is much faster
+        gate = gate | (F.contains(text, F.lit(word)) & text.rlike(f"{word}(?<!{_IN_WORD}{word})(?!{_IN_WORD})"))
     marked = documents.where(gate).select("doc_id", "key", words(ascii_lower(F.col("text"))).alias("w"))
     joined = marked.select("doc_id", "key", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("line"), F.explode_outer(F.array_distinct("w")).alias("keyword"))
     tried = joined.join(_rule_table(documents.sparkSession), "keyword")

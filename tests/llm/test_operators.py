@@ -174,6 +174,49 @@ def test_licenses(spark, texts):
     assert len(licenses.rules()) > 200 and all(re.compile(x[3]) for x in licenses.rules())
 
 
+def examples(pattern, rng):
+    """A text that the pattern matches, its alternatives and optional parts taken by chance."""
+
+    def of(tree):
+        out = ""
+        for op, x in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(x)
+            elif name == "IN":
+                kind, y = rng.choice(x)
+                out += "3" if str(kind) == "CATEGORY" else chr(y)
+            elif name == "BRANCH":
+                out += of(rng.choice(x[1]))
+            elif name == "SUBPATTERN":
+                out += of(x[3])
+            elif name == "MAX_REPEAT":
+                out += of(x[2]) if rng.random() < 0.5 else ""
+            elif name == "CATEGORY":
+                out += "3"
+            else:
+                assert name == "ASSERT_NOT"
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_license_rule_fires_alone(spark):
+    rng = random.Random(6)
+    rows, rule = [], {}
+    for number, _, _, pattern, *_ in licenses.rules():
+        for phrase in {examples(pattern, rng) for _ in range(12)}:
+            assert re.fullmatch(pattern, phrase)
+            rule[len(rows)] = number
+            rows.append((len(rows), "".join(x if x != " " else rng.choice(["\n", "-", " ", ", "]) for x in rng.choice([phrase, phrase.upper(), phrase.title()]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(0).cast("long"))
+    fired = {(r.doc_id, r.rule) for r in licenses.detect(docs).select("doc_id", "rule").collect()}
+    assert [(rows[i], n) for i, n in rule.items() if (i, n) not in fired] == []
+    lost = ["Released under the MPL 2.0", "EPL-2.0", "CDDL 1.1", "CeCILL 2.1", "under the WTFPL", "0BSD", "Proprietary and confidential", "public\ndomain", "CC\nBY-SA 4.0", "all-rights-reserved", "the Expat licence"]
+    labels = [r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(lost)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert labels == ["MPL-2.0", "EPL-2.0", "CDDL-1.1", "CeCILL-2.1", "WTFPL", "0BSD", "proprietary", "public-domain", "CC-BY-SA-4.0", "all-rights-reserved", "MIT"]
+
+
 # ---- passages
 
 
