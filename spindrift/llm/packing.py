@@ -37,8 +37,8 @@ class Tokens:
 
     Texts are cut at blanks, distinct cuts are encoded once by the tokenizer and kept,
     and ids are gathered by index. A byte-level tokenizer cuts before a single blank in
-    the same way, unless white space of three or more characters stands together; such
-    texts are encoded as a whole.
+    the same way, unless white space of three or more characters stands together or the
+    text holds an added token's literal; such texts are encoded as a whole.
     """
 
     _of: dict[str, "Tokens"] = {}
@@ -48,9 +48,9 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.special = regex.compile(r"\s{3}")
+        added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = regex.compile("|".join([r"\s{3}", *map(regex.escape, added)]))
         self.cached: dict[str, bytes] = {}
 
     @classmethod

@@ -297,6 +297,16 @@ def test_packing(spark, texts):
     assert packing.best_fit_packing(empty(spark), TOKENIZER).count() == 0
 
 
+def test_tokens_of_texts_with_added_tokens(spark):
+    plain = packing.Tokens.of(TOKENIZER).tokenizer.__class__.from_file(TOKENIZER)
+    rows = [(0, "x <|endoftext|> y"), (1, "<|endoftext|>"), (2, "a<|endoftext|><|endoftext|>b  c"), (3, "<|endoftext |> it's <|endoftext"), (4, "plain words only")]
+    assert 50256 in plain.encode(rows[0][1], add_special_tokens=False).ids
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.token_pieces(frame(spark, rows), TOKENIZER).collect()}
+    for i, t in rows:
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(3)
     histogram = {rng.randrange(1, 700): rng.randrange(1, 5000) for _ in range(300)} | {2048: 7, 2000: 3}
