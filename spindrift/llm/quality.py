@@ -123,8 +123,8 @@ class Neighbours:
 def fit(documents: DataFrame, labels: DataFrame, *, sample_per_label: int = SAMPLE_PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Neighbours:
     """Learn from a bounded sample of the labelled rows that are not held out.
 
-    At most ``sample_per_label`` rows of each label reach the driver, as TERMS numbers
-    each; the class shares are counted over all labelled rows. Rows with a null id or
+    At most ``sample_per_label`` ids of each label reach the driver, one row of each as
+    TERMS numbers; of an id's rows, the one whose terms have the smallest hash. The class shares are counted over all labelled rows. Rows with a null id or
     label, and labels other than 0 and 1, are not learned from.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).distinct()
@@ -139,8 +139,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample_per_label: int = SAMP
                 terms = term_counts(*flat(batch.column(2)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([x.tobytes() for x in terms], pa.binary())], ["id", "label", "terms"])
 
-    rows = sorted(texts.mapInArrow(tidied(run), "id string, label int, terms binary").collect(), key=lambda r: (r["label"], r["id"], bytes(r["terms"])))
-    rows = rows[: 4 * sample_per_label]  # repeated ids
+    each = texts.mapInArrow(tidied(run), "id string, label int, terms binary")
+    once = each.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("terms").alias("hash"), "terms"))["terms"].alias("terms"))
+    rows = sorted(once.collect(), key=lambda r: (r["label"], r["id"]))
     terms = np.array([np.frombuffer(r["terms"], np.float32) for r in rows], np.float32).reshape(len(rows), TERMS)
     y = np.array([r["label"] for r in rows], np.int64)
     got = np.bincount(y, minlength=2)

@@ -391,6 +391,18 @@ def test_quality(spark):
     assert quality.keep_good(docs, quality.fit(docs, labels)).columns == docs.columns
 
 
+def test_quality_sample_has_one_row_of_each_id(spark):
+    rng = random.Random(12)
+    good = [(i, sentence(rng, 30).capitalize() + ".") for i in range(40)]
+    bad = [(100 + i, " ".join(x.upper() + "!!" for x in sentence(rng, 30).split())) for i in range(40)]
+    docs = frame(spark, good + bad * 8 + [(i, bad[0][1]) for i, _ in bad])
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in good + bad], "doc_id long, quality int")
+    model = quality.fit(docs, labels, sample_per_label=20)
+    assert np.bincount(model.labels).tolist() == [20, 20]
+    out = {r.doc_id: r.predicted for r in quality.classify(docs, model).collect()}
+    assert np.mean([out[i] == 1 for i, _ in good]) > 0.9 and np.mean([out[i] == 0 for i, _ in bad]) > 0.9
+
+
 def test_language(spark):
     rng = random.Random(8)
     syllables = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["sch", "ung", "ein", "ver"], "cc": ["ño", "ción", "os", "la"]}
