@@ -31,48 +31,77 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; all but the last two are dropped with it.
 RAW = frozenset("script style noscript iframe noembed noframes template xmp textarea title".split())
-DROPPED = frozenset("head nav footer aside form fieldset button select option datalist dialog menu search svg math canvas object audio video figcaption".split())
-#: Parts of class names and ids that mark what is not the article.
+DROPPED = frozenset("head nav footer aside form fieldset button select option datalist dialog menu search svg math canvas object audio video".split())
+#: Class names and ids that mark what is not the article: whole ones, or their last part.
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay "
     "newsletter subscribe subscription signup login sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments "
     "disqus respond replies share sharing social related recommended recommendation recommendations trending widget toolbar pagination pager search skip hidden".split()
 )
+#: Parts that only say how something is laid out: the part before them is the last one.
+LAYOUT = frozenset("box bar container wrapper wrap inner outer block section area panel slot unit row column col list item items links link buttons button left right top bottom".split())
+#: Words that begin so tell what stands beside or within an element, or that it's absent.
+BESIDE = frozenset("no not has have with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 KEPT = frozenset("html body main article".split())
 #: An opening tag of the key closes an open element of the value, up to the nearest container.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
-def _not_article(tag: str, attributes: str, inside_article: bool) -> bool:
+def _listed(word: str) -> str:
+    """The name in NOT_ARTICLE by which a class or id marks its element, or an empty string."""
+    if word.lower() in NOT_ARTICLE:
+        return word.lower()
+    parts = [x.lower() for x in _PART.findall(word)]
+    if not parts or parts[0] in BESIDE:
+        return ""
+    while len(parts) > 1 and parts[-1] in LAYOUT:
+        parts.pop()
+    return parts[-1] if parts[-1] in NOT_ARTICLE else ""
+
+
+def _not_article(tag: str, attributes: str, inside_article: bool) -> int:
+    """2 for what is never article text, 1 for what a class or id in NOT_ARTICLE marks, else 0."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        return 2
     if not attributes or tag in KEPT:
-        return False
+        return 0
+    marked = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id"):
+            return 2
+        if name == "class" or name == "id" and tag not in HEADINGS:  # ids of headings are slugs of their text
             for word in value.split():
-                parts = {x.lower() for x in _PART.findall(word)}
-                if found := parts & NOT_ARTICLE:
-                    if found <= {"header", "banner"} and (inside_article or parts & {"article", "post", "entry", "story"}):
+                if found := _listed(word):
+                    if found in ("header", "banner") and (inside_article or {x.lower() for x in _PART.findall(word)} & {"article", "post", "entry", "story"}):
                         continue
-                    return True
-    return False
+                    marked = 1
+    return marked
 
 
 class _Page:
-    """The block tree of a page as parallel lists in page order, and its text runs."""
+    """The block tree of a page as parallel lists in page order, and its text runs.
+
+    An element that only its class or id marks stays if it holds the page's article or main:
+    the places of such elements are known after one reading, and the page is read again.
+    """
 
     def __init__(self, source: str):
+        self.holders: set[int] = set()
+        self._start()
+        self._read(source)
+        if self.holders:
+            self._start()
+            self._read(source)
+
+    def _start(self) -> None:
         self.parent, self.chars, self.tags, self.link_chars, self.link_tags = [-1], [0], [0], [0], [0]
         self.body = 0
         self.runs: list[tuple[int, int, str]] = []  # node, block number, text
-        self._read(source)
 
     def _text(self, text: str, node: int, block: int, link: bool) -> None:
         text = html.unescape(text)
@@ -83,12 +112,13 @@ class _Page:
             self.link_chars[node] += n
 
     def _read(self, s: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, whether it is dropped
-        at, block, links, articles = 0, 0, 0, 0
+        # tag, node, whether it is dropped, place of an element that stays if it holds the article
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]
+        at, block, links, articles, seen = 0, 0, 0, 0, False
 
         def close(depth: int) -> None:
             nonlocal links, articles, block
-            for tag, _, _ in stack[depth:]:
+            for tag, *_ in stack[depth:]:
                 links -= tag == "a"
                 articles -= tag in ("article", "main")
                 block += tag in BLOCKS
@@ -120,7 +150,7 @@ class _Page:
                 close_at = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(s, at)
                 at = close_at.end() if close_at else len(s)
                 continue
-            _, node, dropped = stack[-1]
+            _, node, dropped, _ = stack[-1]
             if tag in VOID:
                 if tag == "hr":
                     block += 1
@@ -151,8 +181,14 @@ class _Page:
                         break
                     if stack[depth][0] in BLOCKS:
                         break
-            _, node, dropped = stack[-1]
-            dropped = dropped or _not_article(tag, attributes, articles > 0)
+            _, node, dropped, _ = stack[-1]
+            why = _not_article(tag, attributes, articles > 0)
+            # within an article or main, what follows an article holds comments or teasers
+            holder = m.start() if why == 1 and not (articles and seen) else -1
+            dropped = dropped or why > 0 and m.start() not in self.holders
+            if tag in ("article", "main"):
+                self.holders.update(x[3] for x in stack if x[3] >= 0)
+                seen = seen or tag == "article"
             if tag in BLOCKS:
                 block += 1
                 if not dropped:
@@ -168,7 +204,7 @@ class _Page:
             links += tag == "a"
             articles += tag in ("article", "main")
             if not attributes.endswith("/") or tag in BLOCKS:
-                stack.append((tag, node, dropped))
+                stack.append((tag, node, dropped, holder))
             else:
                 links -= tag == "a"
 

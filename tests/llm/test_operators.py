@@ -372,6 +372,20 @@ def test_main_text(spark):
     assert main_text.extract_main_text(pages.where("false")).count() == 0
 
 
+def test_main_text_keeps_what_only_sounds_like_a_menu():
+    body = "<h2 id='related-work'>Related work</h2><p>A paragraph of the article that is long enough.</p><h2 id=comments>Comments on it</h2><figure><img src=x><figcaption>What the picture shows.</figcaption></figure><p id='search-for-survivors'>Another one.</p>"
+    lines = ["Related work", "A paragraph of the article that is long enough.", "Comments on it", "What the picture shows.", "Another one."]
+    for name in ("has-sidebar", "with-sidebar", "no-sidebar", "withSidebar", "share-prices", "comments-on-the-bill", "sidebar", "page popup", "ad"):
+        assert main_text.main_text(f"<body><div class='{name}'><article>{body}</article></div></body>").split("\n") == lines, name
+    for name in ("sidebar", "share-box", "post-comments", "no-menu sidebar", "relatedLinks"):
+        assert main_text.main_text(f"<body><article>{body}</article><div class='{name}'><p>Something else that isn't of the article at all.</p></div></body>").split("\n") == lines, name
+    comments = "<section id=comments><article><p>A reader's comment that is rather long, as some are.</p></article></section>"
+    assert main_text.main_text(f"<main><article>{body}</article>{comments}</main>").split("\n") == lines
+    assert main_text.main_text(f"<div id=skip><div class=overlay><main>{body}</main></div></div>").split("\n") == lines
+    for hidden in ("<nav>{}</nav>", "<div hidden>{}</div>", "<div style='display:none'>{}</div>"):
+        assert main_text.main_text(f"<body>{hidden.format('<article><p>A teaser.</p></article>')}<article>{body}</article></body>").split("\n") == lines
+
+
 # ---- classifier and language
 
 
