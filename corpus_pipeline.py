@@ -19,14 +19,28 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with an inner key: rows with one id, or none, and different texts are told apart."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group, once."""
-    found = written(near_dedup.near_duplicates(docs), "near")
-    kept = without(docs, found.where("NOT kept").select("doc_id"), "doc_id")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    repeated = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return repeated.unionByName(kept.where("doc_id IS NULL"))
+    """Keep the document with the smallest id of each near-duplicate group, once.
+
+    Rows equal in id and text are one document, others with a common id are not. Rows
+    without an id are linked with nothing and stay.
+    """
+    rows = keyed(docs)
+    known = rows.where("doc_id IS NOT NULL")
+    found = written(near_dedup.near_duplicates(known, id_col="__key"), "near")
+    linked = found.select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    linked = linked.join(linked.groupBy("component_id").count().where("count > 1").select("component_id"), "component_id")
+    linked = written(linked.join(known.select("__key", F.col("doc_id").alias("id")).distinct(), "__key"), "linked")
+    first = linked.groupBy("component_id").agg(F.min(F.struct("id", "__key"))["__key"].alias("first"))
+    kept = without(rows, linked.join(first, "component_id").where("__key <> first").select("__key"), "__key")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["__key"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept.select(*docs.columns)
 
 
 def passage_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +51,9 @@ def passage_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are contaminated with benchmark passages."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated").select("doc_id"), "doc_id")
+    rows = keyed(docs)
+    found = decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="__key")
+    return without(rows, found.where("contaminated").select(F.col("doc_id").alias("__key")), "__key").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ the strings are brought together by content instead:
 3. For these, each single string is hashed and met by its own hash in the same way.
 4. The repeats of a document are united and cut out.
 
+A document is a row's id and text together: it is known by ``sub``, a hash of both, and
+ordered by id, then by ``sub``. Only rows equal in both are one document.
+
 Each step first drops, within a task, what it has seen before, so a passage in a third of
 all documents sends one record from each task. Texts are shuffled once (the exchange
 serves steps 3 and 4); records are shuffled as packed arrays.
@@ -45,7 +48,7 @@ SEGMENT_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 #: A record as it is shuffled. A text is shorter than 2**31 bytes, a run than 2**16 strings.
-_TYPES = {"key": np.uint64, "bytes": np.uint64, "doc": np.int64, "lo": np.int32, "n": np.uint16}
+_TYPES = {"key": np.uint64, "bytes": np.uint64, "doc": np.int64, "sub": np.int64, "lo": np.int32, "n": np.uint16}
 _RECORD = tuple(_TYPES)
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -61,7 +64,7 @@ def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[w - 1 : w - 1 + n])
 
 
-def anchor_runs(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, base: int = 0, first: int = 0, last: int | None = None, length: int = LENGTH, kmer: int = KMER) -> dict[str, np.ndarray]:
+def anchor_runs(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, base: int = 0, first: int = 0, last: int | None = None, length: int = LENGTH, kmer: int = KMER, subs: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """The anchor records of texts in a flat buffer.
 
     For a segment of one text, ``base`` is its place there and starts outside [first, last)
@@ -100,12 +103,12 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, base: in
     hashes = RangeHash(BYTE_VALUES[data])
     shape = (at - a) * 1024 + (b - at)
     begin = offsets[doc] - base
-    return {"key": h[at], "bytes": mix(hashes.of(a, b) + shape.astype(np.uint64)), "doc": ids[doc], "lo": lo - begin, "n": n}
+    return {"key": h[at], "bytes": mix(hashes.of(a, b) + shape.astype(np.uint64)), "doc": ids[doc], "sub": np.zeros(len(doc), np.int64) if subs is None else subs[doc], "lo": lo - begin, "n": n}
 
 
 def _first_of(r: dict[str, np.ndarray], *by: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The records sorted by ``by``, document and place; and which are later than the first of their group."""
-    order = np.lexsort(tuple(r[x] for x in ("lo", "doc", *reversed(by))))
+    order = np.lexsort(tuple(r[x] for x in ("lo", "sub", "doc", *reversed(by))))
     r = {k: v[order] for k, v in r.items()}
     n = len(r["doc"])
     new = np.zeros(n, bool)
@@ -113,7 +116,7 @@ def _first_of(r: dict[str, np.ndarray], *by: str) -> tuple[dict[str, np.ndarray]
         new[1:] |= r[x][1:] != r[x][:-1]
     new[:1] = True
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    return r, (r["doc"] != r["doc"][head]) | (r["lo"] != r["lo"][head])
+    return r, (r["doc"] != r["doc"][head]) | (r["sub"] != r["sub"][head]) | (r["lo"] != r["lo"][head])
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(k, pa.binary()) for k in _RECORD]])
@@ -137,7 +140,7 @@ def _packed(r: dict[str, np.ndarray], bucket: np.ndarray, kind: int) -> list[dic
     """One row for each bucket, its records as arrays."""
     if not len(bucket):
         return []
-    order = np.lexsort((r["lo"], r["doc"], bucket))
+    order = np.lexsort((r["lo"], r["sub"], *([r["doc"]] if "doc" in r else []), bucket))
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     out = []
     for part in np.split(order, cuts):
@@ -162,8 +165,8 @@ def _table(rows: list[dict]) -> pa.Table:
 
 
 def _by_document(r: dict[str, np.ndarray], keep: np.ndarray, groups: int, kind: int) -> list[dict]:
-    part = {k: r[k][keep] for k in ("doc", "lo", "n")}
-    return _packed(part, np.mod(part["doc"], groups).astype(np.int32), kind)
+    part = {k: r[k][keep] for k in ("sub", "lo", "n")}
+    return _packed(part, np.mod(part["sub"], groups).astype(np.int32), kind)
 
 
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -171,7 +174,7 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def find_repeats(documents: DataFrame, keyed: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
-    """Packed rows of kind REPEATS by group of documents: doc, first start, number of starts."""
+    """Packed rows of kind REPEATS by group of documents: sub, first start, number of starts."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[dict[str, np.ndarray]] = []
@@ -188,15 +191,15 @@ def find_repeats(documents: DataFrame, keyed: DataFrame, groups: int, length: in
 
         for whole in batches:
             for batch in pieces(whole, "text", SEGMENT_BYTES):
-                data, offsets = flat(batch.column(1))
-                ids = _ids(batch.column(0))
+                data, offsets = flat(batch.column(2))
+                ids, subs = _ids(batch.column(0)), np.asarray(batch.column(1))
                 if len(data) > 2 * SEGMENT_BYTES:  # one long text
                     for begin in range(0, len(data), SEGMENT_BYTES):
                         a, b = max(0, begin - length), min(len(data), begin + SEGMENT_BYTES + 2 * length)
                         part = data[a:b]
-                        block.append(anchor_runs(part, np.array([0, len(part)]), ids, a, begin - a, begin - a + SEGMENT_BYTES, length))
+                        block.append(anchor_runs(part, np.array([0, len(part)]), ids, a, begin - a, begin - a + SEGMENT_BYTES, length, subs=subs))
                 else:
-                    block.append(anchor_runs(data, offsets, ids, length=length))
+                    block.append(anchor_runs(data, offsets, ids, length=length, subs=subs))
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield from emit()
@@ -220,26 +223,25 @@ def find_repeats(documents: DataFrame, keyed: DataFrame, groups: int, length: in
 
     def strings(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
         runs = _unpacked(marks, CLOSER)
-        if not len(runs["doc"]) or not docs.num_rows:
+        if not len(runs["sub"]) or not docs.num_rows:
             return _table([])
-        ids = _ids(docs["doc_id"])
+        ids, subs = _ids(docs["doc_id"]), np.asarray(docs["sub"])
         out = []
-        order = np.argsort(runs["doc"], kind="stable")
+        order = np.argsort(runs["sub"], kind="stable")
         runs = {k: v[order] for k, v in runs.items() if len(v)}
         texts = docs["text"].combine_chunks()
         done = set()
-        for i in np.flatnonzero(np.isin(ids, runs["doc"])).tolist():
-            if ids[i] in done:  # rows with one id count as one document
+        for i in np.flatnonzero(np.isin(subs, runs["sub"])).tolist():
+            if subs[i] in done:  # equal rows count as one document
                 continue
-            done.add(ids[i])
-            a, b = np.searchsorted(runs["doc"], [ids[i], ids[i] + 1] if ids[i] != NO_ID else [ids[i], ids[i]])
-            b = b if ids[i] != NO_ID else len(runs["doc"])
+            done.add(subs[i])
+            a, b = np.searchsorted(runs["sub"], subs[i]), np.searchsorted(runs["sub"], subs[i], side="right")
             n = runs["n"][a:b].astype(np.int64)
             ends = np.cumsum(n)
             s = np.repeat(runs["lo"][a:b] - (ends - n), n) + np.arange(ends[-1])
             data = np.frombuffer(texts[i].as_py() or b"", np.uint8)
             s = s[s + length <= len(data)]
-            out.append({"key": RangeHash(BYTE_VALUES[data]).of(s, s + length), "doc": np.full(len(s), ids[i]), "lo": s, "n": np.ones(len(s), np.int32)})
+            out.append({"key": RangeHash(BYTE_VALUES[data]).of(s, s + length), "doc": np.full(len(s), ids[i]), "sub": np.full(len(s), subs[i]), "lo": s, "n": np.ones(len(s), np.int32)})
         if not out:
             return _table([])
         r, later = _first_of({k: np.concatenate([x[k] for x in out]) for k in out[0]}, "key")
@@ -254,10 +256,10 @@ def find_repeats(documents: DataFrame, keyed: DataFrame, groups: int, length: in
         if bucket >= groups:
             return t.set_column(0, "bucket", pa.array([bucket - groups] * t.num_rows, pa.int32()))
         r = _unpacked(t, RECORDS)
-        r, later = _first_of({k: r[k] for k in ("key", "doc", "lo")} | {"n": np.ones(len(r["key"]), np.int32)}, "key")
+        r, later = _first_of({k: r[k] for k in ("key", "doc", "sub", "lo")} | {"n": np.ones(len(r["key"]), np.int32)}, "key")
         return _table(_by_document(r, later, groups, REPEATS))
 
-    plain = documents.select("doc_id", "text")
+    plain = documents.select("doc_id", "sub", "text")
     found = written(plain.mapInArrow(tidied(anchors), _PACKED_DDL).groupBy("bucket").applyInArrow(meet, _PACKED_DDL), "repeats")
     closer = found.where(F.col("kind") == CLOSER).groupBy("bucket")
     single = keyed.groupBy("bucket").cogroup(closer).applyInArrow(strings, _PACKED_DDL).groupBy("bucket").applyInArrow(meet_strings, _PACKED_DDL)
@@ -274,23 +276,26 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     A byte goes if some string of ``length`` bytes that covers it starts earlier too: in a
     document with a smaller id, or earlier in the same one. Texts are judged as they come
-    in. Null texts are empty; a null id counts as the largest. Rows with one id count as
-    one document, whose repeats are cut from each of them. Every row is kept.
+    in. Null texts are empty; a null id counts as the largest. Rows with one id and
+    different texts, or with null ids, are documents of their own, in the order of a hash;
+    rows equal in id and text count as one, whose repeats are cut from each of them.
+    Every row is kept.
     """
     fields = [f for f in documents.schema.fields if f.name not in (id_col, text_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")]
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"), *[F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(fields)])
+    docs = docs.withColumn("sub", F.xxhash64("doc_id", "text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES) | 1
-    keyed = docs.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(int(NO_ID))), F.lit(groups)).cast("int"))
+    keyed = docs.withColumn("bucket", F.pmod("sub", F.lit(groups)).cast("int"))
     names = [f.name for f in fields]
     out_fields = [T.StructField(id_col, T.LongType()), *([T.StructField(text_col, T.StringType())] if keep_text else []), *fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
     def cut(key: tuple, t: pa.Table, marks: pa.Table) -> pa.Table:
         r = _unpacked(marks, REPEATS)
-        order = np.argsort(r["doc"], kind="stable")
-        doc, lo, n = (r[k][order] for k in ("doc", "lo", "n"))
-        ids = _ids(t["doc_id"])
-        left, right = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
+        order = np.argsort(r["sub"], kind="stable")
+        sub, lo, n = (r[k][order] for k in ("sub", "lo", "n"))
+        subs = np.asarray(t["sub"])
+        left, right = np.searchsorted(sub, subs), np.searchsorted(sub, subs, side="right")
         out = {k: [] for k in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
         texts = t["text"]
         for i in range(t.num_rows):

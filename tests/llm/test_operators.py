@@ -267,6 +267,21 @@ def test_passages_edges(spark):
     assert sorted((r.n_bytes, r.n_removed) for r in rows) == [(99, 0), (101, 101), (120, 119), (120, 119)]
 
 
+def test_passages_of_rows_with_one_id(spark):
+    rng = random.Random(14)
+    texts = []
+    for n in (0, 30, 200, 400):
+        x = sentence(rng, 60)
+        texts.append(sentence(rng, n) + x + sentence(rng, 40) + x)
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (1, texts[0])]
+    got = passage_dedup.remove_repeats(frame(spark, rows)).collect()
+    expected = [(i, *repeats([(0, t)])[0]) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == sorted(expected, key=str)
+    rows = [(None, texts[0]), (None, texts[0] + "x"), (3, texts[0])]
+    got = sorted((r.doc_id or 9, r.n_bytes - r.n_removed) for r in passage_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == [(3, len(texts[0]) - repeats([(0, texts[0])])[0][1]), (9, 0), (9, 1)]  # the last string of the longer one is new
+
+
 # ---- packing
 
 

@@ -67,3 +67,16 @@ def test_stages_without_rows(spark, folder):
 def test_repeated_rows_stay_once(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id < 3")
     assert corpus_pipeline.near_duplicate_filter(spark, docs.unionByName(docs), folder[0]).count() == 3
+
+
+def test_rows_with_one_id_and_different_texts(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    item = spark.read.parquet(f"{folder[0]}/benchmark.parquet").first().text
+    text = {r.doc_id: r.text for r in docs.where("doc_id < 4").collect()}
+    rows = [(5, text[0]), (5, text[1]), (5, text[1]), (7, text[0] + " end"), (None, item), (None, text[2]), (None, text[3])]
+    some = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    once = corpus_pipeline.near_duplicate_filter(spark, some, folder[0])
+    assert sorted((r.doc_id or 0, r.text) for r in once.collect()) == sorted([(5, text[0]), (5, text[1]), (0, item), (0, text[2]), (0, text[3])])
+    clean = corpus_pipeline.benchmark_filter(spark, once, folder[0])
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted([(5, text[0]), (5, text[1]), (0, text[2]), (0, text[3])])
