@@ -6,7 +6,8 @@ each class is listed under its rarest values only, as two sets that are similar
 share more of their sketches than the rest could hold.  A list first compares all its
 classes with one of them; what is then still in different components is compared pair by
 pair, after a second pass with exact prefixes over whole sets where a list is long.  The
-k smallest values of two sketches estimate a pair's similarity and drop what is far off;
+k smallest values of two sketches estimate a pair's similarity and drop what is far off
+(not after exact prefixes, whose counts alone decide);
 the sets themselves decide.
 
 No list is cut: only the order of comparing saves pairs, as classes already in one
@@ -15,7 +16,6 @@ component need no further link.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +32,8 @@ SHINGLE = 5
 NUMERATOR = 75
 #: Values in a sketch.
 K = 48
-#: Two similar sketches of K share this many values but for a chance of about 1e-8.
+#: Two similar sketches of K share this many values but for a chance of about 8.4e-9, and so
+#: does the sketch of their union.
 SHARED = 18
 #: Lists up to this length are compared pair by pair, longer ones by the exact second pass.
 SHORT_LIST = 24
@@ -146,7 +147,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Pairs whose union sketch doesn't rule the similarity out."""
     s = classes.select("rep", "sketch")
     both = pairs.join(s.withColumnsRenamed({"rep": "a", "sketch": "x"}), "a").join(s.withColumnsRenamed({"rep": "b", "sketch": "y"}), "b")
-    least = NUMERATOR / 100 - 5 * math.sqrt(NUMERATOR / 100 * (1 - NUMERATOR / 100) / k)
+    least = SHARED / K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +251,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         links = links.unionByName(_linked(star))
         nodes = written(components(links), "nodes")
         rest = written(_open_lists(_placed(exact, star), nodes), "open")
-        links = links.unionByName(_linked(measured(_estimated(_all_pairs(rest, exact=True), classes, k))))
+        links = links.unionByName(_linked(measured(_all_pairs(rest, exact=True))))
     nodes = written(components(links), "nodes")
     of_class = classes.join(nodes, classes["rep"] == nodes["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")

@@ -110,6 +110,13 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_union_sketch_keeps_pairs_from_18_of_48(spark):
+    rows = [(10 * n + x, [*range(n), *range(100 + x, 100 + x + 2 * (48 - n), 2)]) for n in (17, 18, 20) for x in (0, 1)]
+    classes = spark.createDataFrame(rows, "rep long, sketch array<long>")
+    pairs = spark.createDataFrame([(10 * n, 10 * n + 1) for n in (17, 18, 20)], "a long, b long")
+    assert sorted(r.a for r in near_dedup._estimated(pairs, classes, 48).collect()) == [180, 200]
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (9, 8), (3, 1), (7, 7), (8, 2)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
