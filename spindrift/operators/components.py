@@ -31,10 +31,12 @@ def _stars(edges: DataFrame) -> DataFrame:
     return large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) for every id of ``nodes``, over links (a, b).
+def linked_components(links: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable) for every node of ``links`` (a, b).
 
-    Alternating large-star and small-star steps, each written to the shared folder.
+    Alternating large-star and small-star steps, each written to the shared folder. A node
+    with very many neighbours is only aggregated with partial sums and joined, so Spark can
+    split it. Rounds grow with the logarithm of the longest chain.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
@@ -43,5 +45,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before, edges = state, written(_stars(edges), "links")
-    least = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-    return nodes.select("id").join(least, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    least = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    return least.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component (the smallest id reachable) for every id of ``nodes``, over links (a, b)."""
+    found = linked_components(links).withColumnRenamed("node", "id")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
