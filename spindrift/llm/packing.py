@@ -28,8 +28,10 @@ CAPACITY = 2048
 RANK_PARTS = 256
 #: Slots of one plan row are listed in runs of at most this many.
 SLOT_RUN = 1 << 16
-#: A worker forgets its cached word pieces beyond so many.
-CACHED = 1_000_000
+#: A worker keeps the ids of so many cuts at least, twice as many at most.
+CACHED = 250_000
+#: White space of any kind, for RE2.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Tokens:
@@ -49,9 +51,9 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.special = regex.compile("|".join([r"\s{3}", *map(regex.escape, added)]))
-        self.cached: dict[str, bytes] = {}
+        self.added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Tokens":
@@ -62,49 +64,66 @@ class Tokens:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _known(self, keys: list[str]) -> list[bytes | None]:
+        """Kept ids of words and cuts. What is asked for stays, the rest goes as new ones come."""
+        if len(self.recent) > CACHED:
+            self.recent, self.older = {}, self.recent
+        out = list(map(self.recent.get, keys))
+        for i, x in enumerate(out):
+            if x is None and (x := self.older.get(keys[i])) is not None:
+                out[i] = self.recent[keys[i]] = x
+        return out
+
     def pieces_of(self, cuts: list[str]) -> list[bytes]:
-        """Ids of each cut, four bytes each; what is not cached is split into words and encoded in one batch."""
-        if len(self.cached) > CACHED:
-            self.cached.clear()
-        out = list(map(self.cached.get, cuts))  # most cuts are one word
+        """Ids of each cut, four bytes each; what is not kept is split into words and encoded in one batch."""
+        out = self._known(cuts)
         rest = [i for i, x in enumerate(out) if x is None]
         split = [self.words.findall(cuts[i]) for i in rest]
-        new = list({w for words in split for w in words if w not in self.cached})
+        words = list({w for ws in split for w in ws})
+        ids = dict(zip(words, self._known(words), strict=True))
+        new = [w for w, x in ids.items() if x is None]
         for i in range(0, len(new), 20_000):
             for w, e in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False), strict=True):
-                self.cached[w] = array("I", e.ids).tobytes()
-        for i, w in zip(rest, split, strict=True):
-            out[i] = b"".join(map(self.cached.__getitem__, w))
+                ids[w] = self.recent[w] = array("I", e.ids).tobytes()
+        for i, ws in zip(rest, split, strict=True):
+            if len(ws) == 1:
+                out[i] = ids[ws[0]]
+            else:
+                out[i] = self.recent[cuts[i]] = b"".join([ids[w] for w in ws])
         return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in sequence, and for each text the index of its first (one more than texts)."""
-        plain = texts.to_pylist()
-        odd = [i for i, x in enumerate(plain) if self.special.search(x)]
+        whole = pc.match_substring_regex(texts, _SPACE + "{3}")
+        for literal in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, literal))
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        given = texts
         if odd:
-            keep = np.ones(len(plain), bool)
-            keep[odd] = False
-            texts = pc.if_else(pa.array(keep), texts, "")
+            texts = pc.if_else(whole, pa.scalar("", texts.type), texts)
         cut = pc.split_pattern(texts, " ")
         counts = np.asarray(cut.value_lengths())
-        parts = cut.flatten()
+        coded = cut.flatten().dictionary_encode()
         # each cut but the first of a text begins with the blank before it
-        head = np.zeros(len(parts), bool)
-        head[np.concatenate([[0], np.cumsum(counts)])[:-1][counts > 0]] = True
-        parts = pc.if_else(pa.array(head), parts, pc.binary_join_element_wise(pa.scalar("", parts.type), parts, pa.scalar(" ", parts.type)))
-        coded = parts.dictionary_encode()
-        ids = self.pieces_of(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
-        at = np.asarray(coded.indices)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        key = np.asarray(coded.indices).astype(np.int64) * 2
+        key[first[:-1][counts > 0]] += 1
+        used = np.flatnonzero(np.bincount(key, minlength=2 * len(coded.dictionary)))
+        plain = coded.dictionary.to_pylist()
+        ids = self.pieces_of([plain[k >> 1] if k & 1 else " " + plain[k >> 1] for k in used.tolist()])
+        number = np.zeros(2 * len(plain), np.int32)
+        number[used] = np.arange(len(used))
+        at = number[key]
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        pool, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)])
         n = lengths[at]
         ends = np.cumsum(n)
-        flat = pool[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        flat = pool[np.repeat(begin[at] - (ends - n).astype(np.int32), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        bounds = np.concatenate([[0], ends])[first]
         if odd:
-            rows = [flat[bounds[i] : bounds[i + 1]] for i in range(len(plain))]
+            rows = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             for i in odd:
-                rows[i] = self.encode(plain[i])
+                rows[i] = self.encode(given[i].as_py())
             flat, bounds = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
         return flat, bounds
 
