@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import linked_components
 from .arrays import BYTE_VALUES, LOWER, SPACE, RangeHash, flat, int64, mix, pieces, tidied, word_bounds
-from .graph import components
 from .tables import small_side, written
 
 SHINGLE = 5
@@ -35,6 +35,8 @@ K = 48
 #: Two similar sketches of K share this many values but for a chance of about 8.4e-9, and so
 #: does the sketch of their union.
 SHARED = 18
+#: Smallest list values that a class carries to tell in which list a pair is made.
+MARKS = 16
 #: Lists up to this length are compared pair by pair, longer ones by the exact second pass.
 SHORT_LIST = 24
 
@@ -129,10 +131,10 @@ def _all_pairs(lists: DataFrame, exact: bool = False) -> DataFrame:
     With ``exact`` counts, pairs are left out that can't share enough: values that no other
     class has aren't shared, nor are those of the list's centre that either class misses.
     """
-    names = ("rep", "n", "u", "comp", "all") + (("missing", "extra") if exact else ())
-    # a pair that meets in several lists is made in the one with the smallest value
-    lists = lists.join(lists.groupBy("rep").agg(F.collect_set("value").alias("all")), "rep")
-    first = F.array_min(F.array_intersect("all", "all_b")) == F.col("value")
+    names = ("rep", "n", "u", "comp", "marks") + (("missing", "extra") if exact else ())
+    # a pair that meets in several lists is made in the one with the smallest value, if that is a mark of both
+    lists = lists.join(lists.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("value")), 1, MARKS).alias("marks")), "rep")
+    first = F.coalesce(F.array_min(F.array_intersect("marks", "marks_b")), F.col("value")) == F.col("value")
     other = lists.select("value", *[F.col(c).alias(f"{c}_b") for c in names])
     can = _close(F.col("n"), F.col("n_b"))
     if exact:
@@ -205,12 +207,11 @@ def _set_values(sets: DataFrame) -> DataFrame:
     """value, rep, n for every member of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                reps, blobs = np.asarray(batch.column(0).slice(i, 512)), batch.column(1).slice(i, 512)
-                n = np.array([len(x.as_buffer()) // 8 for x in blobs], np.int64)
-                values = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in blobs])
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(reps, n)), pa.array(np.repeat(n, n))], ["value", "rep", "n"])
+        for whole in batches:
+            for batch in pieces(whole, "set"):
+                data, offsets = flat(batch.column(1))
+                n = np.diff(offsets) // 8
+                yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0)), n)), pa.array(np.repeat(n, n))], ["value", "rep", "n"])
 
     return sets.mapInArrow(tidied(run), "value long, rep long, n long").distinct()
 
@@ -240,7 +241,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         return written(_measured(written(pairs, "pairs"), sets), "measured")
 
     links = _linked(measured(_estimated(_star_pairs(lists), classes, k)))
-    nodes = written(components(links), "nodes")
+    nodes = written(linked_components(links), "nodes")
     left = written(_open_lists(lists, nodes), "open")
     links = links.unionByName(_linked(measured(_estimated(_all_pairs(left.where(F.col("size") <= SHORT_LIST)), classes, k))))
     long = left.where(F.col("size") > SHORT_LIST).select("rep").distinct()
@@ -249,10 +250,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         exact = written(exact, "lists")
         star = measured(_star_pairs(exact))
         links = links.unionByName(_linked(star))
-        nodes = written(components(links), "nodes")
+        nodes = written(linked_components(links), "nodes")
         rest = written(_open_lists(_placed(exact, star), nodes), "open")
         links = links.unionByName(_linked(measured(_all_pairs(rest, exact=True))))
-    nodes = written(components(links), "nodes")
+    nodes = written(linked_components(links), "nodes")
     of_class = classes.join(nodes, classes["rep"] == nodes["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))).otherwise(F.col("doc_id"))
