@@ -31,7 +31,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; all but the last two are dropped with it.
 RAW = frozenset("script style noscript iframe noembed noframes template xmp textarea title".split())
-DROPPED = frozenset("head nav footer aside form fieldset button select option datalist dialog menu search svg math canvas object audio video".split())
+DROPPED = frozenset("head nav footer aside form fieldset button select option datalist dialog menu search svg canvas object audio video".split())
 #: Class names and ids that mark what is not the article: whole ones, or their last part.
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay "
@@ -115,17 +115,30 @@ class _Page:
         # tag, node, whether it is dropped, place of an element that stays if it holds the article
         stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]
         at, block, links, articles, seen = 0, 0, 0, 0, False
+        # depths of the open elements of each tag, and of all block elements
+        depths: dict[str, list[int]] = {}
+        open_blocks: list[int] = []
+        marked: list[int] = []  # those that stay if they hold the article
+        tags_end = s.rfind(">") + 1  # a "<" beyond begins no tag
+
+        def deepest(*tags: str) -> int:
+            return max((depths[x][-1] for x in tags if depths.get(x)), default=0)
 
         def close(depth: int) -> None:
             nonlocal links, articles, block
-            for tag, *_ in stack[depth:]:
+            while len(stack) > depth:
+                tag = stack.pop()[0]
+                depths[tag].pop()
                 links -= tag == "a"
                 articles -= tag in ("article", "main")
-                block += tag in BLOCKS
-            del stack[depth:]
+                if marked and marked[-1] == len(stack):
+                    marked.pop()
+                if tag in BLOCKS:
+                    block += 1
+                    open_blocks.pop()
 
         while at < len(s):
-            m = _TAG.search(s, at)
+            m = _TAG.search(s, at, tags_end) if at < tags_end else None
             end = m.start() if m else len(s)
             if end > at and not stack[-1][2]:
                 self._text(s[at:end], stack[-1][1], block, links > 0)
@@ -137,12 +150,9 @@ class _Page:
                 continue
             attributes = m[3] or m[6] or ""
             if m[1] or m[4]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        close(depth)
-                        break
-                    if stack[depth][0] in ("td", "th", "table", "article") and tag not in BLOCKS:
-                        break
+                depth = deepest(tag)
+                if depth and (tag in BLOCKS or depth >= deepest("td", "th", "table", "article")):
+                    close(depth)
                 if tag in BLOCKS:
                     block += 1
                 continue
@@ -159,35 +169,24 @@ class _Page:
                     if tag == "br":
                         self.runs.append((node, block, " "))
                 continue
-            if tag in BLOCKS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == "p":
-                        close(depth)
-                        break
-                    if stack[depth][0] in BLOCKS:
-                        break
+            if tag in BLOCKS and open_blocks and stack[open_blocks[-1]][0] == "p":
+                close(open_blocks[-1])
             if tag in CLOSES:
                 shut, until = CLOSES[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in shut:
-                        close(depth)
-                        break
-                    if stack[depth][0] in until:
-                        break
+                depth = deepest(*shut)
+                if depth > deepest(*until):
+                    close(depth)
             if tag == "a":
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == "a":
-                        close(depth)
-                        break
-                    if stack[depth][0] in BLOCKS:
-                        break
+                depth = deepest("a")
+                if depth > (open_blocks[-1] if open_blocks else 0):
+                    close(depth)
             _, node, dropped, _ = stack[-1]
             why = _not_article(tag, attributes, articles > 0)
             # within an article or main, what follows an article holds comments or teasers
             holder = m.start() if why == 1 and not (articles and seen) else -1
             dropped = dropped or why > 0 and m.start() not in self.holders
             if tag in ("article", "main"):
-                self.holders.update(x[3] for x in stack if x[3] >= 0)
+                self.holders.update(stack[d][3] for d in marked)
                 seen = seen or tag == "article"
             if tag in BLOCKS:
                 block += 1
@@ -204,6 +203,11 @@ class _Page:
             links += tag == "a"
             articles += tag in ("article", "main")
             if not attributes.endswith("/") or tag in BLOCKS:
+                depths.setdefault(tag, []).append(len(stack))
+                if tag in BLOCKS:
+                    open_blocks.append(len(stack))
+                if holder >= 0:
+                    marked.append(len(stack))
                 stack.append((tag, node, dropped, holder))
             else:
                 links -= tag == "a"
@@ -216,9 +220,9 @@ class _Page:
             self.tags[p] += self.tags[i] + 1
             self.link_chars[p] += self.link_chars[i]
             self.link_tags[p] += self.link_tags[i]
-        last = list(range(n))
-        for i in range(n - 1, 0, -1):
-            last[self.parent[i]] = max(last[self.parent[i]], last[i])
+        children: list[list[int]] = [[] for _ in range(n)]
+        for i in range(1, n):
+            children[self.parent[i]].append(i)
         body = self.body
         share = self.link_chars[body] / max(1, self.chars[body])
         density, sums = [0.0] * n, [0.0] * n
@@ -229,10 +233,12 @@ class _Page:
                 density[i] = c / t * math.log(max(1.0, c / lc * t / lt) + 1e-9) / math.log(base)
         for i in range(1, n):
             sums[self.parent[i]] += density[i]
-        inside = range(body, last[body] + 1)
-        best = max(inside, key=lambda i: (sums[i], -i))
-        if not sums[best]:
-            best = body
+        # the node with the largest sum in each node's subtree, the first of equal ones
+        top = list(range(n))
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            top[p] = max(top[p], top[i], key=lambda j: (sums[j], -j))
+        best = top[body] if sums[top[body]] else body
         threshold, i = density[best], best
         while i > body:
             i = self.parent[i]
@@ -242,10 +248,10 @@ class _Page:
             i = todo.pop()
             if density[i] < threshold:
                 continue
-            top = max(range(i, last[i] + 1), key=lambda j: (sums[j], -j))
-            top = top if sums[top] else i
-            marked[top] = True
-            todo += [j for j in range(i + 1, last[i] + 1) if self.parent[j] == i and not top <= j <= last[top]]
+            chosen = top[i] if sums[top[i]] else i
+            marked[chosen] = True
+            if chosen != i:  # what holds it comes again, for the others beside the path to it
+                todo += [j for j in children[i] if j != chosen]
         for i in range(body + 1, n):
             marked[i] = marked[i] or marked[self.parent[i]]
         blocks: dict[int, list[str]] = {}
