@@ -5,7 +5,7 @@
 type and digest.  ``write_warc`` stores records through Spark's text writer (a record's
 two closing line ends are the line separator, so files are byte-exact WARC, committed
 like any Spark output, on any file system), ``read_warc`` reads them back by their
-declared lengths.
+declared lengths, as a stream: a task holds one record at a time, whatever a file's size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -190,22 +190,42 @@ def _plain(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def warc_records(data: bytes) -> Iterator[dict]:
-    """The records of one WARC file, read by their declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError(f"WARC header at byte {at} has no end")
-        first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+_END = b"\r\n\r\n"
+
+
+def warc_records(chunks: Iterable[bytes]) -> Iterator[dict]:
+    """The records of WARC files by their declared lengths.
+
+    ``chunks`` are the files' bytes in order, cut at (and without) each blank line; a
+    block that holds blank lines is put together again up to its declared length.
+    """
+    chunks, held = iter(chunks), bytearray()
+
+    def fill(size: int) -> bool:
+        while len(held) < size:
+            chunk = next(chunks, None)
+            if chunk is None:
+                return False
+            held.extend(chunk)
+            held.extend(_END)
+        return True
+
+    while fill(1):
+        lead = len(held) - len(held.lstrip(b"\r\n"))
+        if lead:  # line ends between records
+            del held[:lead]
+            continue
+        end = held.find(_END)
+        first, *lines = held[:end].decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record begins with {first[:40]!r}")
         headers = dict(x.split(": ", 1) for x in lines if ": " in x)
         length = int(headers["Content-Length"])
-        block = data[end + 4 : end + 4 + length]
-        if len(block) < length or data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
-            raise ValueError(f"WARC record at byte {at} contradicts its declared length {length}")
-        at = end + 8 + length
+        at = end + len(_END)
+        if not fill(at + length + len(_END)) or held[at + length : at + length + len(_END)] != _END:
+            raise ValueError(f"WARC record {headers.get('WARC-Record-ID')} contradicts its declared length {length}")
+        block = bytes(held[at : at + length])
+        del held[: at + length + len(_END)]
         header, payload = _split(block, headers.get("WARC-Target-URI", ""))
         digest = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
         if headers["WARC-Type"] != "revisit" and digest and digest_of(payload) != digest:
@@ -214,15 +234,15 @@ def warc_records(data: bytes) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the WARC files at ``path``; payload digests are checked."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """All records of the gzip WARC files at ``path``, in one member or one for each record;
+    payload digests are checked. A compressed file is read by one task, as a stream."""
+    chunks = spark.read.option("lineSep", _END.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                yield from _rows(warc_records(_plain(x.as_py())), [*_WARC_NAMES, "headers"], [*_WARC_TYPES, pa.map_(_STRING, _STRING)])
+        each = (x.as_py() for batch in batches for x in batch.column(0))
+        yield from _rows(warc_records(each), [*_WARC_NAMES, "headers"], [*_WARC_TYPES, pa.map_(_STRING, _STRING)])
 
-    return files.mapInArrow(run, READ_SCHEMA)
+    return chunks.mapInArrow(run, READ_SCHEMA)
 
 
 def legacy_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000") -> DataFrame:
