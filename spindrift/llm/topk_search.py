@@ -5,9 +5,11 @@ a block and a shard is one tile.  A tile is one matrix product, of which only th
 best candidates per query are kept.  The per-tile lists are merged in two levels:
 first within groups of about sqrt(shards) shards, then over the groups.
 
-Shuffled: the packed shards once for each query block, and k rows per query and tile.
-No task sees more than one shard and one block at a time, and no group grows with the
-number of equal vectors.
+Shuffled: the packed shards once for each query block, the blocks once for each group of
+SHARDS_TOGETHER shards, and k rows per query and tile. A block meets one group of shards in
+a key of its own, so the keys, and the tasks, grow with the candidates too. No task sees
+more than one shard and one block at a time, and no group grows with the number of equal
+vectors.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
+#: A query block and about so many shards have one key of the tiles' join.
+SHARDS_TOGETHER = 4
 _LIMIT = float(1 << 62)
 
 
@@ -126,6 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
 
     asked = clean(queries)
     blocks = max(1, -(-asked.count() // block_rows))
+    parts = max(1, -(-vectors.count() // (shard_rows * SHARDS_TOGETHER)))
     packed = clean(vectors).mapInArrow(lambda it: _shards(it, shard_rows), "shard long, dims int, ids binary, cells binary")
     block_of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
 
@@ -136,7 +141,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
         return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int32()), ("dims", pa.int32()), ("query_ids", pa.binary()), ("query_cells", pa.binary())]))
 
     by_block = asked.withColumn("block", block_of).groupBy("block").applyInArrow(pack_block, "block int, dims int, query_ids binary, query_cells binary")
-    tiles = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(by_block, ["block", "dims"])
+    shards = packed.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = shards.join(by_block.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["block", "part", "dims"])
     found = tiles.select("shard", "ids", "cells", "query_ids", "query_cells").mapInArrow(_tiles(k), "query_id long, vec_id long, score long, shard long")
     order = (F.col("score").desc(), F.col("vec_id"))
     group = F.pmod(F.xxhash64("shard"), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)))
