@@ -1,11 +1,13 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model per language over characters of letters and single blanks, order 4.  The
-n-grams of all languages stand in one sorted array per order (an n-gram of four 16-bit
-characters is its own 64-bit key), with a column of log probabilities for each language,
-so that one binary search scores a character under all languages.  A text goes to the
-language with the lowest cross-entropy per character; a text whose cross-entropy lies
-beyond what the language's own texts show is marked as rejected.
+One model per language over characters of letters and single blanks, order 4.  Letters
+are numbered by the alphabet of what is learned from, any code point among them; letters
+that were never seen share one number.  The n-grams of all languages stand in one sorted
+array per order (an n-gram of four 16-bit numbers is its own 64-bit key), with a column of
+log probabilities for each language, so that one binary search scores a character under
+all languages.  A text goes to the language with the lowest cross-entropy per character;
+a text whose cross-entropy lies beyond what the language's own texts show is marked as
+rejected.
 """
 
 from __future__ import annotations
@@ -26,34 +28,46 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Learned from: at most so many rows of each language, those with the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 2000
-#: Kept of the sample: the most frequent n-grams of each language.
-GRAMS_PER_LANGUAGE = 400_000
 #: A text is rejected beyond mean + REJECT standard deviations of its language's cross-entropy.
 REJECT = 4.0
 
-_LETTER = np.fromiter((chr(i).isalpha() for i in range(65536)), bool, 65536)
-_LETTER[0xD800:0xE000] = False
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 _PARTS = [np.uint64(16 * i) for i in range(ORDER)]
+#: Numbers of the blank and of letters that no learned text has; letters have the ones from 2 on.
+BLANK, UNSEEN, MOST = 0, 1, 1 << 16
 
 
-def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' characters (lower-case letters, one blank after each word) as 4-gram keys
-    that end in each character, and the offsets of the texts. Blanks stand before a text.
-    Characters beyond 16 bits are left out."""
-    units = [x.lower().encode("utf-16-le", "surrogatepass") for x in texts]
-    lengths = np.array([len(x) // 2 + 1 for x in units], np.int64)
-    u = np.frombuffer(b"\0\0".join(units) + b"\0\0", np.uint16)
-    letter = _LETTER[u]
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts in lower case, a zero after each, and the texts' offsets in them."""
+    units = [x.lower().encode("utf-32-le", "surrogatepass") for x in texts]
+    lengths = np.array([len(x) // 4 + 1 for x in units], np.int64)
+    return np.frombuffer(b"\0\0\0\0".join(units) + b"\0\0\0\0", "<u4"), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def numbering(alphabet: np.ndarray) -> np.ndarray:
+    """The number of every code point, for an alphabet (the letters beyond 65,534, if there are so many, are unseen)."""
+    out = np.full(0x110000, UNSEEN, np.uint16)
+    out[~_LETTER] = BLANK
+    out[alphabet[: MOST - 2]] = np.arange(2, 2 + min(len(alphabet), MOST - 2))
+    return out
+
+
+def characters(texts: list[str], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' characters (letters in lower case, one blank after each word) as 4-gram keys
+    that end in each character, and the offsets of the texts. Blanks stand before a text."""
+    u, bounds = _points(texts)
+    number = numbers[u]
+    letter = number != BLANK
     keep = letter.copy()
     keep[1:] |= letter[:-1] & ~letter[1:]
-    offsets = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lengths)])]
-    s = np.where(letter[keep], u[keep], 32).astype(np.uint64)
+    offsets = np.concatenate([[0], np.cumsum(keep)])[bounds]
+    s = number[keep].astype(np.uint64)
     at = np.arange(len(s)) - np.repeat(offsets[:-1], np.diff(offsets))
     key = s.copy()
     for i in range(1, ORDER):
-        before = np.full(len(s), 32, np.uint64)
+        before = np.zeros(len(s), np.uint64)
         before[i:] = s[:-i]
-        before[at < i] = 32
+        before[at < i] = BLANK
         key |= before << _PARTS[i]
     return key, offsets
 
@@ -70,8 +84,9 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Interpolated Kneser-Ney models of several languages over shared sorted arrays."""
 
-    def __init__(self, languages: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, languages: list[str], grams: list[np.ndarray], counts: list[np.ndarray], alphabet: np.ndarray):
         self.languages = languages
+        self.numbers = numbering(alphabet)
         self.limits: np.ndarray = np.full(len(languages), np.inf)
         n = len(languages)
         self.keys: list[np.ndarray] = []
@@ -97,7 +112,7 @@ class Model:
                 rest[:, i] = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
                 p[:, i] = np.maximum(count - DISCOUNT, 0) / np.maximum(total[of], 1)
             if order == 1:
-                self.unknown = rest[0] / (len(keys) + 1)
+                self.unknown = rest[0] / (len(keys) + 1)  # one more than the characters seen: all others together
                 p += self.unknown
             else:
                 p += rest[of] * lower[np.searchsorted(lower_keys, _suffix(keys, order - 1))]
@@ -127,7 +142,7 @@ class Model:
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its posterior, its cross-entropy and whether it is rejected, by text."""
         n = len(self.languages)
-        keys, offsets = characters([x or "" for x in texts])
+        keys, offsets = characters([x or "" for x in texts], self.numbers)
         sums = np.zeros((len(texts), n))
         sizes = np.diff(offsets)
         some = np.flatnonzero(sizes)
@@ -154,31 +169,42 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[str | None]:
 def fit(documents: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from a bounded sample of the rows with a language that are not held out.
 
-    n-grams are counted and summed by Spark; at most GRAMS_PER_LANGUAGE of each language
-    reach the driver, the most frequent first (ties by key).
+    The sample is drawn by hash: a threshold for each language that lets about twice as many
+    rows pass, then the smallest hashes of those. n-grams are counted and summed by Spark,
+    and all of the sample's are kept.
     """
     usable = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     ids = usable.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"))
-    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # in parts first: one language may have most rows
-        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where(F.col("r") <= sample_per_language)
+    share = small_side(written(ids.groupBy("lang").agg((F.lit(2.0 * sample_per_language) / F.count("*")).alias("share")), "languages"))
+    ids = ids.join(share, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample_per_language)
     ids = small_side(written(ids.select(F.col("id").alias("__id")).distinct(), "sample"))
     sample = usable.join(ids, usable[id_col] == ids["__id"], "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0x110000, bool)
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                seen[_points(_texts(batch, 1))[0]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen & _LETTER).astype(np.int32))], ["letter"])
+
+    seen = sample.mapInArrow(tidied(letters), "letter int").groupBy("letter").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "letter").collect()
+    alphabet = np.array([r["letter"] for r in seen], np.int64)
+    numbers = documents.sparkSession.sparkContext.broadcast(numbering(alphabet))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 langs, texts = batch.column(0).to_pylist(), _texts(batch, 1)
                 for lang in dict.fromkeys(langs):
-                    keys, counts = np.unique(characters([t for x, t in zip(langs, texts, strict=True) if x == lang])[0], return_counts=True)
+                    keys, counts = np.unique(characters([t for x, t in zip(langs, texts, strict=True) if x == lang], numbers.value)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
-    grams = sample.mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    kept = grams.withColumn("r", F.row_number().over(top)).where(F.col("r") <= GRAMS_PER_LANGUAGE).select("lang", "gram", "n").toArrow().to_pandas()
+    kept = sample.mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(kept["lang"].unique())
     by = [kept[kept["lang"] == x] for x in languages]
     order = [np.argsort(x["gram"].to_numpy().view(np.uint64)) for x in by]
-    model = Model(languages, [x["gram"].to_numpy().view(np.uint64)[o] for x, o in zip(by, order, strict=True)], [x["n"].to_numpy()[o] for x, o in zip(by, order, strict=True)])
+    model = Model(languages, [x["gram"].to_numpy().view(np.uint64)[o] for x, o in zip(by, order, strict=True)], [x["n"].to_numpy()[o] for x, o in zip(by, order, strict=True)], alphabet)
     if languages:
         own = _scored(sample.select(F.col("lang").alias("own"), F.lit(False).alias("held_out"), "text"), "string", model).where("doc_id = lang_pred").groupBy("doc_id").agg(F.avg("entropy").alias("m"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("s")).collect()
         for r in own:
