@@ -9,7 +9,7 @@ higher priority is suppressed; base rules are reported whatever suppresses them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .words import ascii_lower, n_words, text_key, words
@@ -88,6 +88,34 @@ PHRASES = (
     ("BSD", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 3, 1.0),
     ("Zlib", "warranty", r"this software is provided as is without any express or implied warranty", 2, 0.8),
     ("GPL", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public", 3, 1.0),
+    ("MIT", "permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 3, 1.0),
+    ("MIT", "merchantability", r"without warranty of any kind express or implied including but not limited to the warranties of merchantability", 2, 0.7),
+    ("BSD", "redistributions", r"redistributions of source code must retain the above copyright notice", 3, 1.0),
+    ("BSD", "redistributions", r"redistributions in binary form must reproduce the above copyright notice", 3, 1.0),
+    ("BSD-3-Clause", "endorse", r"may be used to endorse or promote products derived from this software", 4, 1.0),
+    ("BSD-4-Clause", "advertising", r"all advertising materials mentioning features or use of this software must display", 4, 1.0),
+    ("Apache-2.0", "compliance", r"you may not use this file except in compliance with the license", 4, 1.0),
+    ("Apache-2.0", "basis", r"software distributed under the license is distributed on an as is basis", 4, 1.0),
+    ("MPL-2.0", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at", 4, 1.0),
+    ("GPL", "hope", r"this program is distributed in the hope that it will be useful but without any warranty", 3, 0.9),
+    ("GPL", "received", r"you should have received a copy of the gnu general public license along with this", 3, 1.0),
+    ("LGPL", "received", r"you should have received a copy of the gnu (?:lesser|library) general public license along with this", 4, 1.0),
+    ("AGPL", "received", r"you should have received a copy of the gnu affero general public license along with this", 4, 1.0),
+    ("GPL", "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 3, 0.9),
+    ("LGPL", "library", r"this library is free software you can redistribute it", 3, 1.0),
+    ("EPL", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public", 4, 1.0),
+    ("Unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 4, 1.0),
+    ("WTFPL", "fuck", r"do what the fuck you want to", 3, 0.9),
+    ("BSL-1.0", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 4, 1.0),
+    ("Zlib", "misrepresented", r"the origin of this software must not be misrepresented", 3, 1.0),
+    ("Zlib", "altered", r"altered source versions must be plainly marked as such", 3, 1.0),
+    ("PostgreSQL", "fee", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee", 3, 0.9),
+    ("PSF", "psf", r"psf is making python available to licensee on an as is basis", 3, 1.0),
+    ("OFL", "font", r"this font software is licensed under the sil open font license", 4, 1.0),
+    ("GFDL", "invariant", r"with no invariant sections", 2, 0.8),
+    ("proprietary", "unauthorized", r"unauthorized copying of this file via any medium is strictly prohibited", 3, 0.9),
+    ("proprietary", "reproduced", r"no part of this (?:publication|book|work|document) may be reproduced", 3, 0.9),
+    ("proprietary", "trade", r"confidential and proprietary trade secrets?|trade secrets? and confidential", 2, 0.7),
     ("no-warranty", "warranty warranties", r"without (?:any )?warrant(?:y|ies)", 1, 0.3),
     ("proprietary", "proprietary", r"proprietary(?: and confidential)?(?: license)?", 1, 0.4),
 )
@@ -96,11 +124,20 @@ _LICENSE = r"(?:public )?licen[cs]e"
 _LICENSE_WORDS = ("license", "licence")
 
 
+def _number(version: str) -> str:
+    """One form of a version's number: 2 and 2.0 are the same."""
+    return version.replace(" ", ".") if " " in version else f"{version}.0"
+
+
+#: Families of which a later version may be allowed in words that are fixed.
+OR_LATER = frozenset(("GPL", "LGPL", "AGPL", "GFDL"))
+
+
 def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
     """All rules in order: number, label, keywords, pattern, priority, confidence, base.
 
     Each family gives its name with the word license, the same after a granting verb, an
-    SPDX tag, and each of these again with each version.
+    SPDX tag, and each of these again with each version, and with later ones allowed.
     """
     out: list[tuple[str, str, str, int, float, bool]] = [(label, key, phrase, 1, 0.9, True) for phrase, label, key in BASE]
     for label, key, name, versions in FAMILIES:
@@ -108,8 +145,13 @@ def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
         out.append((label, key, rf"(?:{name}){license_word}", 2, 0.8, False))
         out.append((label, key, rf"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{name}){license_word}", 3, 0.95, False))
         for v in versions:
-            exact = f"{label}-{v.replace(' ', '.')}"
+            exact = f"{label}-{_number(v)}"
             number = rf"(?:v|version )?{v}(?! \d)"
+            if label in OR_LATER:
+                later = r"or(?: at your option)?(?: any)? later(?: versions?)?"
+                out.append((f"{exact}-or-later", key, rf"(?:{name}){license_word} {number}(?: of the license)? {later}", 5, 1.0, False))
+                out.append((f"{exact}-or-later", key, rf"(?:{name}){license_word} as published by the free software foundation(?: either)? version {v}(?: of the license)? {later}", 5, 1.0, False))
+                out.append((exact, key, rf"(?:{name}){license_word} as published by the free software foundation(?: either)? version {v}(?! \d)", 4, 0.95, False))
             out.append((exact, key, rf"(?:{name}){license_word} {number}", 4, 0.95, False))
             out.append((exact, key, rf"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{name}){license_word} {number}", 5, 1.0, False))
     for code, words_ in CREATIVE:
@@ -122,8 +164,10 @@ def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
     tags = dict.fromkeys([(label, versions) for label, _, _, versions in FAMILIES])
     for label, versions in tags:
         for v in versions or ("",):
-            tag = f"{label}-{v.replace(' ', '.')}".rstrip("-")
-            out.append((tag, "spdx", rf"spdx license identifier {tag.lower().replace('-', ' ').replace('.', ' ')}(?: only| or later)?", 6, 1.0, False))
+            written, tag = f"{label} {v}".lower().replace("-", " ").strip(), f"{label}-{_number(v)}" if v else label
+            out.append((tag, "spdx", rf"spdx license identifier {written}(?: only)?(?! \d)", 6, 1.0, False))
+            if label in OR_LATER:
+                out.append((f"{tag}-or-later", "spdx", rf"spdx license identifier {written} or later", 7, 1.0, False))
     out += [(label, key, pattern, priority, score, False) for label, key, pattern, priority, score in PHRASES]
     return [(i, *x) for i, x in enumerate(dict.fromkeys(out))]
 
@@ -144,19 +188,18 @@ def _rule_table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "rule int, label string, keyword string, pattern string, priority int, confidence double, base boolean"))
 
 
-#: A character of a word of the lower-case text.
-_IN_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]"
+def _any_of(names: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in names])
 
 
 def detect(documents: DataFrame) -> DataFrame:
     """doc_id, key, rule, label, priority, confidence, base, first, last: all detections with
     their first and last word, before any suppression."""
-    text = F.lower(F.col("text"))
-    gate = F.lit(False)
-    for word in gate_words():  # the search for bytes comes first, as it is much faster
-        gate = gate | (F.contains(text, F.lit(word)) & text.rlike(f"{word}(?<!{_IN_WORD}{word})(?!{_IN_WORD})"))
+    # lower() is much faster than ascii_lower() and never merges or splits words
+    gate = F.arrays_overlap(words(F.lower(F.coalesce("text", F.lit("")))), _any_of(gate_words()))
     marked = documents.where(gate).select("doc_id", "key", words(ascii_lower(F.col("text"))).alias("w"))
-    joined = marked.select("doc_id", "key", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("line"), F.explode_outer(F.array_distinct("w")).alias("keyword"))
+    keywords = sorted({key for _, _, keys, *_ in rules() for key in keys.split()})
+    joined = marked.select("doc_id", "key", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("line"), F.explode_outer(F.array_intersect("w", _any_of(keywords))).alias("keyword"))
     tried = joined.join(_rule_table(documents.sparkSession), "keyword")
     parts = F.arrays_zip(F.expr("split(line, pattern, -1)").alias("gap"), F.expr("regexp_extract_all(line, pattern, 0)").alias("hit"))
     keys = ("doc_id", "key", "rule", "label", "priority", "confidence", "base")
