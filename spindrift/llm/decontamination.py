@@ -57,6 +57,8 @@ def _seeds(documents: DataFrame, items: DataFrame, window: int, gram: int) -> Da
     long = prints(documents, "doc_id", "key").join(test, "hash").select("doc_id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     # an item of fewer words is one window: it may begin wherever its first word stands
     short = items.select("item_id", words(_loose(F.col("text"))).alias("w")).where((F.size("w") > 0) & (F.size("w") < window)).select("item_id", F.col("w")[0].alias("word"))
+    if short.isEmpty():  # items are few and small beside the documents
+        return long.distinct()
     each = documents.select("doc_id", "key", F.posexplode_outer(words(_loose(F.col("text")))).alias("shift", "word"))
     return long.unionByName(each.join(short, "word").select("doc_id", "key", "item_id", "shift")).distinct()
 
