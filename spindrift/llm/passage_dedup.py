@@ -48,17 +48,17 @@ from .tables import written
 LENGTH = 100
 KMER = 32
 #: Bytes of text for which one bucket is planned; the number of buckets grows with the input.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Within a task, repeats are dropped among so many bytes of text.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Texts are read in portions of this size, longer ones in overlapping parts.
 SEGMENT_BYTES = 1 << 18
 #: Segments of one collection together, unless one anchor has more.
 COLLECTION_BYTES = 1 << 19
 #: Anchors are chosen with the help of about so many documents ...
-SAMPLE_DOCUMENTS = 2000
+SAMPLE_DOCUMENTS = 500
 #: ... of which so many share a substring that isn't taken if there is another,
-SAMPLE_SHARED = 10
+SAMPLE_SHARED = 5
 #: known by so many bits of its hash.
 SLOT_BITS = 20
 NO_ID = np.iinfo(np.int64).max
@@ -267,12 +267,14 @@ def find_repeats(documents: DataFrame, keyed: DataFrame, groups: int, rows: int,
         size = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            r, later = _first_of({k: np.concatenate([x[k] for x in block]) for k in _RECORD}, "key", "bytes")
-            first = {k: v[~later] for k, v in r.items()}
-            rows = _packed(first, (first["key"] % np.uint64(groups)).astype(np.int32), RECORDS)
+            whole = {k: np.concatenate([x.pop(k) for x in block]) for k in _RECORD}
+            r, later = _first_of(whole, "key", "bytes")
+            whole.clear()
             repeats = _by_document(r, later, groups, REPEATS)
             for x in repeats:  # by document group already: they pass through the next step
                 x["bucket"] += groups
+            first = {k: r.pop(k)[~later] for k in _RECORD}
+            rows = _packed(first, (first["key"] % np.uint64(groups)).astype(np.int32), RECORDS)
             yield from _table(rows + repeats).to_batches(max_chunksize=1024)
 
         for whole in batches:

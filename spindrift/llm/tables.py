@@ -9,16 +9,19 @@ from ..sources.tables import new_path, shared_folder, written  # noqa: F401
 
 #: Rows and bytes of text that a Python worker gets at once; long texts make rows large.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Rows that Spark's Parquet reader holds at once.
+READER_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of an input folder, through Spark's own reader.
 
-    Also bounds the session's Arrow batches, which otherwise hold up to 10,000 texts in the
-    executor and in the worker.
+    Also bounds the session's Arrow and Parquet batches, which otherwise hold thousands of
+    texts in the executor and in the worker.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
