@@ -56,14 +56,12 @@ def byte_level(tokenizer: Any) -> Any:
 
 
 class Tokens:
-    """Token ids of whole texts by the tokenizer file at ``path``, one worker's copy.
+    """Token ids of whole texts by the tokenizer file at ``path``.
 
     Texts with an added token's literal, and all texts of a file that isn't byte-level, are
     encoded by the tokenizer itself.
     """
 
-    _of: dict[str, "Tokens"] = {}
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
@@ -72,12 +70,6 @@ class Tokens:
         self.fast = byte_level(self.tokenizer)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
-    @classmethod
-    def of(cls, path: str) -> "Tokens":
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
-
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -97,7 +89,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
     into pieces of ``capacity`` where it is longer. A null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, checked = Tokens.of(tokenizer_path), False
+        tokens, checked = Tokens(tokenizer_path), False  # gone when the task ends
         for whole in batches:
             for batch in pieces(whole, "text"):
                 out = []
