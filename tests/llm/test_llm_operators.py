@@ -296,7 +296,7 @@ def test_passages_of_rows_with_one_id(spark):
 def test_packing(spark, texts):
     rows = texts + [(500, "<|endoftext|> it's  'll\n\n\n x"), (501, sentence(random.Random(1), 9000))]
     out = packing.best_fit_packing(frame(spark, rows), TOKENIZER).collect()
-    tokens = packing.Tokens.of(TOKENIZER)
+    tokens = packing.Tokens(TOKENIZER)
     by_doc, places = {}, {}
     for r in out:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -321,7 +321,7 @@ def test_packing(spark, texts):
 
 
 def test_tokens_of_texts_with_added_tokens(spark):
-    plain = packing.Tokens.of(TOKENIZER).tokenizer.__class__.from_file(TOKENIZER)
+    plain = packing.Tokens(TOKENIZER).tokenizer.__class__.from_file(TOKENIZER)
     rows = [(0, "x <|endoftext|> y"), (1, "<|endoftext|>"), (2, "a<|endoftext|><|endoftext|>b  c"), (3, "<|endoftext |> it's <|endoftext"), (4, "plain words only")]
     assert 50256 in plain.encode(rows[0][1], add_special_tokens=False).ids
     got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.token_pieces(frame(spark, rows), TOKENIZER).collect()}
