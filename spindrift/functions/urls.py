@@ -111,3 +111,19 @@ def upgrade_image(url: Column, image_host: str, width: int = 1200) -> Column:
     with_fit = F.when(F.array_contains(names, "fit"), with_auto).otherwise(F.array_append(with_auto, F.lit("fit=max")))
     upgraded = F.concat(_part(full, 1), F.lit("://"), _part(full, 2), _part(full, 3), F.lit("?"), F.array_join(with_fit, "&"))
     return F.when(F.contains(full, F.lit(image_host)), upgraded).otherwise(full)
+
+
+def image_of_key(key: Column, base: str, width: int = 1200) -> Column:
+    """The address of a stored image under ``base``: its key percent-encoded whole, slashes too."""
+    path = F.replace(F.url_encode(F.regexp_replace(F.trim(key), "^/+", "")), F.lit("+"), F.lit("%20"))
+    return F.concat(F.lit(base), path, F.lit(f"?w={width}&auto=format%2Ccompress&fit=max"))
+
+
+def hero_address(original: Column, key: Column, *, image_host: str, old_host: str, base: str) -> Column:
+    """A story's main image: its original address upgraded where it is one of ``image_host`` or a
+    srcset; else that of its key, which also stands in for addresses of ``old_host``; else the
+    original address as it is."""
+    url, key = (F.nullif(F.trim(c), F.lit("")) for c in (original, key))
+    by_key = F.when(key.isNotNull(), image_of_key(key, base))
+    wide = F.contains(absolute(url), F.lit(image_host)) | (F.contains(url, F.lit(",")) & F.contains(url, F.lit("w")))
+    return F.when(wide, upgrade_image(url, image_host)).when(F.contains(absolute(url), F.lit(old_host)), by_key).otherwise(F.coalesce(by_key, absolute(url)))

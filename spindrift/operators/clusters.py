@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import shared_tokens, title_tokens, token_jaccard
 from ..sources.tables import written
 from .components import components, roots
-from .similarity import centroids, dot, max_pair_similarity, neighbours, overlapping_pairs, unit
+from .similarity import centroids, dot, max_pair_similarity, neighbours, overlapping_pairs
 
 
 def _order() -> list:
@@ -108,6 +108,21 @@ def merge_clusters(clusters: DataFrame, members: DataFrame, rules: MergeRules =
     return cluster_attributes(moved), moved, scores
 
 
+def merge_statistics(clusters: DataFrame, merged: DataFrame, scores: DataFrame) -> DataFrame:
+    """examined_pairs, merged_clusters, components of a merge run, as one row."""
+    one = scores.agg(F.count("*").alias("examined_pairs"))
+    before, after = (x.agg(F.count("*").alias(n)) for x, n in ((clusters, "before"), (merged, "components")))
+    return one.join(before, F.lit(True)).join(after, F.lit(True)).select("examined_pairs", (F.col("before") - F.col("components")).alias("merged_clusters"), "components")
+
+
+def merge_log(scores: DataFrame, moved: DataFrame, now) -> DataFrame:
+    """Lines of a merge run's log: one for each pair that merged with its scores, to four
+    digits, and one for each cluster that a survivor took in (``moved``: cluster_id, survivor)."""
+    pairs = scores.where("merge").select(F.lit("pair").alias("type"), F.col("b").alias("from_cluster_id"), F.col("a").alias("to_cluster_id"), *[F.round(c, 4).alias(c) for c in ("centroid_sim", "max_pair", "jaccard")], "shared_tokens", "reasons")
+    taken = moved.where("cluster_id <> survivor").select(F.lit("merge").alias("type"), F.col("cluster_id").alias("from_cluster_id"), F.col("survivor").alias("to_cluster_id"))
+    return pairs.unionByName(taken, allowMissingColumns=True).withColumn("timestamp", now)
+
+
 def collapse_stories(stories: DataFrame, rules: MergeRules = MergeRules()) -> DataFrame:
     """id, canonical_story_id for stories (id, title, scope, priority, published_at, embedding):
     null for survivors, who have the highest priority, then the latest date."""
@@ -119,11 +134,23 @@ def collapse_stories(stories: DataFrame, rules: MergeRules = MergeRules()) -> Da
     return to.select("id", F.nullif("survivor", F.col("id")).alias("canonical_story_id"))
 
 
+def fold_for_rewriting(collapsed: DataFrame, stories: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clusters, members) after the clusters of collapsed stories went into their survivor's.
+
+    ``collapsed`` is collapse_stories' result, ``stories`` has id and cluster_id. Only groups
+    of two or more clusters are touched: their cluster is ready for the model again.
+    """
+    own = stories.select("id", "cluster_id")
+    to = own.select(F.col("id").alias("canonical_story_id"), F.col("cluster_id").alias("target"))
+    moves = collapsed.where("canonical_story_id IS NOT NULL").join(own, "id").join(to, "canonical_story_id").where("cluster_id <> target").select("cluster_id", "target").distinct()
+    moved = members.join(moves, "cluster_id", "left").withColumn("cluster_id", F.coalesce("target", "cluster_id")).drop("target")
+    touched = moves.select(F.col("target").alias("cluster_id")).distinct().withColumn("__again", F.lit(True))
+    attributes = cluster_attributes(moved).join(touched, "cluster_id", "left")
+    return attributes.withColumn("status", F.when(F.col("__again"), "ready_for_llm").otherwise(F.col("status"))).drop("__again"), moved
+
+
 def mark_ready(clusters: DataFrame, now, *, minutes: int = 10, force: bool = False) -> DataFrame:
     """Open clusters with articles and a date turn ready after ``minutes`` without a change."""
     changed = F.coalesce("updated_at", "last_published_at") if "updated_at" in clusters.columns else F.col("last_published_at")
     quiet = F.lit(force) | (F.col("last_published_at").isNotNull() & (F.col("article_count") >= 1) & (now - changed >= F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))))
     return clusters.withColumn("status", F.when((F.col("status") == "open") & F.coalesce(quiet, F.lit(False)), "ready_for_llm").otherwise(F.col("status")))
-
-
-__all__ = ["MergeRules", "assign", "cluster_attributes", "collapse_stories", "mark_ready", "merge_clusters", "merge_scores", "parents", "survivors", "unit"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,18 @@ def articles_of_json_ld(found: DataFrame, source: str, scope: str) -> DataFrame:
     )
 
 
+def fill_from_json_ld(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """Listing records (page_id, title, summary, url ...) completed by their pages' article records.
+
+    The listing's title, summary and address stay where they aren't empty; the rest is the page's.
+    """
+    page = found.withColumnsRenamed({"title": "__title", "summary": "__summary"})
+    given = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    mine = [c for c in listed.columns if c not in ("page_id", "title", "summary") and c not in page.columns]
+    out = listed.select("page_id", "title", "summary", *mine).join(page, "page_id", "left")
+    return out.withColumn("title", given("title", F.col("__title"))).withColumn("summary", given("summary", F.col("__summary"))).drop("__title", "__summary")
+
+
 def story_body(cards: Column) -> Column:
     """Paragraph texts of a story's text elements, one line each, without links to other stories and promotions."""
     elements = F.flatten(F.transform(cards, lambda c: c["story-elements"]))
@@ -111,6 +125,38 @@ def extract_meta(pages: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     return pages.select("page_id", *[F.coalesce(*[F.nullif(plain(F.regexp_extract(html, p, 1)), F.lit("")) for p in patterns]).alias(name) for name, patterns in fields.items()])
 
 
+def tag_attribute(tag: str, marks: dict[str, str], value: str) -> Column:
+    """Attribute ``value`` of the page's first ``tag`` element that has the given attributes, in any order; null if blank."""
+    every = F.regexp_extract_all(F.col("html"), F.lit(rf"(?is)<{tag}\s[^>]*>"), F.lit(0))
+    wanted = [rf"(?i)\s{name}\s*=\s*[\"']{is_}[\"']" for name, is_ in marks.items()]
+    every = F.filter(every, lambda x: reduce(lambda a, b: a & b, [F.regexp_like(x, F.lit(w)) for w in wanted]))
+    return F.nullif(plain(F.regexp_extract(F.get(every, 0), rf"(?is)\s{value}\s*=\s*[\"']([^\"']*)[\"']", 1)), F.lit(""))
+
+
+#: Where pages name their main image, in order of preference (element, attributes, value).
+IMAGE_PLACES = (("meta", {"property": "og:image"}, "content"), ("meta", {"property": "og:image:url"}, "content"), ("meta", {"name": "og:image"}, "content"), ("meta", {"itemprop": "image"}, "content"), ("link", {"rel": "image_src"}, "href"))
+
+
+def microdata_articles(pages: DataFrame, *, container: str, author_class: str = "author-name", small: str = "", large: str = "") -> DataFrame:
+    """page_id, body, image, summary, published_at (IST), tags, author of pages with microdata.
+
+    The body is the paragraphs of the element that the pattern ``container`` finds (group 1);
+    the image the first of IMAGE_PLACES, with ``small`` in its path replaced by ``large``; the
+    author a link of ``author_class``, else the name within the author's microdata.
+    """
+    found = F.transform(F.regexp_extract_all(F.regexp_extract(markup_only(F.col("html")), container, 1), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1)), plain)
+    image = F.coalesce(*[tag_attribute(*place) for place in IMAGE_PLACES])
+    linked = plain(F.regexp_extract("html", rf"(?is)class=[\"'][^\"']*\b{author_class}\b[^\"']*[\"'][^>]*>.*?<a\s?[^>]*>(.*?)</a>", 1))
+    named = F.regexp_extract("html", r"(?is)<span[^>]*itemprop=[\"']author[\"'][^>]*>.*?(<meta[^>]*>)", 1)
+    named = plain(F.when(named.rlike(r"(?i)itemprop\s*=\s*[\"']name[\"']"), F.regexp_extract(named, r"(?is)\scontent\s*=\s*[\"']([^\"']*)[\"']", 1)))
+    words = F.split(tag_attribute("meta", {"itemprop": "keywords"}, "content"), ",")
+    return pages.select(
+        "page_id", F.array_join(F.filter(found, lambda x: x != ""), "\n").alias("body"), (F.replace(image, F.lit(small), F.lit(large)) if small else image).alias("image"), tag_attribute("meta", {"itemprop": "description"}, "content").alias("summary"),
+        ist_iso(parse_datetime(tag_attribute("meta", {"itemprop": "datePublished"}, "content"))).alias("published_at"), F.filter(F.transform(words, lambda x: F.trim(x)), lambda x: x != "").alias("tags"),
+        F.coalesce(F.nullif(linked, F.lit("")), F.nullif(named, F.lit(""))).alias("author"),
+    )
+
+
 def extract_listing(pages: DataFrame, block: str, fields: dict[str, list[str]], must: str = "/news/") -> DataFrame:
     """One row per listing block whose ``url`` field contains ``must``."""
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all(markup_only(F.col("html")), F.lit(block), F.lit(1))).alias("pos", "html"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import CATEGORIES, SCOPES, scope_path
-from ..functions.times import ist_date
+from ..functions.times import ist_date, valid_date
 from ..functions.urls import publisher_of, publisher_of_url
+from ..sources.tables import written
+from .ordering import positions
 
 PAGE = 20
 
@@ -45,6 +47,20 @@ def feed(stories: DataFrame, *, page: int = 1, sort: str = "priority", nulls: st
     return top.join(F.broadcast(total), F.lit(True))
 
 
+def api_list(stories: DataFrame, *, page: int = 1, limit: int = PAGE, **where) -> DataFrame:
+    """The list an API gives: a page of PAGE rows cut to ``limit`` (held within 1 and 50), each
+    with its address and the feed's page, total_pages and total.
+
+    Pages begin at 1. ``sources`` is the array of names, where the stories have one.
+    """
+    page, limit = max(1, page), min(50, max(1, limit))
+    rows = feed(stories, page=page, **where).orderBy(*feed_order()).limit(limit)
+    path = F.concat(F.lit("/"), scope_path(F.col("scope")), F.lit("/"), F.col("slug"))
+    more = ["sources"] if "sources" in stories.columns else []
+    at = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return rows.select("id", "title", "slug", "summary", "scope", "priority", at.alias("published_at"), *more, path.alias("url"), F.lit(page).alias("page"), "total_pages", "total")
+
+
 def feed_dates(stories: DataFrame, **where) -> DataFrame:
     return feed_rows(stories, **where).select(ist_date(effective()).alias("day")).distinct()
 
@@ -53,6 +69,11 @@ def archive_dates(stories: DataFrame, now: Column, **where) -> DataFrame:
     return feed_dates(stories, **where).where(F.col("day") != ist_date(now))
 
 
+def chosen_date(stories: DataFrame, day: str, now: Column, **where) -> DataFrame:
+    """``day`` as one row where it is one of the archive's, else none."""
+    return archive_dates(stories, now, **where).where(F.col("day") == valid_date(F.lit(day)))
+
+
 def related(stories: DataFrame, n: int = 4) -> DataFrame:
     """id, related_id, rank: for every canonical story the first ``n`` others of its scope in feed order.
 
@@ -96,9 +117,13 @@ def search(stories: DataFrame, query: str, n: int = 12) -> DataFrame:
 
 def reading_queue(stories: DataFrame, **where) -> DataFrame:
     """Feed position of each story that has a path, with the ones before and after it."""
-    rows = feed_rows(stories, **where).where("slug IS NOT NULL")
-    scoped = Window.partitionBy("scope").orderBy(*feed_order())
-    return rows.select("id", "scope", F.row_number().over(scoped).alias("position"), F.lag("id").over(scoped).alias("previous_id"), F.lead("id").over(scoped).alias("next_id"))
+    rows = feed_rows(stories, **where).where("slug IS NOT NULL").select("id", "scope", "priority", "published_at")
+    placed = written(positions(rows, ["scope"], feed_order()).select("id", "scope", F.col("position").cast("int").alias("position")), "queue")
+
+    def beside(name: str, step: int) -> DataFrame:
+        return placed.select("scope", (F.col("position") + step).alias("position"), F.col("id").alias(name))
+
+    return placed.join(beside("previous_id", 1), ["scope", "position"], "left").join(beside("next_id", -1), ["scope", "position"], "left").select("id", "scope", "position", "previous_id", "next_id")
 
 
 def resolve_canonical(stories: DataFrame) -> DataFrame:
@@ -128,7 +153,7 @@ def unread_first(feed_ids: DataFrame, read_log: DataFrame, user: int) -> DataFra
     """id, is_read, position: one user's unread stories before the read ones, both in feed order."""
     mine = read_log.where(F.col("user_id") == user).select(F.col("story_id").alias("id")).distinct().withColumn("is_read", F.lit(True))
     out = feed_ids.join(mine, "id", "left").withColumn("is_read", F.coalesce("is_read", F.lit(False)))
-    return out.withColumn("position", F.row_number().over(Window.partitionBy("scope").orderBy("is_read", *feed_order()))).select("id", "is_read", "position")
+    return positions(out.select("id", "is_read", "scope", "priority", "published_at"), ["scope"], [F.col("is_read"), *feed_order()]).select("id", "is_read", F.col("position").cast("int").alias("position"))
 
 
 def story_publishers(stories: DataFrame) -> DataFrame:

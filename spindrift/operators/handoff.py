@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import CATEGORIES, SCOPES, normalize_category, normalize_scope
+from ..functions.text import json_object, story_slug
 from ..functions.urls import publisher_rank
+from ..sources.tables import written
+from .feeds import unseen
 
 _JSON = {"ignoreNullFields": "false"}
 
@@ -127,3 +130,45 @@ def representative(clusters: DataFrame, members: DataFrame) -> DataFrame:
     joined = members.join(clusters.select("cluster_id", "representative_id"), "cluster_id", "left")
     order = F.struct(F.coalesce(F.col("article_id") != F.col("representative_id"), F.lit(True)), F.col("published_at").isNull(), "published_at", "created_at", "article_id")
     return joined.groupBy("cluster_id").agg(F.min_by("article_id", order).alias("article_id"))
+
+
+def story_rows(clusters: DataFrame, members: DataFrame, answers: DataFrame, ids: Column, now: Column) -> DataFrame:
+    """One published row for each rewritten cluster of ``answers`` (cluster_id, r: a coerced second-stage result).
+
+    Title, texts, scope, category and priority are the answer's; address, source, author,
+    language and dates are the representative's; tags, sources, addresses and image are the
+    members' together. ``ids`` makes the story's id of the cluster's columns.
+    """
+    rep = representative(clusters, members).join(members.select("cluster_id", "article_id", "url", "source", *[c for c in ("author", "language", "scraped_at") if c in members.columns], "published_at"), ["cluster_id", "article_id"]).drop("article_id")
+    marked = members.join(representative(clusters, members).select("cluster_id", F.col("article_id").alias("__rep")), "cluster_id").withColumn("is_representative", F.col("article_id") == F.col("__rep")).drop("__rep")
+    both = answers.where(F.col("r.action") == "rewrite").join(rep, "cluster_id").join(story_aggregates(marked).withColumnRenamed("sources", "all_sources"), "cluster_id")
+    r = F.col("r")
+    return both.withColumn("id", ids).select(
+        "id", "cluster_id", F.coalesce(r["title"], F.lit("")).alias("title"), story_slug(F.coalesce(F.nullif(r["title"], F.lit("")), F.lit("story")), F.col("id")).alias("slug"), r["summary"].alias("summary"), r["body"].alias("body"),
+        "url", "source", *[c for c in ("author", "language", "scraped_at") if c in members.columns], "image", "tags", r["scope"].alias("scope"), r["category"].alias("category"), F.coalesce(r["priority"], F.lit(0)).alias("priority"),
+        "published_at", "source_urls", F.col("all_sources").alias("sources"), now.alias("synthesized_at"),
+    )
+
+
+def two_stages(clusters: DataFrame, members: DataFrame, known: DataFrame, first_fn: Callable[[list[str]], list[str]], second_fn: Callable[[list[str]], list[str]]) -> DataFrame:
+    """cluster_id, outcome, r (the second stage's coerced result), drop_reason for every cluster.
+
+    A cluster that isn't ready, or all of whose addresses are ``known`` (url), is skipped. The
+    first model sees titles of unseen members and keeps or drops; only what it keeps reaches
+    the second, which rewrites or drops. Each stage's answers are written, so a model is asked
+    once for a cluster.
+    """
+    ready = clusters.where("status = 'ready_for_llm'").select("cluster_id", "scope")
+    left = written(unseen(members.join(ready.select("cluster_id"), "cluster_id", "left_semi"), known), "unseen")
+    first = written(run_model(classify_payload(left), first_fn), "first").select("cluster_id", coerce_classify(json_object(F.col("answer"))).alias("first"))
+    kept = first.where(classify_error(F.col("first")).isNull() & (F.col("first.action") == "keep")).select("cluster_id")
+    payloads = rewrite_payload(ready.join(kept, "cluster_id", "left_semi"), left.join(kept, "cluster_id", "left_semi"))
+    second = written(run_model(payloads, second_fn), "second").select("cluster_id", coerce_rewrite(json_object(F.col("answer"))).alias("r"))
+    out = clusters.select("cluster_id").join(first, "cluster_id", "left").join(second, "cluster_id", "left")
+    return out.select("cluster_id", outcome(F.col("first").isNull(), F.col("first"), F.col("r")).alias("outcome"), "r", F.coalesce(F.col("first.drop_reason"), F.col("r.drop_reason")).alias("drop_reason"))
+
+
+def settle(clusters: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``clusters`` with status synthesized where the outcome is anything but failed."""
+    done = outcomes.where("outcome <> 'failed'").select("cluster_id", F.lit("synthesized").alias("__done"))
+    return clusters.join(done, "cluster_id", "left").withColumn("status", F.coalesce("__done", "status")).drop("__done")

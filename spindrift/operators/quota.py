@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import is_fresh, is_old
 from ..functions.urls import normalize_url
+from .ordering import running_sums
 
 
 def freshness(df: DataFrame, ts: str, now: Column, hours: float) -> DataFrame:
@@ -48,10 +49,8 @@ def quota_cutoff(df: DataFrame, keys: list[str], order: str, *, max_total: int =
     ``old`` (all count as fresh) the ratio is that of old ones.
     """
     legacy = "old" in df.columns
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = df.withColumn("fresh_so_far", F.count_if(F.col("class") == "fresh").over(w)).withColumn("seen", F.count("*").over(w))
-    bad = F.count_if(F.col("old")).over(w) if legacy else F.col("seen") - F.col("fresh_so_far")
-    run = run.withColumn("bad", bad)
+    bad = F.col("old") if legacy else F.col("class") != "fresh"
+    run = running_sums(df, keys, [F.col(order)], fresh_so_far=F.col("class") == "fresh", seen=F.lit(1), bad=F.coalesce(bad, F.lit(False)))
     why = F.when(F.col("fresh_so_far") >= max_total, "max_total").when((F.col("seen") >= min_check) & (F.col("bad") / F.col("seen") > max_ratio), "ratio")
     run = run.withColumn("why", why)
     stop = run.where("why IS NOT NULL").groupBy(*keys).agg(F.min(F.struct(order, "why")).alias("stop"))

@@ -32,6 +32,14 @@ def synthesis_report(results: DataFrame) -> DataFrame:
     return results.groupBy(scope.alias("scope_key")).agg(F.count("*").alias("examined"), *count.values()).withColumn("drop_rate", F.round(F.coalesce(F.try_divide(F.col("dropped") * 1.0, done), F.lit(0.0)), 4))
 
 
+def synthesis_totals(results: DataFrame, seconds: float) -> DataFrame:
+    """One row over all outcomes: counts, the drop rate in percent of model calls, clusters a second."""
+    count = [F.count_if(F.col("outcome") == o).alias(o) for o in ("rewritten", "dropped", "failed", "skipped_existing")]
+    calls = F.col("rewritten") + F.col("dropped") + F.col("failed")
+    rate = F.round(F.coalesce(F.try_divide(100.0 * F.col("dropped"), calls), F.lit(0.0)), 2)
+    return results.agg(F.count("*").alias("examined"), *count).withColumn("drop_percent", rate).withColumn("per_second", F.round(F.coalesce(F.try_divide(F.col("examined") * 1.0, F.lit(seconds)), F.lit(0.0)), 2))
+
+
 def stage_counters(articles: DataFrame, assigned: DataFrame) -> DataFrame:
     """examined, skipped (no vector), created (new clusters), joined."""
     a = assigned.agg(F.count("*").alias("placed"), F.count_if(F.col("article_id") == F.col("cluster_id")).alias("created"))

@@ -1,12 +1,25 @@
-"""Vector joins: nearest neighbours within a time window, interval pairs, centroids."""
+"""Vector joins: nearest neighbours within a time window, interval pairs, centroids.
+
+Where many vectors meet many, they meet as packs: up to PACK_ROWS vectors of one group in
+one row, so that a pair of packs is one matrix product. A group of any size is many packs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
+PACK_ROWS = 512
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -19,27 +32,74 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(d, lambda x: x / n))
 
 
-def _blocks(ts: Column, hours: int) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / (hours * 3600)).cast("long")
+_PACK = "ids binary, seconds binary, vectors binary"
+
+
+def _packs(rows: DataFrame, group: list[str], most: int = PACK_ROWS) -> DataFrame:
+    """``group`` columns and packs of about ``most`` of its rows (id, seconds, v); every row once.
+
+    Groups are cut by the hash of the id into as many parts as their counted rows need.
+    """
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts"))
+    on = F.lit(True)
+    for k in group:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    cut = rows.join(sizes.withColumnsRenamed({k: f"__{k}" for k in group}), on).withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{k} {types[k]}" for k in group) + ", " + _PACK
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        vectors = np.asarray(t["v"].combine_chunks().flatten(), np.float64)
+        cells = [pa.array([np.asarray(t[c], np.int64).tobytes()], pa.binary()) for c in ("id", "seconds")]
+        return pa.Table.from_arrays([*[t[k].slice(0, 1).combine_chunks() for k in group], *cells, pa.array([vectors.tobytes()], pa.binary())], names=[*group, "ids", "seconds", "vectors"])
+
+    return cut.select(*group, "__part", "id", "seconds", "v").groupBy(*group, "__part").applyInArrow(pack, schema)
+
+
+def _unpacked(ids: bytes, seconds: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys = np.frombuffer(ids, np.int64)
+    return keys, np.frombuffer(seconds, np.int64), np.frombuffer(vectors, np.float64).reshape(len(keys), -1)
+
+
+def _best(similarity: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k largest entries (more where the k-th ties), none of -inf."""
+    keep = similarity > -np.inf
+    if similarity.shape[1] > k:
+        keep &= similarity >= np.partition(similarity, -k, axis=1)[:, -k][:, None]
+    return np.nonzero(keep)
 
 
 def neighbours(articles: DataFrame, *, k: int = 5, hours: int = 48, least: float | None = None) -> DataFrame:
     """article_id, neighbour_id, similarity, rank: for each article the k most similar others
     of the same scope (no scope counts as one) within +-hours.
 
-    Blocks of ``hours`` make the interval an equi-join: an article meets its own block and
-    the two beside it. Only ids, times and vectors are carried; Spark splits a hot scope's
-    blocks, and keeps k rows of each article in each task before the shuffle. Articles
-    without a date or vector have no neighbours; ties go to the smaller id.
+    Blocks of ``hours`` make the interval an equi-join of packs: a pack meets those of its own
+    block and of the two beside it, and a task keeps k rows of each article and pair of packs
+    before the shuffle. Articles without a date or vector have no neighbours; ties (to twelve
+    digits) go to the smaller id. Ids are integers, vectors of one length.
     """
-    base = articles.where(F.col("published_at").isNotNull()).select("article_id", "scope", F.col("published_at").alias("t"), unit(F.col("embedding")).alias("v")).where("v IS NOT NULL").withColumn("block", _blocks(F.col("t"), hours))
-    probe = base.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    other = base.select(F.col("article_id").alias("neighbour_id"), F.col("scope").alias("s"), F.col("t").alias("nt"), F.col("v").alias("nv"), F.col("block").alias("b"))
-    near = F.abs(F.timestamp_diff("SECOND", F.col("t"), F.col("nt"))) <= hours * 3600
-    pairs = probe.join(other, (F.col("block") == F.col("b")) & F.col("scope").eqNullSafe(F.col("s")) & (F.col("article_id") != F.col("neighbour_id")) & near)
-    scored = pairs.select("article_id", "neighbour_id", dot(F.col("v"), F.col("nv")).alias("similarity"))
-    if least is not None:
-        scored = scored.where(F.col("similarity") >= least)
+    span = hours * 3600
+    seconds = F.unix_seconds(F.col("published_at").cast("timestamp"))
+    base = articles.where(F.col("published_at").isNotNull()).select(F.col("article_id").cast("long").alias("id"), "scope", seconds.alias("seconds"), unit(F.col("embedding")).alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
+    packs = written(_packs(base.withColumn("block", F.floor(F.col("seconds") / span).cast("long")), ["scope", "block"]), "packs")
+    probe = packs.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    other = packs.withColumnsRenamed({c: f"{c}2" for c in packs.columns})
+    pairs = probe.join(other, (F.col("block") == F.col("block2")) & F.col("scope").eqNullSafe(F.col("scope2")))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cells = [batch.column(c)[i].as_py() for c in range(6)]
+                (a, ta, x), (b, tb, y) = _unpacked(*cells[:3]), _unpacked(*cells[3:])
+                s = np.round(x @ y.T, 12)
+                s[(np.abs(ta[:, None] - tb[None, :]) > span) | (a[:, None] == b[None, :])] = -np.inf
+                if least is not None:
+                    s[s < least] = -np.inf
+                row, column = _best(s, k)
+                yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[column]), pa.array(s[row, column])], ["article_id", "neighbour_id", "similarity"])
+
+    scored = pairs.select("ids", "seconds", "vectors", "ids2", "seconds2", "vectors2").mapInArrow(score, "article_id long, neighbour_id long, similarity double")
     order = Window.partitionBy("article_id").orderBy(F.col("similarity").desc(), "neighbour_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -56,9 +116,9 @@ def approximate_neighbours(articles: DataFrame, *, least: float, hours: int = 48
 
 def centroids(members: DataFrame, key: str) -> DataFrame:
     """key, centroid: the unit-length mean of the members' unit vectors; null at length zero."""
-    each = members.where("embedding IS NOT NULL").select(key, F.posexplode(unit(F.col("embedding"))).alias("i", "x"))
-    mean = each.groupBy(key, "i").agg(F.avg("x").alias("x"))
-    return mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m")).select(key, unit(F.col("m")).alias("centroid"))
+    each = members.select(key, unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
+    mean = each.groupBy(key).agg(Summarizer.mean(array_to_vector("v")).alias("m"))
+    return mean.select(key, unit(vector_to_array("m")).alias("centroid"))
 
 
 def overlapping_pairs(clusters: DataFrame, *, hours: int = 48) -> DataFrame:
@@ -78,7 +138,23 @@ def overlapping_pairs(clusters: DataFrame, *, hours: int = 48) -> DataFrame:
 
 
 def max_pair_similarity(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """a, b, max_pair: the largest similarity of members across each pair of clusters."""
-    m = members.where("embedding IS NOT NULL").select("cluster_id", unit(F.col("embedding")).alias("v"))
-    joined = pairs.join(m.withColumnsRenamed({"cluster_id": "a", "v": "x"}), "a").join(m.withColumnsRenamed({"cluster_id": "b", "v": "y"}), "b")
-    return joined.groupBy("a", "b").agg(F.max(dot(F.col("x"), F.col("y"))).alias("max_pair"))
+    """a, b, max_pair: the largest similarity of members across each pair of clusters.
+
+    A cluster is one pack, or several where it is large: one product for each pair of packs.
+    """
+    v = members.select("cluster_id", F.col("article_id" if "article_id" in members.columns else "cluster_id").cast("long").alias("id"), F.lit(0).cast("long").alias("seconds"), unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
+    packs = written(_packs(v, ["cluster_id"]), "packs").select("cluster_id", "vectors", F.octet_length("ids").alias("size"))
+    a = packs.withColumnsRenamed({"cluster_id": "a", "vectors": "x", "size": "m"})
+    b = packs.withColumnsRenamed({"cluster_id": "b", "vectors": "y", "size": "n"})
+    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "m", "n", "x", "y")
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.empty(batch.num_rows)
+            for i, (m, n) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64) for c in (4, 5))
+                out[i] = (x.reshape(m // 8, -1) @ y.reshape(n // 8, -1).T).max()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "max_pair"])
+
+    kind = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
+    return joined.mapInArrow(largest, f"a {kind['a']}, b {kind['b']}, max_pair double").groupBy("a", "b").agg(F.max("max_pair").alias("max_pair"))

@@ -114,7 +114,13 @@ def url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
 
 
-@query()
+CANON = """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS s, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS h, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
+canon AS (SELECT page_id, s || '://' || h || CASE WHEN path IN ('', '/') THEN '/' ELSE rtrim(path, '/') END || CASE WHEN f = '' THEN '' ELSE '?' || f END AS url
+FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_|fbclid|gclid|mc_cid|mc_eid)'))), '&') AS f FROM p))"""
+
+
+@query(f"""{CANON}, h AS (SELECT page_id, sha1(unhex('{urls.URL_NAMESPACE}') || encode(url)) AS h FROM canon)
+SELECT page_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ['8', '9', 'a', 'b'][CAST((instr('0123456789abcdef', h[17:17]) - 1) % 4 AS INTEGER) + 1] || h[18:20], h[21:32]) AS id FROM h""")
 def url_ids(spark, d):
     return table(spark, d, "pages").select("page_id", urls.url_id(F.col("url")).alias("id"))
 
@@ -409,12 +415,6 @@ def fold_clusters(spark, d):
     return c.select("cluster_id", "article_count", "first_published_at", "last_published_at", "representative_id")
 
 
-@query()
-def story_collapse(spark, d):
-    a = A.vec_articles(spark, d).select(F.col("article_id").alias("id"), "title", "scope", "published_at", "embedding", (F.col("article_id") * 7 % 101).alias("priority"))
-    return clusters.collapse_stories(a, clusters.MergeRules(centroid=0.40, pair=0.40, soft=0.35))
-
-
 @query(f"WITH RECURSIVE {ATTRS} SELECT cluster_id, CASE WHEN TIMESTAMP '2024-01-08' - last_published_at >= INTERVAL 10 MINUTE THEN 'ready_for_llm' ELSE 'open' END AS status FROM clusters")
 def mark_ready(spark, d):
     return clusters.mark_ready(clusters.cluster_attributes(_members(spark, d)), A.ts("2024-01-08 00:00:00")).select("cluster_id", "status")
@@ -581,7 +581,11 @@ def sitemap_rows(spark, d):
     return exports.sitemap(A.stories(spark, d), SITE, now())
 
 
-@query()
+@query(
+    f"""{LIVE}, o AS (SELECT id, list_filter([['@context', 'https://schema.org'], ['@type', 'NewsArticle'], ['headline', title], ['description', summary], ['datePublished', strftime(published_at + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+05:30'], ['articleSection', category],
+['url', CASE WHEN scope IN ('India', 'World', 'Tamil Nadu') THEN {LINK} END]], lambda x: x[2] IS NOT NULL) AS f, source FROM stories)
+SELECT id, '{{' || array_to_string(list_transform(f, lambda x: '"' || x[1] || '":' || CAST(to_json(x[2]) AS VARCHAR)), ',') || ',"author":{{"@type":"Organization","name":' || CAST(to_json(source) AS VARCHAR) || '}}}}' AS jsonld FROM o"""
+)
 def story_jsonld(spark, d):
     return exports.news_jsonld(A.stories(spark, d), SITE)
 
@@ -650,12 +654,6 @@ def payload_rewrite(spark, d):
     return handoff.rewrite_payload(t.select("cluster_id", F.lit("India").alias("scope")).distinct(), t)
 
 
-@query()
-def payload_cluster(spark, d):
-    t = _turns(spark, d)
-    return handoff.cluster_payload(clusters.cluster_attributes(t.withColumn("scope", F.lit("India"))), t)
-
-
 @query()
 def model_answers(spark, d):
     """A stand-in for the model over the title payloads, and what is read from its answers."""
@@ -791,7 +789,10 @@ def page_meta(spark, d):
     return extract.extract_meta(table(spark, d, "pages"), {"lang": ['<html lang="([a-z]+)"'], "charset": ['name="charset" content="([^"]+)"', 'charset="([^"]+)"']})
 
 
-@query()
+@query(
+    f"""WITH l AS (SELECT page_id, regexp_extract_all({MARKUP}, '(?is)<li>(.*?)</li>', 1) AS x FROM pages), e AS (SELECT page_id, unnest(x) AS html, CAST(unnest(range(len(x))) AS INTEGER) AS pos FROM l),
+v AS (SELECT page_id, pos, nullif({PLAIN.format("regexp_extract(html, 'href=\"([^\"]*)\"', 1)")}, '') AS url, nullif({PLAIN.format("regexp_extract(html, '(?is)<a[^>]*>(.*?)</a>', 1)")}, '') AS title FROM e) SELECT * FROM v WHERE contains(url, '/')"""
+)
 def page_listing(spark, d):
     """Menu entries of every page as listing records."""
     return extract.extract_listing(table(spark, d, "pages"), r"(?is)<li>(.*?)</li>", {"url": [r'href="([^"]*)"'], "title": [r"(?is)<a[^>]*>(.*?)</a>"]}, must="/")

@@ -41,15 +41,15 @@ def quota_stream(classified: DataFrame, *, max_total: int = 1000, min_check: int
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fresh, seen, stopped = state.get if state.exists else (0, 0, False)
         out = []
-        for frame in frames:
-            for pos, kind in frame.sort_values("pos")[["pos", "class"]].itertuples(index=False):
-                if stopped:
-                    break
-                seen += 1
-                if kind == "fresh":
-                    fresh += 1
-                    out.append((key[0], pos))
-                stopped = fresh >= max_total or (seen >= min_check and (seen - fresh) / seen > max_ratio)
+        whole = pd.concat(list(frames))  # a trigger's rows of one scope come in parts, in no order
+        for pos, kind in whole.sort_values("pos")[["pos", "class"]].itertuples(index=False):
+            if stopped:
+                break
+            seen += 1
+            if kind == "fresh":
+                fresh += 1
+                out.append((key[0], pos))
+            stopped = fresh >= max_total or (seen >= min_check and (seen - fresh) / seen > max_ratio)
         state.update((fresh, seen, stopped))
         yield pd.DataFrame(out, columns=["scope", "pos"])
 
