@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from .arrays import BYTE_VALUES, RangeHash, flat, mix, pieces, tidied
 from .column_suffixes import suffix_order
-from .tables import written
+from .tables import BATCH_BYTES, written
 
 LENGTH = 100
 KMER = 32
@@ -208,7 +208,17 @@ def _unpacked(t: pa.Table, kind: int) -> dict[str, np.ndarray]:
 
 
 def _table(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema=_PACKED)
+    """Packed rows as a table of batches of about BATCH_BYTES."""
+    batches, part, size = [], [], 0
+    for row in rows:
+        part.append(row)
+        size += sum(len(x) for x in row.values() if isinstance(x, bytes))
+        if size > BATCH_BYTES:
+            batches.append(pa.RecordBatch.from_pylist(part, schema=_PACKED))
+            part, size = [], 0
+    if part:
+        batches.append(pa.RecordBatch.from_pylist(part, schema=_PACKED))
+    return pa.Table.from_batches(batches, _PACKED)
 
 
 def _by_document(r: dict[str, np.ndarray], keep: np.ndarray, groups: int, kind: int, *names: str) -> list[dict]:
@@ -275,7 +285,7 @@ def find_repeats(documents: DataFrame, keyed: DataFrame, groups: int, rows: int,
                 x["bucket"] += groups
             first = {k: r.pop(k)[~later] for k in _RECORD}
             rows = _packed(first, (first["key"] % np.uint64(groups)).astype(np.int32), RECORDS)
-            yield from _table(rows + repeats).to_batches(max_chunksize=1024)
+            yield from _table(rows + repeats).to_batches()
 
         for whole in batches:
             for batch in pieces(whole, "text", SEGMENT_BYTES):
@@ -408,7 +418,8 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
             if keep_text:
                 out["text"].append(data.decode("utf-8", "ignore"))
         cols = [t["doc_id"], *([pa.array(out["text"], pa.string())] if keep_text else []), *[t[f"_{i}"] for i in range(len(names))], *[pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")], pa.array(out["kept_sha256"], pa.string())]
-        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[f.name for f in out_fields])
+        whole = pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[f.name for f in out_fields])
+        return pa.Table.from_batches(whole.to_batches(max_chunksize=256), whole.schema)
 
     repeats = find_repeats(docs, keyed, groups, rows, length)
     return keyed.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(cut, T.StructType(out_fields))

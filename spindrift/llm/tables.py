@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import new_path, shared_folder, written  # noqa: F401
 
-#: Rows and bytes of text that a Python worker gets at once; long texts make rows large.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Rows and bytes of text that a Python worker gets at once. Each thread of an executor may
+#: keep the native memory of some batches, so large ones add up.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 20
 #: Rows that Spark's Parquet reader holds at once.
 READER_ROWS = 512
 
