@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontamination, near_dedup, packing, passage_dedup, quality
-from spindrift.llm.tables import table, without, written
+from spindrift.llm.tables import columns, table, without, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,20 +40,25 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     kept = without(rows, linked.join(first, "component_id").where("__key <> first").select("__key"), "__key")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["__key"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    return kept.select(*columns(docs))
 
 
 def passage_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that stand earlier too; a text that loses everything stays as an empty one."""
-    cut = passage_dedup.remove_repeats(docs)
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Cut passages that stand earlier too; a text that loses everything stays as an empty one.
+
+    All other columns stay as they are, whatever their names; n_chars follows the text.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = passage_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("__rest")))
+    out = cut.select("doc_id", "text", *[F.col(f"__rest.`{c}`") for c in rest])
+    return (out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in rest else out).select(*columns(docs))
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are contaminated with benchmark passages."""
     rows = keyed(docs)
     found = decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="__key")
-    return without(rows, found.where("contaminated").select(F.col("doc_id").alias("__key")), "__key").select(*docs.columns)
+    return without(rows, found.where("contaminated").select(F.col("doc_id").alias("__key")), "__key").select(*columns(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,10 +172,11 @@ def keep_good(documents: DataFrame, model: Neighbours, *, threshold: float = 0.7
     """The documents whose score reaches ``threshold``, with all their columns."""
     shipped = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_col)
+    plain = documents.toDF(*[f"_{i}" for i in range(len(documents.columns))])  # names with dots can't be mapped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, text_col):
+            for batch in pieces(whole, f"_{at}"):
                 yield batch.filter(pa.array(shipped.value.score(term_counts(*flat(batch.column(at)))) >= threshold))
 
-    return documents.mapInArrow(tidied(run), documents.schema)
+    return plain.mapInArrow(tidied(run), plain.schema).toDF(*documents.columns)

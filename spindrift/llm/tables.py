@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import new_path, shared_folder, written  # noqa: F401
@@ -35,6 +35,11 @@ def small_side(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by their whole names, which may hold dots."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose ``key`` is not among ``ids``; rows with a null key stay."""
-    return df.join(small_side(written(ids.where(F.col(key).isNotNull()).distinct(), "ids")), key, "left_anti").select(*df.columns)
+    return df.join(small_side(written(ids.where(F.col(key).isNotNull()).distinct(), "ids")), key, "left_anti").select(*columns(df))
