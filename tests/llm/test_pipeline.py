@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spindrift.llm import decontamination, near_dedup
@@ -80,3 +81,15 @@ def test_rows_with_one_id_and_different_texts(spark, folder):
     clean = corpus_pipeline.benchmark_filter(spark, once, folder[0])
     assert clean.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted([(5, text[0]), (5, text[1]), (0, text[2]), (0, text[3])])
+
+
+def test_columns_with_clashing_names_stay(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id BETWEEN 155 AND 180")
+    names = ("rep", "key", "value", "n_bytes", "n_removed", "kept_sha256", "component_id", "score", "sub", "bucket", "w", "a.b")
+    wide = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, wide, folder[0])
+        assert out.columns == wide.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}:{r.doc_id}" for c in names), name
+    assert corpus_pipeline.pack_sequences(spark, wide, folder[0]).count() >= 20
