@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Words that carry no topic in a title.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
+#: Where a publisher's promotion begins at the end of a body.
+PROMO_MARKERS = ("You Can Also Check:", "Stay updated with the latest", "Download the TOI App")
 BODY_LIMIT = 800
 
 

@@ -173,9 +173,8 @@ def srcset_pick(spark, d):
 
 @query("SELECT doc_id, rtrim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN text || ' Stay updated with the latest news Download the TOI App' ELSE text END, '(?s)(Stay updated with the latest|You Can Also Check:).*$', ''), E' \\n\\t\\r') AS body FROM documents")
 def promo_trim(spark, d):
-    markers = ("You Can Also Check:", "Stay updated with the latest", "Download the TOI App")
     body = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" Stay updated with the latest news Download the TOI App"))).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", text.trim_promo(body, markers).alias("body"))
+    return table(spark, d, "documents").select("doc_id", text.trim_promo(body, text.PROMO_MARKERS).alias("body"))
 
 
 # ---- filters, dedup, quotas
@@ -654,7 +653,10 @@ def payload_rewrite(spark, d):
     return handoff.rewrite_payload(t.select("cluster_id", F.lit("India").alias("scope")).distinct(), t)
 
 
-@query()
+@query(
+    f"""WITH {TURNS}, p AS (SELECT cluster_id, length(CAST(to_json({{'titles': coalesce(list(trim(title) ORDER BY published_at, article_id) FILTER (trim(title) <> ''), [])}}) AS VARCHAR)) AS n FROM turns GROUP BY cluster_id)
+SELECT cluster_id, CASE WHEN n % 2 = 1 THEN 'keep' ELSE 'drop' END AS action, CASE WHEN n % 2 = 0 THEN 'length ' || n END AS drop_reason, CAST(NULL AS VARCHAR) AS error FROM p"""
+)
 def model_answers(spark, d):
     """A stand-in for the model over the title payloads, and what is read from its answers."""
     answers = handoff.run_model(handoff.classify_payload(_turns(spark, d)), lambda batch: [f'```json\n{{"publish": {"true" if len(x) % 2 else "false"}, "reason": "length {len(x)}"}}\n```' for x in batch])

@@ -27,13 +27,32 @@ def plain(v):
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
+def nearly_all_pairs(duck, rows):
+    """Approximate neighbours are true pairs, and at least nine in ten of them."""
+    exact = duck.execute(
+        """WITH v AS (SELECT vec_id AS i, label % 3 AS s, vec_id * 37 % 240 AS h, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+        SELECT a.i, b.i, list_cosine_similarity(a.e, b.e) FROM v a JOIN v b ON a.i < b.i AND a.s = b.s AND abs(a.h - b.h) <= 48 WHERE list_cosine_similarity(a.e, b.e) >= 0.35"""
+    ).fetchall()
+    exact = {(a, b): s for a, b, s in exact}
+    assert all(abs(exact[r.a, r.b] - r.similarity) < 1e-3 for r in rows) and len(rows) >= 0.9 * len(exact)
+
+
+def unit_vectors(duck, rows):
+    """Every article without a vector has one of the encoder's now, of unit length, with its text's hash."""
+    todo = duck.execute("SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND trim(text) <> ''").fetchone()[0]
+    assert len(rows) == todo and all(r.dim == 64 and abs(r.norm - 1) < 1e-3 and len(r.text_hash) == 64 for r in rows)
+
+
+PLAIN = {"neighbors_lsh": nearly_all_pairs, "embed_articles": unit_vectors}
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, name):
     df = registry.queries()[name](spark, FOLDER)
     names = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
     if name not in registry.oracle_sql():
-        assert names
+        PLAIN[name](duck, df.collect())
         return
     result = duck.execute(registry.oracle_sql()[name])
     have = [x[0] for x in result.description]
