@@ -58,8 +58,8 @@ def byte_level(tokenizer: Any) -> Any:
 class Tokens:
     """Token ids of whole texts by the tokenizer file at ``path``.
 
-    Texts with an added token's literal, and all texts of a file that isn't byte-level, are
-    encoded by the tokenizer itself.
+    Texts with an added token's literal or too long a run of white space, and all texts of a
+    file that isn't byte-level, are encoded by the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -76,7 +76,10 @@ class Tokens:
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(x in text for x in self.added):
             return self.encode(text)
-        return self.fast.encode_to_numpy(text)
+        try:
+            return self.fast.encode_to_numpy(text)
+        except ValueError:  # its pattern engine gives up on white space of some million characters
+            return self.encode(text)
 
     def check(self, text: str) -> None:
         """Leave the fast way if it differs from the tokenizer on ``text``."""
