@@ -314,6 +314,8 @@ def test_tokens_of_odd_white_space():
         if not 0xD800 <= i < 0xE000:
             t = f"a{chr(i)}b {chr(i)} 1{chr(i)}"
             assert tokens.ids(t).tolist() == tokens.encode(t).tolist(), i
+    for t in (" " * 1_500_000 + "x", "." * 200_000, "ab" * 200_000):
+        assert np.array_equal(tokens.ids(t), tokens.encode(t))
     other = packing.Tokens(str(public_tokenizers.path("word_bpe_49k.json")))
     assert other.fast is None and other.ids("Two words").tolist() == other.encode("Two words").tolist()
 
