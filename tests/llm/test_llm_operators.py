@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -155,6 +156,20 @@ def test_decontamination(spark, texts):
     assert sum(x[4] for x in got.values()) > 3
 
 
+def test_decontamination_of_one_word_over_and_over(spark):
+    bench = spark.createDataFrame([("x", "a " * 10000), ("y", "b c " * 4000), ("z", "a b")], "item_id string, text string")
+    started = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.decontaminate(frame(spark, [(1, "a " * 20000), (2, "c " + "b c " * 9000), (3, "A b")]), bench).collect()}
+    assert got == {1: (20000, 20000, 1), 2: (18001, 18001, 1), 3: (2, 2, 1)} and time.time() - started < 60
+
+
+def test_places_of_windows(spark):
+    docs = frame(spark, [(1, "q a b c d e f g h i j k l m n"), (2, "x y x y")]).withColumn("key", F.lit(0).cast("long"))
+    items = spark.createDataFrame([("x", "a b c d e f g h i j k l m n"), ("y", "A b c d e f g h i j k l m"), ("z", "X y")], "item_id string, text string")
+    got = sorted(tuple(r) for r in decontamination.find_hits(docs, items).select("doc_id", "item_id", "start", "length").collect())
+    assert got == [(1, "x", 1, 13), (1, "x", 2, 13), (1, "y", 1, 13), (2, "z", 0, 2), (2, "z", 2, 2)]
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert decontamination.decontaminate(empty(spark), bench).count() == 0
