@@ -79,6 +79,13 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import digests, find_personal_data, fit
+
+    documents = table(spark, sf_dir, "documents")
+    return digests(find_personal_data(documents, fit(documents)))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -170,7 +177,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * 10 // 100 THEN r EN
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_near_dedup, op3_decontamination, op4_warc, op5_packing, op6_licenses, op7_quality, op8_language, op9_topk_search, op10_passage_dedup, op12_resampling)}
+    return {f.__name__: f for f in (op1_main_text, op2_near_dedup, op3_decontamination, op4_warc, op5_packing, op6_licenses, op7_quality, op8_language, op9_topk_search, op10_passage_dedup, op12_resampling, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
