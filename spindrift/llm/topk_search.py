@@ -3,7 +3,7 @@
 Rows are packed into shards (all candidates) and blocks (the queries); every pair of
 a block and a shard is one tile.  A tile is one matrix product, of which only the k
 best candidates per query are kept.  The per-tile lists are merged in two levels:
-first within groups of about sqrt(shards) shards, then over the groups.
+first within a quarter as many groups as there are shuffle partitions, then over the groups.
 
 Shuffled: the packed shards once for each query block, the blocks once for each group of
 SHARDS_TOGETHER shards, and k rows per query and tile. A block meets one group of shards in
@@ -31,9 +31,10 @@ _LIMIT = float(1 << 62)
 
 def quantised(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component, computed in double; null unless the vector
-    and all its components are present and finite. Values beyond +-2**62 are clamped."""
+    and all its components are present and finite. Values beyond +-2**62 are an error."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    floor = F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), F.lit(float(scale)) * x.cast("double")))))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    floor = F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < _LIMIT, F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a component is beyond 2**62"))))
     return F.when(finite, floor)
 
 
@@ -79,8 +80,14 @@ _SHARD = pa.schema([("shard", pa.int64()), ("dims", pa.int32()), ("ids", pa.bina
 
 
 def _product(q: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """The exact integer products: in floats as long as those hold every partial sum."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(s).max(initial=0)) * max(1, q.shape[1])
+    """The exact integer products: in floats as long as those hold every partial sum, in Python's
+    integers where 64 bits might not; an error where a product itself is beyond them."""
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(s).max(initial=0)) * max(1, q.shape[1])
+    if most >= 1 << 63:
+        whole = q.astype(object) @ s.astype(object).T
+        if max(whole.max(initial=0), -whole.min(initial=0)) >= 1 << 63:
+            raise OverflowError("an inner product is beyond 64 bits")
+        return whole.astype(np.int64)
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
     return (q.astype(kind) @ s.astype(kind).T).astype(np.int64)
 
