@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,30 +22,58 @@ def outcomes(stored: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     return joined.withColumn("prior", prior).withColumn("outcome", F.when(missing, "skipped").when(F.col("prior").isNull(), "created").when(F.col("prior") == F.col("content_hash"), "unchanged").otherwise("updated")).drop("prior", "stored_hash")
 
 
-def upsert_articles(stored: DataFrame, incoming: DataFrame, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(articles, outcomes, invalidated ids).
+OUTCOMES = ("created", "updated", "unchanged", "skipped")
 
-    The last changing record of a url gives all its fields; scraped_at is then refreshed by
-    the last later record that has one. Ids and clusters of stored rows stay; rows that
-    changed are listed as invalidated, as their vectors are out of date.
-    """
-    marked = outcomes(stored, incoming, order).where("outcome <> 'skipped'")
+
+def _applied(stored: DataFrame, marked: DataFrame, order: str) -> tuple[DataFrame, list]:
+    """Stored rows beside what the marked records of their url come to, and the columns of the result."""
     changing = F.col("outcome").isin("created", "updated")
-    payload = [c for c in incoming.columns if c not in (order, "url", "article_id", "scraped_at")]
+    payload = [c for c in marked.columns if c not in (order, "url", "article_id", "scraped_at", "outcome")]
     last = F.max(F.when(changing, F.col(order))).over(Window.partitionBy("url"))
     per = marked.withColumn("__last", last).groupBy("url").agg(
         F.max("__last").alias("__last"),
         F.max_by(F.struct(*payload), F.when(changing, F.col(order))).alias("new"),
         F.max_by("scraped_at", F.when(F.col("scraped_at").isNotNull() & (F.col("__last").isNull() | (F.col(order) >= F.col("__last"))), F.col(order))).alias("touched"),
-        F.first("article_id").alias("new_id"),
+        F.first("article_id").alias("new_id"), *[F.count_if(F.col("outcome") == o).alias(f"__{o}") for o in OUTCOMES],
     )
     joined = stored.join(per, "url", "full")
     changed = F.col("__last").isNotNull()
     kept = [c for c in stored.columns if c not in (*payload, "url", "article_id", "scraped_at")]
     scraped = F.coalesce("touched", F.when(~changed | F.col("__last").isNull(), F.col("scraped_at")))
-    articles = joined.select(F.coalesce("article_id", "new_id").alias("article_id"), "url", *[F.when(changed, F.col(f"new.{c}")).otherwise(stored[c]).alias(c) for c in payload], scraped.alias("scraped_at"), *kept)
-    stale = joined.where(F.col("article_id").isNotNull() & changed).select("article_id")
-    return articles, marked, stale
+    return joined, [F.coalesce("article_id", "new_id").alias("article_id"), F.col("url"), *[F.when(changed, F.col(f"new.{c}")).otherwise(stored[c]).alias(c) for c in payload], scraped.alias("scraped_at"), *[F.col(c) for c in kept]]
+
+
+def upsert_articles(stored: DataFrame, incoming: DataFrame, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles, outcomes, invalidated ids).
+
+    The last changing record of a url gives all its fields; scraped_at is then refreshed by
+    the last later record that has one. Ids and clusters of stored rows stay; rows that
+    changed are listed as invalidated, as their vectors are out of date.
+    """
+    marked = outcomes(stored, incoming, order).where("outcome <> 'skipped'")
+    joined, columns = _applied(stored, marked, order)
+    stale = joined.where(F.col("article_id").isNotNull() & F.col("__last").isNotNull()).select("article_id")
+    return joined.select(*columns), marked, stale
+
+
+def counted_upsert(order: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """``upsert_articles`` as a keyed table's merge, with a count of each outcome beside every row.
+
+    Records without url come out as one row that is there to be counted only (``__keep`` false),
+    so that the counters of a run are the sums of one pass, the one that writes.
+    """
+
+    def merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+        joined, columns = _applied(stored, outcomes(stored, incoming, order), order)
+        counts = [F.coalesce(f"__{o}", F.lit(0)).alias(f"__{o}") for o in OUTCOMES]
+        return joined.select(*columns, *counts, (F.coalesce("__skipped", F.lit(0)) == 0).alias("__keep"))
+
+    return merge
+
+
+def outcome_counters() -> dict[str, Column]:
+    """Counters of ``counted_upsert`` for the observation of its write."""
+    return {o: F.coalesce(F.sum(f"__{o}"), F.lit(0)) for o in OUTCOMES}
 
 
 def merge_keyed(stored: DataFrame, incoming: DataFrame, key: str, keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:

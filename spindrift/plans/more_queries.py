@@ -154,10 +154,10 @@ def hero_addresses(spark, d):
 # ---- expressions
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN DATE '2024-02-28' + CAST(event_id % 2 AS INTEGER) END AS day FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 8 = 0 THEN DATE '2024-02-28' WHEN event_id % 4 = 0 THEN DATE '2024-02-29' END AS day FROM events")
 def valid_dates(spark, d):
     i = F.col("event_id")
-    given = F.when(i % 4 == 0, F.when(i % 8 == 0, "2024-02-28").otherwise("2024-02-28")).when(i % 4 == 1, "2023-02-29").when(i % 4 == 2, "2024-2-3").otherwise("2024-01-01x")
+    given = F.when(i % 4 == 0, F.when(i % 8 == 0, "2024-02-28").otherwise("2024-02-29")).when(i % 4 == 1, "2023-02-29").when(i % 4 == 2, "2024-2-3").otherwise("2024-01-01x")
     return table(spark, d, "events").select("event_id", times.valid_date(given).alias("day"))
 
 
@@ -382,17 +382,6 @@ def quota_cutoff_old(spark, d):
     return quota.quota_cutoff(marked, ["scope"], "pos", max_total=300, min_check=100, max_ratio=0.75).select("scope", "pos", "stop_reason")
 
 
-@query("SELECT DISTINCT 'https://x.example.com/' || event_id % 300 AS url FROM events")
-def stream_dedup(spark, d):
-    source, sink = new_path(spark, "links"), new_path(spark, "first")
-    i = F.col("event_id")
-    rows = table(spark, d, "events").select(F.concat(F.lit("https://X.example.com/"), (i % 300).cast("string"), F.when(i % 2 == 0, "/?utm_source=a").otherwise("")).alias("url"), F.col("ts").cast("timestamp").alias("at"))
-    rows.write.parquet(source)
-    out = streams.dedup_stream(spark.readStream.schema(rows.schema).parquet(source), "url", "at", "3000 days")
-    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(sink).select("url")
-
-
 @query(f"WITH {A.ARTICLES} SELECT source, count(*) AS n, max(title) AS title FROM articles GROUP BY source")
 def stream_ingest(spark, d):
     """JSON Lines files taken up by micro-batches into a table."""

@@ -248,14 +248,22 @@ def _hash(df):
     return df.withColumn("content_hash", F.sha2(F.concat_ws("\n", "title", "body"), 256))
 
 
-def _upsert(spark, d):
+def _stored(spark, d):
+    a = A.articles(spark, d).select("article_id", "url", "title", "body")
+    return _hash(a.withColumn("scraped_at", A.ts("2024-01-02 00:00:00")).withColumn("cluster_id", F.col("article_id") % 10))
+
+
+def _incoming(spark, d):
     a = A.articles(spark, d).select("article_id", "url", "title", "body")
     i = F.col("article_id")
-    stored = _hash(a.withColumn("scraped_at", A.ts("2024-01-02 00:00:00")).withColumn("cluster_id", i % 10))
     one = a.where(i % 3 != 0).select((i * 2).alias("pos"), "article_id", "url", F.when(i % 5 == 0, F.concat(F.lit("changed "), "title")).otherwise(F.col("title")).alias("title"), "body", F.when(i % 7 != 0, A.ts("2024-01-30 00:00:00")).alias("scraped_at"))
     two = a.where((i % 10 == 0) & (i % 3 != 0)).select((i * 2 + 1).alias("pos"), "article_id", "url", "title", "body", A.ts("2024-01-31 00:00:00").alias("scraped_at"))
     new = a.where(i % 50 == 0).select((i + 1_000_000_000).alias("pos"), (i + 1_000_000).alias("article_id"), F.concat("url", F.lit("-new")).alias("url"), "title", "body", F.lit(None).cast("timestamp_ntz").alias("scraped_at"))
-    return upsert.upsert_articles(stored, _hash(one.unionByName(two).unionByName(new)), "pos")
+    return _hash(one.unionByName(two).unionByName(new))
+
+
+def _upsert(spark, d):
+    return upsert.upsert_articles(_stored(spark, d), _incoming(spark, d), "pos")
 
 
 @query(f"WITH {INCOMING} SELECT outcome, count(*) AS n FROM outc GROUP BY outcome")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import more_queries  # noqa: F401  registers its queries
+from . import more_queries, table_queries  # noqa: F401  register their queries
 from . import queries as _all
 
 

@@ -51,11 +51,27 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, *, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A database table read in ``parts`` ranges of a numeric key."""
+def read_jdbc(spark: SparkSession, url: str, name: str, *, key: str, parts: int, low: int | None = None, high: int | None = None, **options: str) -> DataFrame:
+    """A database table read in ``parts`` ranges of a numeric key, by as many connections.
+
+    Bounds that aren't given are asked of the database; they only place the cuts: rows beyond
+    them are in the first and last range, rows without a key in the first. Filters and columns
+    that are used later are the database's work.
+    """
+    if low is None or high is None:
+        quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+        asked = spark.read.jdbc(url, f"(SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM {name}) bounds", properties=dict(options)).first()
+        low, high = (g if g is not None else int(x or 0) for g, x in ((low, asked[0]), (high, asked[1])))
+    if high <= low or parts <= 1:
+        return spark.read.jdbc(url, name, properties=dict(options))
     return spark.read.jdbc(url, name, column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties=dict(options))
 
 
+def write_jdbc(df: DataFrame, url: str, name: str, *, parts: int = 8, mode: str = "append", **options: str) -> None:
+    """Rows into a database table by at most ``parts`` connections at once."""
+    df.coalesce(parts).write.jdbc(url, name, mode=mode, properties=dict(options))
+
+
 def write_articles(df: DataFrame, path: str) -> None:
     """JSON Lines export."""
     df.write.mode("errorifexists").json(path)

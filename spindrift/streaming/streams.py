@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..functions.urls import normalize_url
+from ..sources.keyed_table import KeyedTable
 from ..sources.readers import ARTICLE_DDL
 
+Step = Callable[[tuple | None, object], tuple[tuple, list]]
+
 
 def article_stream(spark: SparkSession, path: str) -> DataFrame:
     """New JSON Lines files of a folder as they come."""
@@ -24,19 +29,158 @@ def ingest_stream(stream: DataFrame, upsert: Callable[[DataFrame, int], None], c
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_batch(root: str, merge: Callable[[DataFrame, DataFrame], DataFrame], *, stream: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that upserts each batch once into the keyed table at ``root``.
+
+    The table's version names the last batch of ``stream`` that it holds, and a batch and its
+    number are committed by one rename: a batch that comes again after a failure changes nothing.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        KeyedTable(batch.sparkSession, root).upsert(batch, merge, stream=stream, batch=number)
+
+    return run
+
+
 def dedup_stream(stream: DataFrame, url: str, ts: str, horizon: str = "48 hours") -> DataFrame:
-    """The first of each normalised address within the horizon."""
+    """The first arrival of each normalised address; repeats within the horizon and rows later
+    than it are dropped. The state of an address goes once the watermark has passed it."""
     return stream.withColumn(url, normalize_url(F.col(url))).withWatermark(ts, horizon).dropDuplicatesWithinWatermark([url])
 
 
 def ready_sessions(events: DataFrame, key: str, ts: str, *, quiet: str = "10 minutes", late: str = "1 minute") -> DataFrame:
-    """Sessions of a cluster that end after a quiet gap; works on tables and on streams."""
+    """Sessions of a cluster that end after a quiet gap; works on tables and on streams.
+
+    A stream's sessions come out, in append mode, once the watermark (``late`` behind the
+    newest event) has passed their end; events that are later than that are dropped.
+    """
     timed = events.withWatermark(ts, late) if events.isStreaming else events
     return timed.groupBy(key, F.session_window(ts, quiet).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ready_at"), "n")
 
 
+# ---- rules that need the order of events
+
+
+class _InOrder(StatefulProcessor):
+    """Rows wait until the watermark has passed their time, then go through a step in order."""
+
+    def __init__(self, ts: str, order: list[str], step: Step, names: list[str], kept: list[str], rows: StructType, memory: StructType, horizon_ms: int | None):
+        self._ts, self._order, self._step, self._names, self._kept = ts, order, step, names, kept
+        self._schemas, self._horizon = (rows, memory), horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", self._schemas[0])
+        self._memory = handle.getValueState("memory", self._schemas[1])
+
+    def _settle(self, key: tuple, waiting: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
+        at = waiting[self._ts].astype("int64") if len(waiting) else pd.Series([], dtype="int64")
+        due = waiting[at <= watermark].sort_values(self._order)
+        later = waiting[at > watermark]
+        memory, out = self._memory.get() if self._memory.exists() else None, []
+        for row in due.itertuples(index=False):
+            memory, rows = self._step(memory, row)
+            out += [(*key, *r) for r in rows]
+        self._waiting.put([tuple(r) for r in later.itertuples(index=False)]) if len(later) else self._waiting.clear()
+        if memory is not None and len(due):
+            self._memory.update(tuple(memory))
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        if len(later):
+            self._handle.registerTimer(int(at[at > watermark].min()))
+        elif self._horizon is not None and len(due):
+            self._handle.registerTimer(int(at.max()) + self._horizon)
+        yield pd.DataFrame(out, columns=self._names)
+
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame(list(self._waiting.get()) if self._waiting.exists() else [], columns=self._kept)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        frames = [self._held(), *(f[self._kept] for f in rows)]
+        yield from self._settle(key, pd.concat([f for f in frames if len(f)] or frames[:1], ignore_index=True), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = self._held()
+        if len(held):
+            yield from self._settle(key, held, timerValues.getCurrentWatermarkInMs())
+        else:
+            self._memory.clear()
+            yield pd.DataFrame([], columns=self._names)
+
+    def close(self) -> None:
+        pass
+
+
+def in_event_order(stream: DataFrame, key: str, ts: str, step: Step, *, out: str, memory: str, late: str, order: list[str] = (), forget_ms: int | None = None) -> DataFrame:
+    """``step(memory, row) -> (memory, rows)`` over the rows of each key in the order of their time.
+
+    ``step`` is a pure function; ``memory`` is None at first and then a tuple of the type
+    ``memory``, ``out`` the type of the rows it gives, the key put before them. A row's time
+    is in milliseconds there, its fields are named as the columns. Rows wait in state until
+    the watermark (``late`` behind the newest row) has passed their time, so their order holds
+    across triggers and files; rows that come later than that are dropped. ``forget_ms`` after
+    a key's last row its memory goes. Needs the RocksDB state store (``ordered_session``).
+    Rows of one time go by the columns of ``order``. No column
+    may be named event_ms.
+    """
+    kept = [c for c in stream.columns if c != key]
+    rows = stream.withWatermark(ts, late).withColumn("event_ms", F.unix_millis(ts))
+    held = rows.select(*[F.col("event_ms").alias(c) if c == ts else F.col(c) for c in kept]).schema
+    kind = stream.select(key).schema[0].dataType.simpleString()
+    shaped = StructType.fromDDL(f"{key} {kind}, {out}")
+
+    class Processor(_InOrder):
+        def handleInputRows(self, k: tuple, frames: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+            yield from super().handleInputRows(k, (f.drop(columns=[ts]).rename(columns={"event_ms": ts}) for f in frames), timers)
+
+    processor = Processor(ts, [ts, *order], step, shaped.names, kept, held, StructType.fromDDL(memory), forget_ms)
+    return rows.groupBy(key).transformWithStateInPandas(processor, shaped, "append", "eventtime")
+
+
+def ordered_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that ``in_event_order`` needs; the given one stays as it is."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return s
+
+
+def quota_in_order(classified: DataFrame, ts: str, *, late: str, max_total: int = 1000, min_check: int = 200, max_ratio: float = 0.5) -> DataFrame:
+    """Fresh encounters (scope, pos) of each scope until its stop, in the order of time and pos,
+    whatever triggers they come in."""
+
+    def step(memory: tuple | None, row) -> tuple[tuple, list]:
+        fresh, seen, stopped = memory or (0, 0, False)
+        if stopped:
+            return (fresh, seen, stopped), []
+        seen, is_fresh = seen + 1, row.kind == "fresh"
+        fresh += is_fresh
+        stopped = fresh >= max_total or (seen >= min_check and (seen - fresh) / seen > max_ratio)
+        return (fresh, seen, stopped), [(row.pos,)] if is_fresh else []
+
+    rows = classified.select("scope", "pos", F.col("class").alias("kind"), ts)
+    return in_event_order(rows, "scope", ts, step, out="pos long", memory="fresh long, seen long, stopped boolean", late=late, order=["pos"])
+
+
+def first_in_horizon(stream: DataFrame, url: str, ts: str, tie: str, *, late: str, horizon_ms: int) -> DataFrame:
+    """url, tie: each row without a kept row of its normalised address within ``horizon_ms`` before
+    it, in the order of time; an address comes again once the horizon is over."""
+
+    def step(memory: tuple | None, row) -> tuple[tuple, list]:
+        at = getattr(row, ts)
+        if memory is not None and at - memory[0] < horizon_ms:
+            return memory, []
+        return (at,), [(getattr(row, tie),)]
+
+    rows = stream.select(normalize_url(F.col(url)).alias(url), ts, tie)
+    kind = stream.select(tie).schema[0].dataType.simpleString()
+    return in_event_order(rows, url, ts, step, out=f"{tie} {kind}", memory="last long", late=late, order=[tie], forget_ms=horizon_ms)
+
+
 def quota_stream(classified: DataFrame, *, max_total: int = 1000, min_check: int = 200, max_ratio: float = 0.5) -> DataFrame:
-    """Fresh encounters (scope, pos, class) of each scope until its stop, with counts kept as state."""
+    """Fresh encounters (scope, pos, class) of each scope until its stop, with counts kept as state.
+
+    The order holds within a trigger; ``quota_in_order`` holds it across triggers.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fresh, seen, stopped = state.get if state.exists else (0, 0, False)
