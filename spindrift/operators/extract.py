@@ -1,12 +1,14 @@
-"""Extraction from captured pages and publisher payloads, with expressions only."""
+"""Extraction from captured pages and publisher payloads: expressions, and one pass over balanced tags."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import Step, select, text_of
 from ..functions.text import normalize_whitespace
 from ..functions.times import from_epoch_ms, ist_iso, parse_datetime
 
@@ -125,38 +127,65 @@ def extract_meta(pages: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     return pages.select("page_id", *[F.coalesce(*[F.nullif(plain(F.regexp_extract(html, p, 1)), F.lit("")) for p in patterns]).alias(name) for name, patterns in fields.items()])
 
 
-def tag_attribute(tag: str, marks: dict[str, str], value: str) -> Column:
-    """Attribute ``value`` of the page's first ``tag`` element that has the given attributes, in any order; null if blank."""
-    every = F.regexp_extract_all(F.col("html"), F.lit(rf"(?is)<{tag}\s[^>]*>"), F.lit(0))
-    wanted = [rf"(?i)\s{name}\s*=\s*[\"']{is_}[\"']" for name, is_ in marks.items()]
-    every = F.filter(every, lambda x: reduce(lambda a, b: a & b, [F.regexp_like(x, F.lit(w)) for w in wanted]))
-    return F.nullif(plain(F.regexp_extract(F.get(every, 0), rf"(?is)\s{value}\s*=\s*[\"']([^\"']*)[\"']", 1)), F.lit(""))
-
-
 #: Where pages name their main image, in order of preference (element, attributes, value).
 IMAGE_PLACES = (("meta", {"property": "og:image"}, "content"), ("meta", {"property": "og:image:url"}, "content"), ("meta", {"name": "og:image"}, "content"), ("meta", {"itemprop": "image"}, "content"), ("link", {"rel": "image_src"}, "href"))
 
 
-def microdata_articles(pages: DataFrame, *, container: str, author_class: str = "author-name", small: str = "", large: str = "") -> DataFrame:
+def select_fields(pages: DataFrame, fields: dict[str, tuple[tuple[Step, ...], str]]) -> DataFrame:
+    """page_id and one list column per field: what its elements hold, in order, blanks left out.
+
+    A field is a path of steps and what to take of each element: ``text``, ``html`` (as it
+    stands) or the name of an attribute. Tags are balanced, so an element with others of its
+    kind inside is whole. Pages are read once for all fields.
+    """
+    paths = [path for path, _ in fields.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in fields]
+            for x in batch.column(1):
+                page = x.as_py() or ""
+                texts, found = select(page, paths)
+                for out, elements, (_, what) in zip(columns, found, fields.values(), strict=True):
+                    values = (text_of(texts, f) if what == "text" else page[f.begin : f.end] if what == "html" else f.attributes.get(what, "").strip() for f in elements)
+                    out.append([v for v in values if v])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.list_(pa.string())) for c in columns]], ["page_id", *fields])
+
+    source = pages.select("page_id", "html")
+    return source.mapInArrow(run, ", ".join([f"page_id {source.schema[0].dataType.simpleString()}", *[f"{n} array<string>" for n in fields]]))
+
+
+def microdata_articles(pages: DataFrame, *, container: tuple[Step, ...], author_class: str = "author-name", small: str = "", large: str = "") -> DataFrame:
     """page_id, body, image, summary, published_at (IST), tags, author of pages with microdata.
 
-    The body is the paragraphs of the element that the pattern ``container`` finds (group 1);
-    the image the first of IMAGE_PLACES, with ``small`` in its path replaced by ``large``; the
-    author a link of ``author_class``, else the name within the author's microdata.
+    The body is the paragraphs within the element that the path ``container`` selects, however
+    it is nested; the image the first of IMAGE_PLACES, with ``small`` in its path replaced by
+    ``large``; the author a link of ``author_class``, else the name within the author's microdata.
     """
-    found = F.transform(F.regexp_extract_all(F.regexp_extract(markup_only(F.col("html")), container, 1), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1)), plain)
-    image = F.coalesce(*[tag_attribute(*place) for place in IMAGE_PLACES])
-    linked = plain(F.regexp_extract("html", rf"(?is)class=[\"'][^\"']*\b{author_class}\b[^\"']*[\"'][^>]*>.*?<a\s?[^>]*>(.*?)</a>", 1))
-    named = F.regexp_extract("html", r"(?is)<span[^>]*itemprop=[\"']author[\"'][^>]*>.*?(<meta[^>]*>)", 1)
-    named = plain(F.when(named.rlike(r"(?i)itemprop\s*=\s*[\"']name[\"']"), F.regexp_extract(named, r"(?is)\scontent\s*=\s*[\"']([^\"']*)[\"']", 1)))
-    words = F.split(tag_attribute("meta", {"itemprop": "keywords"}, "content"), ",")
-    return pages.select(
-        "page_id", F.array_join(F.filter(found, lambda x: x != ""), "\n").alias("body"), (F.replace(image, F.lit(small), F.lit(large)) if small else image).alias("image"), tag_attribute("meta", {"itemprop": "description"}, "content").alias("summary"),
-        ist_iso(parse_datetime(tag_attribute("meta", {"itemprop": "datePublished"}, "content"))).alias("published_at"), F.filter(F.transform(words, lambda x: F.trim(x)), lambda x: x != "").alias("tags"),
-        F.coalesce(F.nullif(linked, F.lit("")), F.nullif(named, F.lit(""))).alias("author"),
+    places = {f"image{i}": ((Step(name, (), tuple(marks.items())),), value) for i, (name, marks, value) in enumerate(IMAGE_PLACES)}
+    meta = lambda prop: ((Step("meta", (), (("itemprop", prop),)),), "content")
+    found = select_fields(pages, {
+        "body": ((*container, Step("p")), "text"), **places, "summary": meta("description"), "published": meta("datePublished"), "words": meta("keywords"),
+        "linked": ((Step("", (author_class,)), Step("a")), "text"), "named": ((Step("span", (), (("itemprop", "author"),)), Step("meta", (), (("itemprop", "name"),))), "content"),
+    })
+    first = lambda c: F.get(F.col(c), 0)
+    image = F.coalesce(*[first(c) for c in places])
+    return found.select(
+        "page_id", F.array_join("body", "\n").alias("body"), (F.replace(image, F.lit(small), F.lit(large)) if small else image).alias("image"), first("summary").alias("summary"), ist_iso(parse_datetime(first("published"))).alias("published_at"),
+        F.filter(F.transform(F.split(first("words"), ","), lambda x: F.trim(x)), lambda x: x != "").alias("tags"), F.coalesce(first("linked"), first("named")).alias("author"),
     )
 
 
+def listing_records(pages: DataFrame, block: tuple[Step, ...], fields: dict[str, list[tuple[tuple[Step, ...], str]]], must: str = "/news/") -> DataFrame:
+    """One row per block of a listing, by balanced tags: page_id, pos, and for each field the first
+    of its places that holds something. Kept are blocks whose ``url`` contains ``must``."""
+    blocks = select_fields(pages, {"block": (block, "html")}).select("page_id", F.posexplode("block").alias("pos", "html"))
+    flat = {f"{n}_{i}": place for n, places in fields.items() for i, place in enumerate(places)}
+    found = select_fields(blocks.select(F.struct("page_id", "pos").alias("page_id"), "html"), flat)
+    one = found.select("page_id.*", *[F.coalesce(*[F.get(F.col(f"{n}_{i}"), 0) for i in range(len(places))]).alias(n) for n, places in fields.items()])
+    return one.where(F.contains("url", F.lit(must)))
+
+
 def extract_listing(pages: DataFrame, block: str, fields: dict[str, list[str]], must: str = "/news/") -> DataFrame:
     """One row per listing block whose ``url`` field contains ``must``."""
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all(markup_only(F.col("html")), F.lit(block), F.lit(1))).alias("pos", "html"))

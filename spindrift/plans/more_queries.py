@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, times, urls
+from ..functions.markup import Step
 from ..operators import clusters, extract, feeds, handoff, quota, reports, retention, upsert
 from ..sources import readers
 from ..sources.tables import new_path, table
@@ -126,19 +127,34 @@ def listing_completed(spark, d):
 
 
 @query(
-    """SELECT doc_id AS page_id, 'first ' || doc_id || chr(10) || 'second' AS body, CASE doc_id % 4 WHEN 0 THEN 'https://i/large/og' WHEN 1 THEN 'https://i/name' WHEN 2 THEN 'https://i/link' END AS image, CASE WHEN doc_id % 3 <> 0 THEN 's' || doc_id END AS summary,
+    """SELECT doc_id AS page_id, 'first ' || doc_id || chr(10) || 'quoted > ' || doc_id || chr(10) || 'second' || chr(10) || 'last & least' AS body, CASE doc_id % 4 WHEN 0 THEN 'https://i/large/og' WHEN 1 THEN 'https://i/name' WHEN 2 THEN 'https://i/link' END AS image, CASE WHEN doc_id % 3 <> 0 THEN 's' || doc_id END AS summary,
 '2024-01-02T08:34:05+05:30' AS published_at, 'a|b' AS tags, CASE doc_id % 3 WHEN 0 THEN 'Linked Name' WHEN 1 THEN 'Meta Name' END AS author FROM documents"""
 )
 def microdata_articles(spark, d):
+    """Bodies in nested containers, with others of their kind inside and beside, end tags in comments and open paragraphs."""
     i, s = F.col("doc_id"), F.col("doc_id").cast("string")
     image = F.when(i % 4 == 0, F.lit('<meta content="https://i/small/og" property="og:image"><meta itemprop="image" content="https://i/later">')).when(i % 4 == 1, F.lit("<meta name='og:image' content='https://i/name'>")).when(i % 4 == 2, F.lit('<link href="https://i/link" rel="image_src">')).otherwise(F.lit(""))
     who = F.when(i % 3 == 0, F.lit('<div class="author-name top"><a href="/x"> Linked  Name </a></div>')).when(i % 3 == 1, F.lit('<span itemprop="author"><meta itemprop="name" content="Meta Name"></span>')).otherwise(F.lit(""))
     about = F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('<meta itemprop="description" content="s'), s, F.lit('">')))
-    html = F.concat(F.lit("<html><head>"), image, about, F.lit('<meta itemprop="datePublished" content="2024-01-02T03:04:05Z"><meta itemprop="keywords" content="a, ,b"></head><body>'), who, F.lit('<div class="body"><p>first '), s, F.lit("</p><p> </p><p>sec<b>ond</b></p></div><p>outside</p></body></html>"))
-    out = extract.microdata_articles(table(spark, d, "documents").select(i.alias("page_id"), html.alias("html")), container=r'(?is)<div class="body">(.*?)</div>', small="/small/", large="/large/")
+    inner = F.concat(F.lit("<p>first "), s, F.lit('</p><div class="x"><div data-t="a > b"><p title="</div>">quoted &gt; '), s, F.lit("</p></div><!-- </div></div> --></div><p> </p><p>sec<b>ond</b><p>last &amp; <script>'</div>'</script>least</div>"))
+    body = F.concat(F.lit('<div itemprop="articleBody" class="schema"><p>alone</p></div><div class="wide body"><p>before</p><div class="schema big" itemprop="articleBody">'), inner, F.lit("<p>after</p></div><p>outside</p>"))
+    html = F.concat(F.lit("<html><head>"), image, about, F.lit('<meta itemprop="datePublished" content="2024-01-02T03:04:05Z"><meta itemprop="keywords" content="a, ,b"></head><body>'), who, body, F.lit("</body></html>"))
+    container = (Step("div", ("body",)), Step("div", ("schema",), (("itemprop", "articleBody"),)))
+    out = extract.microdata_articles(table(spark, d, "documents").select(i.alias("page_id"), html.alias("html")), container=container, small="/small/", large="/large/")
     return out.withColumn("tags", F.array_join("tags", "|"))
 
 
+@query("SELECT doc_id AS page_id, CAST(k AS INTEGER) AS pos, CASE k WHEN 0 THEN '/news/' || doc_id ELSE '/news/b' END AS url, CASE k WHEN 0 THEN 'T ' || doc_id ELSE 'B' END AS title, CASE k WHEN 0 THEN 'big.jpg' ELSE 'small.jpg' END AS image FROM documents, (VALUES (0), (2)) v(k)")
+def nested_listing(spark, d):
+    """Listing blocks with blocks' elements inside them, the middle one without a link that counts."""
+    s = F.col("doc_id").cast("string")
+    block = lambda url, title, image: F.concat(F.lit('<div class="item"><div class="picture"><div>'), F.lit(image), F.lit('</div></div><h3 class="title"><a href="'), url, F.lit('">'), title, F.lit("</a></h3></div>"))
+    html = F.concat(F.lit("<main>"), block(F.concat(F.lit("/news/"), s), F.concat(F.lit("T <i>"), s, F.lit("</i>")), '<img data-original="big.jpg" src="x.jpg">'), block(F.lit("/video/1"), F.lit("A"), ""), block(F.lit("/news/b"), F.lit(" B "), "<img data-original='' src=small.jpg>"), F.lit("</main>"))
+    picture = (Step("", ("picture",)), Step("img"))
+    fields = {"url": [((Step("h3", ("title",)), Step("a")), "href")], "title": [((Step("h3", ("title",)), Step("a")), "text")], "image": [(picture, "data-original"), (picture, "src")]}
+    return extract.listing_records(table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html")), (Step("div", ("item",)),), fields)
+
+
 @query(
     """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://img.example.com/' || page_id || '.jpg?w=1200&auto=format%2Ccompress&fit=max' WHEN 1 THEN 'https://cdn.example.com/a%2Fb' || page_id || '.jpg?w=1200&auto=format%2Ccompress&fit=max'
 WHEN 2 THEN 'https://other.example.com/x.jpg' WHEN 3 THEN NULL ELSE 'https://cdn.example.com/c%20d.jpg?w=1200&auto=format%2Ccompress&fit=max' END AS image FROM pages"""
