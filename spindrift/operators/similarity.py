@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -27,34 +27,46 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """A vector in double at unit length; null if it has no length."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    n = F.sqrt(dot(d, d))
-    return F.when(n > 0, F.transform(d, lambda x: x / n))
+    # within a lambda an expression is evaluated for each element: one-element arrays hold the
+    # vector and its length, so each is computed once
+    scaled = lambda d: F.transform(F.array(F.sqrt(dot(d, d))), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)))[0]
+    return F.transform(F.array(F.transform(v, lambda x: x.cast("double"))), scaled)[0]
 
 
-_PACK = "ids binary, seconds binary, vectors binary"
+#: Packs of one side, and of the other, that share a key where groups are many packs.
+TOGETHER = 4
 
 
-def _packs(rows: DataFrame, group: list[str], most: int = PACK_ROWS) -> DataFrame:
-    """``group`` columns and packs of about ``most`` of its rows (id, seconds, v); every row once.
+def _packs(rows: DataFrame, group: list[str], most: int = PACK_ROWS, fields: tuple[str, ...] = ("id", "seconds"), counted: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``group`` columns, part, parts and, as arrays of numbers, the ``fields`` and vectors (v) of
+    about ``most`` of the group's rows; every row once. Also the most parts that a group has.
 
-    Groups are cut by the hash of the id into as many parts as their counted rows need.
+    Groups are cut by the hash of the id into as many parts as their counted rows need. The
+    largest group's count comes to the driver, so counting is a job of its own; ``counted`` is
+    a table of the same groups, with at least as many rows, that is cheaper to count.
     """
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts"))
-    on = F.lit(True)
-    for k in group:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    cut = rows.join(sizes.withColumnsRenamed({k: f"__{k}" for k in group}), on).withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in group) + ", " + _PACK
+    largest = (rows if counted is None else counted).groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    parts = -(-largest // most)
+    if parts > 1:
+        sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+        on = F.lit(True)
+        for k in group:
+            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        cut = rows.join(sizes.withColumnsRenamed({k: f"__{k}" for k in group}), on).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    else:
+        cut = rows.withColumns({"part": F.lit(0), "parts": F.lit(1)})
+    kinds = {"bigint": np.int64, "double": np.float64, "int": np.int64}
+    names = [*group, "part", "parts"]
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by("id").combine_chunks()
         vectors = np.asarray(t["v"].combine_chunks().flatten(), np.float64)
-        cells = [pa.array([np.asarray(t[c], np.int64).tobytes()], pa.binary()) for c in ("id", "seconds")]
-        return pa.Table.from_arrays([*[t[k].slice(0, 1).combine_chunks() for k in group], *cells, pa.array([vectors.tobytes()], pa.binary())], names=[*group, "ids", "seconds", "vectors"])
+        cells = [pa.array([np.asarray(t[c], kinds[types[c]]).tobytes()], pa.binary()) for c in fields]
+        return pa.Table.from_arrays([*[t[k].slice(0, 1).combine_chunks() for k in names], *cells, pa.array([vectors.tobytes()], pa.binary())], names=[*names, *fields, "vectors"])
 
-    return cut.select(*group, "__part", "id", "seconds", "v").groupBy(*group, "__part").applyInArrow(pack, schema)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in group], "part int, parts int", *[f"{c} binary" for c in fields], "vectors binary"])
+    return cut.select(*names, *fields, "v").groupBy(*names[:-1]).applyInArrow(pack, schema), max(parts, 1)
 
 
 def _unpacked(ids: bytes, seconds: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,22 +82,72 @@ def _best(similarity: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep)
 
 
-def neighbours(articles: DataFrame, *, k: int = 5, hours: int = 48, least: float | None = None) -> DataFrame:
+def _seconds() -> Column:
+    return F.unix_seconds(F.col("published_at").cast("timestamp"))
+
+
+def article_packs(articles: DataFrame, *, hours: int = 48) -> tuple[DataFrame, int]:
+    """Packs of the articles that have a date and a vector, by scope and block of ``hours``."""
+    block = F.floor(_seconds() / (hours * 3600)).cast("long").alias("block")
+    dated = articles.where(F.col("published_at").isNotNull() & F.col("embedding").isNotNull())
+    base = dated.select(F.col("article_id").cast("long").alias("id"), "scope", block, _seconds().alias("seconds"), unit(F.col("embedding")).alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
+    return _packs(base, ["scope", "block"], counted=dated.select("scope", block))
+
+
+def store_vectors(articles: DataFrame, root: str, run: str, *, hours: int = 48) -> None:
+    """Packs of a run's articles added under ``root``, in folders by block; a repeated run replaces its own."""
+    article_packs(articles, hours=hours)[0].write.mode("overwrite").partitionBy("block").parquet(f"{root}/run={run}")
+
+
+def stored_vectors(spark: SparkSession, root: str, low: int, high: int) -> DataFrame:
+    """The stored packs of the blocks from ``low`` to ``high``; other blocks' folders aren't read."""
+    return spark.read.parquet(root).where(F.col("block").between(low, high)).withColumn("block", F.col("block").cast("long")).drop("run")
+
+
+def pack_pairs(probe: DataFrame, base: DataFrame, grid: bool) -> DataFrame:
+    """Each pack of ``probe`` beside those of ``base`` in its scope, its block and the two beside it.
+
+    With ``grid``, the packs of two groups are dealt out by cells of TOGETHER by TOGETHER, so
+    that a hot scope's pairs have many keys.
+    """
+    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
+    left = probe.withColumn("near", near)
+    right = base.withColumnsRenamed({c: f"{c}2" for c in base.columns})
+    on = (F.col("near") == F.col("block2")) & F.col("scope").eqNullSafe(F.col("scope2"))
+    if grid:
+        cells = lambda c: F.sequence(F.lit(0), F.floor((F.col(c) - 1) / TOGETHER).cast("int"))
+        sizes = lambda packs, block: packs.groupBy(F.col("scope").alias("s"), F.col("block").alias(block)).agg(F.max("parts").alias("n"))
+        own = lambda c: F.floor(F.col(c) / TOGETHER).cast("int")
+        left = left.join(sizes(base, "near"), ["near"]).where(F.col("scope").eqNullSafe(F.col("s"))).withColumn("y", F.explode(cells("n"))).withColumn("x", own("part")).drop("s", "n")
+        right = right.withColumn("from", F.explode(F.array(F.col("block2") - 1, F.col("block2"), F.col("block2") + 1)))
+        right = right.join(sizes(probe, "from"), ["from"]).where(F.col("scope2").eqNullSafe(F.col("s"))).withColumn("x2", F.explode(cells("n"))).withColumn("y2", own("part2")).drop("s", "n")
+        on = on & (F.col("block") == F.col("from")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))
+    return left.join(right, on).select("id", "seconds", "vectors", "id2", "seconds2", "vectors2")
+
+
+def neighbours(articles: DataFrame, *, k: int = 5, hours: int = 48, least: float | None = None, index: str | None = None) -> DataFrame:
     """article_id, neighbour_id, similarity, rank: for each article the k most similar others
     of the same scope (no scope counts as one) within +-hours.
 
+    With ``index``, the root that ``store_vectors`` wrote, the articles are compared with the
+    stored ones too, and only they have neighbours: what is stored isn't compared again.
+
     Blocks of ``hours`` make the interval an equi-join of packs: a pack meets those of its own
     block and of the two beside it, and a task keeps k rows of each article and pair of packs
     before the shuffle. Articles without a date or vector have no neighbours; ties (to twelve
-    digits) go to the smaller id. Ids are integers, vectors of one length.
+    digits) go to the smaller id. Ids are integers, vectors of one length. Packs are written
+    to the shared folder when this is called.
     """
     span = hours * 3600
-    seconds = F.unix_seconds(F.col("published_at").cast("timestamp"))
-    base = articles.where(F.col("published_at").isNotNull()).select(F.col("article_id").cast("long").alias("id"), "scope", seconds.alias("seconds"), unit(F.col("embedding")).alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
-    packs = written(_packs(base.withColumn("block", F.floor(F.col("seconds") / span).cast("long")), ["scope", "block"]), "packs")
-    probe = packs.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    other = packs.withColumnsRenamed({c: f"{c}2" for c in packs.columns})
-    pairs = probe.join(other, (F.col("block") == F.col("block2")) & F.col("scope").eqNullSafe(F.col("scope2")))
+    packed, parts = article_packs(articles, hours=hours)
+    probe = base = written(packed, "packs")
+    if index is not None:
+        low, high = probe.agg(F.min("block"), F.max("block")).first()
+        if low is not None:
+            old = stored_vectors(probe.sparkSession, index, low - 1, high + 1)
+            parts = max(parts, old.agg(F.max("parts")).first()[0] or 1)
+            base = probe.unionByName(old)
+    pairs = pack_pairs(probe, base, parts > TOGETHER)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +161,7 @@ def neighbours(articles: DataFrame, *, k: int = 5, hours: int = 48, least: float
                 row, column = _best(s, k)
                 yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[column]), pa.array(s[row, column])], ["article_id", "neighbour_id", "similarity"])
 
-    scored = pairs.select("ids", "seconds", "vectors", "ids2", "seconds2", "vectors2").mapInArrow(score, "article_id long, neighbour_id long, similarity double")
+    scored = pairs.mapInArrow(score, "article_id long, neighbour_id long, similarity double")
     order = Window.partitionBy("article_id").orderBy(F.col("similarity").desc(), "neighbour_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -137,13 +199,66 @@ def overlapping_pairs(clusters: DataFrame, *, hours: int = 48) -> DataFrame:
     return w.join(o, on & first).select(F.col("cluster_id").alias("a"), "b")
 
 
+def close_clusters(clusters: DataFrame, members: DataFrame, *, hours: int, centroid: float, pair: float, soft: float) -> DataFrame:
+    """a, b, centroid_sim, max_pair: the pairs of ``overlapping_pairs`` that a merge rule could join.
+
+    Kept are pairs whose centroids are at least ``soft`` or ``centroid`` alike, and pairs whose
+    members could be ``pair`` alike: a member is no further from its centroid than the
+    cluster's radius, so the angle of two members is at least that of the centroids less both
+    radii. All others are left out without a product of members. max_pair is known here only
+    for two clusters of one member each (it is the centroids' similarity), else null.
+    """
+    size = 2 * hours * 3600
+    centres = centroids(members, "cluster_id").where("centroid IS NOT NULL")
+    each = members.select("cluster_id", unit(F.col("embedding")).alias("v")).where("v IS NOT NULL").join(centres, "cluster_id")
+    reach = each.groupBy("cluster_id").agg(F.min(dot(F.col("v"), F.col("centroid"))).alias("reach"), F.count("*").alias("n"), F.any_value("centroid").alias("v"))
+    edge = lambda c, s: F.unix_seconds(F.col(c).cast("timestamp")) + s * hours * 3600
+    w = clusters.where("first_published_at IS NOT NULL").select("cluster_id", "scope", edge("first_published_at", -1).alias("lo"), edge("last_published_at", 1).alias("hi"))
+    w = written(w.join(reach, "cluster_id"), "centres").withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))))
+    packed, parts = _packs(w.withColumn("id", F.col("cluster_id").cast("long")), ["scope", "block"], PACK_ROWS, ("id", "lo", "hi", "n", "reach"))
+    left = written(packed, "packs")
+    if parts > TOGETHER:  # both sides are of one group, so each row knows how many cells there are
+        cells, own = F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / TOGETHER).cast("int")), F.floor(F.col("part") / TOGETHER).cast("int")
+        right = left.withColumn("x", F.explode(cells)).withColumn("y", own)
+        left = left.withColumn("y", F.explode(cells)).withColumn("x", own)
+    else:
+        left = left.withColumns({"x": F.lit(0), "y": F.lit(0)})
+        right = left
+    right = right.withColumnsRenamed({c: f"{c}2" for c in right.columns})
+    on = (F.col("block") == F.col("block2")) & F.col("scope").eqNullSafe(F.col("scope2")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")) & (F.col("part") <= F.col("part2"))
+    names = ("id", "lo", "hi", "n", "reach", "vectors")
+    pairs = left.join(right, on).select("block", "part", "part2", *names, *[f"{c}2" for c in names])
+
+    def angles(cosine: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(cosine, -1, 1))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, p, q, *cells = [batch.column(c)[i].as_py() for c in range(15)]
+                a, lo, hi, n = (np.frombuffer(c, np.int64) for c in cells[:4])
+                b, lo2, hi2, n2 = (np.frombuffer(c, np.int64) for c in cells[6:10])
+                r, r2 = np.frombuffer(cells[4], np.float64), np.frombuffer(cells[10], np.float64)
+                x, y = np.frombuffer(cells[5], np.float64).reshape(len(a), -1), np.frombuffer(cells[11], np.float64).reshape(len(b), -1)
+                s = x @ y.T
+                meet = (lo[:, None] <= hi2[None, :]) & (lo2[None, :] <= hi[:, None]) & (np.maximum(lo[:, None], lo2[None, :]) // size == block)
+                meet &= a[:, None] < b[None, :] if p == q else a[:, None] != b[None, :]
+                most = np.cos(np.maximum(0, angles(s) - angles(r)[:, None] - angles(r2)[None, :])) + 1e-9
+                row, column = np.nonzero(meet & ((s >= min(centroid, soft)) | (most >= pair)))
+                one, two, alike = a[row], b[column], s[row, column]
+                single = (n[row] == 1) & (n2[column] == 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(alike), pa.array(alike, mask=~single)], ["a", "b", "centroid_sim", "max_pair"])
+
+    return pairs.mapInArrow(close, "a long, b long, centroid_sim double, max_pair double")
+
+
 def max_pair_similarity(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """a, b, max_pair: the largest similarity of members across each pair of clusters.
 
     A cluster is one pack, or several where it is large: one product for each pair of packs.
     """
-    v = members.select("cluster_id", F.col("article_id" if "article_id" in members.columns else "cluster_id").cast("long").alias("id"), F.lit(0).cast("long").alias("seconds"), unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
-    packs = written(_packs(v, ["cluster_id"]), "packs").select("cluster_id", "vectors", F.octet_length("ids").alias("size"))
+    v = members.select("cluster_id", F.col("article_id" if "article_id" in members.columns else "cluster_id").cast("long").alias("id"), unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
+    packs = written(_packs(v, ["cluster_id"], PACK_ROWS, ("id",), members.select("cluster_id"))[0], "packs").select("cluster_id", "vectors", F.octet_length("id").alias("size"))
     a = packs.withColumnsRenamed({"cluster_id": "a", "vectors": "x", "size": "m"})
     b = packs.withColumnsRenamed({"cluster_id": "b", "vectors": "y", "size": "n"})
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "m", "n", "x", "y")

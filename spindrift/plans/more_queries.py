@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text, times, urls
 from ..functions.markup import Step
-from ..operators import clusters, extract, feeds, handoff, quota, reports, retention, upsert
+from ..operators import clusters, extract, feeds, handoff, quota, reports, retention, similarity, upsert
 from ..sources import readers
-from ..sources.tables import new_path, table
+from ..sources.tables import new_path, table, written
 from ..streaming import streams
 from . import adapters as A
-from .queries import LIVE, MERGE, NOW_SQL, ORDER, PATH, QUOTA, SCORES, TOKENS, TURNS, _members, _outcomes, _turns, now, query
+from .queries import FOLD, LIVE, MERGE, NOW_SQL, ORDER, PAIRS, PATH, QUOTA, RULES, SCORES, TOKENS, TURNS, _members, _outcomes, _turns, now, query
 
 LINE = "split_part(text, chr(10), 1)"
 
@@ -255,16 +255,17 @@ def feed_dated_first(spark, d):
 def merge_run(spark, d):
     m = _members(spark, d)
     c = clusters.cluster_attributes(m)
-    merged, _, scores = clusters.merge_clusters(c, m, MERGE)
-    return clusters.merge_statistics(c, merged, scores)
+    merged, _, _ = clusters.merge_clusters(c, m, MERGE)
+    return clusters.merge_statistics(c, merged, similarity.overlapping_pairs(c, hours=MERGE.hours))
 
 
-@query(f"WITH RECURSIVE {SCORES} SELECT 'pair' AS type, b AS from_cluster_id, a AS to_cluster_id, round(cs, 4) AS centroid_sim FROM edge WHERE r1 OR r2 OR r3")
+@query(f"WITH RECURSIVE {FOLD} SELECT 'pair' AS type, b AS from_cluster_id, a AS to_cluster_id, round(cs, 4) AS centroid_sim, round(mpv, 4) AS max_pair, round(j, 4) AS jaccard, CAST(shared AS INTEGER) AS shared_tokens, concat_ws(',', CASE WHEN r1 THEN 'centroid' END, CASE WHEN r2 THEN 'pairwise' END, CASE WHEN r3 THEN 'title_soft' END) AS reasons FROM edge WHERE r1 OR r2 OR r3 UNION ALL SELECT 'merge', id, survivor, NULL, NULL, NULL, NULL, NULL FROM surv WHERE id <> survivor")
 def merge_lines(spark, d):
+    """The log of a merge run: each pair that merged with its scores, each cluster that was taken in."""
     m = _members(spark, d)
-    scores = clusters.merge_scores(clusters.cluster_attributes(m), m, MERGE)
-    none = scores.select(F.col("a").alias("cluster_id"), F.col("a").alias("survivor"))
-    return clusters.merge_log(scores, none, now()).select("type", "from_cluster_id", "to_cluster_id", "centroid_sim")
+    c = clusters.cluster_attributes(m)
+    scores = written(clusters.merge_scores(c, m, MERGE), "scores")
+    return clusters.merge_log(scores, clusters.merge_targets(c, scores), now()).drop("timestamp")
 
 
 COLLAPSE = f"""{A.VEC_ARTICLES}, s AS (SELECT article_id AS id, title, scope, published_at AS p, article_id * 7 % 101 AS priority, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u, {{tokens}} AS t FROM vec_articles),
@@ -291,19 +292,43 @@ def story_collapse(spark, d):
     return clusters.collapse_stories(_vec_stories(spark, d), STORY_RULES)
 
 
-@query(_collapse_sql(", moves AS (SELECT DISTINCT id // 2 AS c, survivor // 2 AS t FROM surv WHERE id <> survivor AND id // 2 <> survivor // 2), m AS (SELECT article_id, coalesce(t, article_id // 2) AS cluster_id FROM vec_articles LEFT JOIN (SELECT c, min(t) AS t FROM moves GROUP BY c HAVING count(*) = 1) ON c = article_id // 2 WHERE article_id // 2 NOT IN (SELECT c FROM moves GROUP BY c HAVING count(*) > 1)) SELECT cluster_id, count(*) AS article_count, CASE WHEN cluster_id IN (SELECT min(t) FROM moves GROUP BY c HAVING count(*) = 1) THEN 'ready_for_llm' ELSE 'open' END AS status FROM m GROUP BY cluster_id"))
+FOLDED = """, moves AS (SELECT DISTINCT id // 2 AS a, survivor // 2 AS b FROM surv WHERE id // 2 <> survivor // 2), ml AS (SELECT a, b FROM moves UNION SELECT b, a FROM moves),
+mreach(id, other) AS (SELECT a, a FROM ml UNION SELECT r.id, ml.b FROM mreach r JOIN ml ON ml.a = r.other), mc AS (SELECT id, min(other) AS component FROM mreach GROUP BY id), mt AS (SELECT component, min(b) AS target FROM moves JOIN mc ON mc.id = b GROUP BY component),
+m AS (SELECT article_id, coalesce(target, article_id // 2) AS cluster_id, target IS NOT NULL AS again FROM vec_articles LEFT JOIN mc ON mc.id = article_id // 2 LEFT JOIN mt USING (component)) SELECT cluster_id, count(*) AS article_count, CASE WHEN bool_or(again) THEN 'ready_for_llm' ELSE 'open' END AS status FROM m GROUP BY cluster_id"""
+
+
+@query(_collapse_sql(FOLDED))
 def collapse_folded(spark, d):
-    """Clusters of two articles each, after their collapsed stories' clusters were folded; clusters
-    whose stories go to two different ones are left out."""
-    a = A.vec_articles(spark, d)
+    """Clusters of two articles each, after their collapsed stories' clusters were folded, by groups that share one."""
     stories = _vec_stories(spark, d).select("id", F.floor(F.col("id") / 2).alias("cluster_id"))
-    found = clusters.collapse_stories(_vec_stories(spark, d), STORY_RULES)
-    own = stories.select("id", "cluster_id")
-    moves = found.where("canonical_story_id IS NOT NULL").join(own, "id").join(own.select(F.col("id").alias("canonical_story_id"), F.col("cluster_id").alias("t")), "canonical_story_id").where("cluster_id <> t")
-    twice = moves.groupBy("cluster_id").agg(F.count_distinct("t").alias("n")).where("n > 1").select("cluster_id")
-    members = a.withColumn("cluster_id", F.floor(F.col("article_id") / 2)).join(twice, "cluster_id", "left_anti")
-    left = found.join(own.join(twice, "cluster_id", "left_semi").select("id"), "id", "left_anti")
-    return clusters.fold_for_rewriting(left, stories, members)[0].select("cluster_id", "article_count", "status")
+    members = A.vec_articles(spark, d).withColumn("cluster_id", F.floor(F.col("article_id") / 2))
+    found = written(clusters.collapse_stories(_vec_stories(spark, d), STORY_RULES), "collapsed")
+    return clusters.fold_for_rewriting(found, stories, members)[0].select("cluster_id", "article_count", "status")
+
+
+# ---- runs one after the other
+
+TWO_RUNS = PAIRS.replace("pairs AS (", "firsts AS (SELECT article_id FROM vec_articles WHERE article_id % 3 <> 2), pairs AS (") + """,
+need AS (SELECT *, sim >= CASE WHEN s1 = s2 THEN 0.32 ELSE 0.25 END AS good FROM pairs),
+n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY sim DESC, neighbour_id) AS r FROM need WHERE article_id IN (FROM firsts) AND neighbour_id IN (FROM firsts)) WHERE r <= 5),
+n2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY sim DESC, neighbour_id) AS r FROM need WHERE article_id NOT IN (FROM firsts)) WHERE r <= 5),
+best AS (SELECT article_id, arg_min(neighbour_id, r) AS parent FROM n1 WHERE good AND (p2, c2, neighbour_id) < (p1, c1, article_id) GROUP BY article_id
+  UNION ALL SELECT article_id, arg_min(neighbour_id, r) FROM n2 WHERE good AND (neighbour_id IN (FROM firsts) OR (p2, c2, neighbour_id) < (p1, c1, article_id)) GROUP BY article_id),
+up AS (SELECT article_id, parent FROM vec_articles LEFT JOIN best USING (article_id)),
+walk(article_id, cluster_id) AS (SELECT article_id, article_id FROM up UNION ALL SELECT w.article_id, u.parent FROM walk w JOIN up u ON u.article_id = w.cluster_id WHERE u.parent IS NOT NULL)
+SELECT w.article_id, w.cluster_id FROM walk w JOIN up u ON u.article_id = w.cluster_id WHERE u.parent IS NULL"""
+
+
+@query(f"WITH RECURSIVE {TWO_RUNS}")
+def assign_in_two_runs(spark, d):
+    """Two thirds of the articles, then the rest, which is compared with the stored vectors of the first run."""
+    a = A.vec_articles(spark, d)
+    index = new_path(spark, "vectors")
+    old = a.where("article_id % 3 <> 2")
+    similarity.store_vectors(old, index, "1")
+    first = written(clusters.assign(old, **RULES), "first")
+    second = clusters.assign_new(a.join(first, "article_id", "left"), index, "2", **RULES)
+    return first.unionByName(second)
 
 
 # ---- hand-off

@@ -12,9 +12,10 @@ from spindrift.sources import tables
 from spindrift.streaming import streams
 
 
-def test_neighbours_of_a_hot_scope(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "PACK_ROWS", 16)
-    monkeypatch.setattr(similarity._packs, "__defaults__", (16,))
+@pytest.mark.parametrize("together", [100, 1, 2])
+def test_neighbours_of_a_hot_scope(spark, monkeypatch, together):
+    monkeypatch.setattr(similarity._packs, "__defaults__", (16, ("id", "seconds"), None))
+    monkeypatch.setattr(similarity, "TOGETHER", together)
     rng = np.random.default_rng(5)
     base = rng.standard_normal((150, 6))
     base[40] = base[41] = base[42]  # ties
@@ -41,6 +42,84 @@ def test_largest_similarity_of_large_clusters(spark):
         assert abs(r.max_pair - (x @ y.T).max()) < 1e-9
 
 
+def vectors(rng, n, scopes="aab", hours=400, dims=6):
+    v = rng.standard_normal((n, dims))
+    rows = [(i, scopes[i % len(scopes)], int(rng.integers(0, hours)), [float(x) for x in v[i]], f"s{i % 4}") for i in range(n)]
+    return rows, v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def article_frame(spark, rows):
+    df = spark.createDataFrame(rows, "article_id long, scope string, h int, embedding array<double>, source string")
+    at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.col("h"))
+    return df.withColumns({"published_at": at, "created_at": at, "title": F.lit("t")})
+
+
+def test_a_second_run_compares_only_new_articles(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows, unit = vectors(rng, 240)
+    a, root = article_frame(spark, rows), str(tmp_path / "index")
+    similarity.store_vectors(a.where("article_id < 200"), root, "1")
+    similarity.store_vectors(a.where("article_id < 200"), root, "1")  # a repeated run
+    new = a.where("article_id >= 200")
+    got = {}
+    for r in similarity.neighbours(new, k=4, index=root).collect():
+        got.setdefault(r.article_id, []).append((r.rank, r.neighbour_id))
+    for i, s, h, _, _ in rows:
+        near = sorted((-round(float(unit[i] @ unit[j]), 12), j) for j, t, g, _, _ in rows if j != i and t == s and abs(h - g) <= 48)[:4]
+        assert sorted(got.get(i, [])) == ([(n, j) for n, (_, j) in enumerate(near, 1)] if i >= 200 else [])
+    packs = similarity.article_packs(new)[0]
+    low, high = packs.agg(F.min("block"), F.max("block")).first()
+    pairs = similarity.pack_pairs(packs, packs.unionByName(similarity.stored_vectors(spark, root, low - 1, high + 1)), False)
+    compared = sum(len(r.id) * len(r.id2) // 64 for r in pairs.select("id", "id2").collect())
+    assert compared <= 40 * 240  # each new article with all at most, no stored one with another
+    near_only = similarity.stored_vectors(spark, root, 0, 0)
+    assert near_only.inputFiles() and "PartitionFilters: [isnotnull(block" in near_only._jdf.queryExecution().executedPlan().toString()
+
+
+def test_assignment_of_new_articles(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows, _ = vectors(rng, 120, scopes="a", hours=200)
+    a, root = article_frame(spark, rows), str(tmp_path / "index")
+    rules = {"cross": 0.6, "same": 0.7}
+    similarity.store_vectors(a.where("article_id % 3 <> 2"), root, "1")
+    first = tables.written(clusters.assign(a.where("article_id % 3 <> 2"), **rules), "first")
+    known = a.join(first, "article_id", "left")
+    whole = {r.article_id: r.cluster_id for r in clusters.assign(known, **rules).collect()}
+    new = {r.article_id: r.cluster_id for r in clusters.assign_new(known, root, "2", **rules).collect()}
+    assert new == {i: c for i, c in whole.items() if i % 3 == 2} and any(c != i for i, c in new.items())
+    assert sum(len(r.id) // 8 for r in spark.read.parquet(root).select("id").collect()) == 120
+
+
+@pytest.mark.parametrize("together", [100, 1])
+def test_bounds_leave_out_only_what_cannot_merge(spark, monkeypatch, together):
+    monkeypatch.setattr(similarity, "PACK_ROWS", 16)
+    monkeypatch.setattr(similarity, "TOGETHER", together)
+    rng = np.random.default_rng(10)
+    rows, unit = vectors(rng, 160, hours=150)
+    df = article_frame(spark, rows).withColumn("cluster_id", F.when(F.col("article_id") % 2 == 0, F.col("article_id")).otherwise(F.floor(F.col("article_id") / 6) * 6))
+    own = {i: (i if i % 2 == 0 else i // 6 * 6) for i, *_ in rows}
+    df = df.withColumn("scope", F.lit("a"))
+    c = clusters.cluster_attributes(df)
+    rules = clusters.MergeRules(centroid=0.7, pair=0.75, soft=0.6)
+    scores = tables.written(clusters.merge_scores(c, df, rules), "scores")
+    got = {(r.a, r.b): (round(r.centroid_sim, 9), round(r.max_pair, 9)) for r in scores.collect()}
+    window = {r.cluster_id: (r.first_published_at, r.last_published_at) for r in c.collect()}
+    members = {k: np.array([unit[i] for i in own if own[i] == k]) for k in window}
+    centre = {k: v.mean(0) / np.linalg.norm(v.mean(0)) for k, v in members.items()}
+    pairs = {(r.a, r.b) for r in similarity.overlapping_pairs(c).collect()}
+    want = {p: (round(float(centre[p[0]] @ centre[p[1]]), 9), round(float((members[p[0]] @ members[p[1]].T).max()), 9)) for p in pairs}
+    assert set(got) <= pairs and all(np.allclose(got[p], want[p], atol=1e-8) for p in got)
+    left_out = [want[p] for p in pairs - set(got)]
+    assert left_out and all(s < 0.6 and m < 0.75 for s, m in left_out)
+    assert {(r.a, r.b) for r in scores.where("merge").collect()} >= {p for p, (s, m) in want.items() if s >= 0.7 + 1e-9 or m >= 0.75 + 1e-9}
+
+
+def test_survivors(spark):
+    groups = spark.createDataFrame([(1, 1, 5, None), (2, 1, 7, 1), (3, 1, 7, 2), (4, 1, 7, 2), (5, 5, 1, None)], "id long, component long, n int, day int").withColumn("at", F.timestamp_seconds(F.col("day") * 86400))
+    got = clusters.survivors(groups, -F.col("n"), *clusters._latest_first("at")).collect()
+    assert {(r.id, r.survivor) for r in got} == {(1, 3), (2, 3), (3, 3), (4, 3), (5, 5)}
+
+
 def test_centroids(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (2, [-1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (4, [0.0, 5.0])]
     got = {r.k: r.centroid for r in similarity.centroids(spark.createDataFrame(rows, "k int, embedding array<float>"), "k").collect()}
@@ -117,6 +196,17 @@ def test_collapsed_stories_fold_their_clusters(spark):
     assert {(r.article_id, r.cluster_id) for r in m.select("article_id", "cluster_id").collect()} == {(10, 1), (20, 1), (21, 1), (30, 3)}
 
 
+def test_groups_that_share_a_cluster_fold_into_one(spark):
+    """Cluster 5 has stories of two groups, cluster 2 is a survivor's that goes on itself."""
+    at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    members = spark.createDataFrame([(k, 10 * k) for k in (1, 2, 3, 5, 7, 8)], "cluster_id long, article_id long").withColumns({"published_at": at, "created_at": at, "title": F.lit("t"), "scope": F.lit("a")})
+    stories = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (51, 5), (52, 5), (7, 7), (8, 8), (9, 8)], "id long, cluster_id long")
+    collapsed = spark.createDataFrame([(1, None), (51, 1), (3, None), (52, 3), (2, 51), (7, None), (8, None), (9, 8)], "id long, canonical_story_id long")
+    c, m = clusters.fold_for_rewriting(collapsed, stories, members)
+    assert {(r.cluster_id, r.article_count, r.status) for r in c.collect()} == {(1, 4, "ready_for_llm"), (7, 1, "open"), (8, 1, "open")}
+    assert m.count() == 6
+
+
 def test_a_cluster_must_name_its_shared_folder():
     class Conf:
         def get(self, *_):
