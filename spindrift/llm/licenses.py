@@ -76,6 +76,7 @@ FAMILIES = (
 CREATIVE = (("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc", "attribution non ?commercial"), ("by nd", "attribution no ?deriv(?:ative)?s"), ("by sa", "attribution share ?alike"), ("by", "attribution"))
 #: label, keywords, pattern, priority, confidence.
 PHRASES = (
+    ("Apache-2.0", "apache", r"apache(?: software)?(?: version)?(?: v2| 2)(?: 0)?(?:plus)?(?! \d)", 3, 0.7),
     ("copyright-notice", "copyright", r"copyright(?: c)? (?:19|20)\d\d", 1, 0.5),
     ("all-rights-reserved", "reserved", r"all rights reserved", 1, 0.5),
     ("public-domain", "domain", r"(?:released |placed |dedicated )?(?:in|into|to) the public domain", 2, 0.8),
@@ -120,8 +121,17 @@ PHRASES = (
     ("proprietary", "proprietary", r"proprietary(?: and confidential)?(?: license)?", 1, 0.4),
 )
 _LICENSE = r"(?:public )?licen[cs]e"
-#: One of these is in each match of a rule whose pattern holds the word license.
-_LICENSE_WORDS = ("license", "licence")
+_LICENSED = r"licen[cs]ed"
+#: One of these is in each match of a rule whose pattern holds one of the two patterns above.
+_LICENSE_WORDS = ("license", "licence", "licensed", "licenced")
+#: Short names that are written together with a version: gplv3, lgpl2 1.
+JOINED = {"gpl": "GPL", "lgpl": "LGPL", "agpl": "AGPL", "gfdl": "GFDL", "mpl": "MPL", "epl": "EPL", "eupl": "EUPL", "cddl": "CDDL", "cecill": "CeCILL"}
+#: Names that stand without the word license where something is licensed under them.
+BARE = frozenset(("Apache", "MIT", "BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "Zlib", "BSL"))
+#: In an expression: a license before the next one, and what joins them.
+_OPERAND = r"[a-z0-9]+(?: (?:by|sa|nc|nd|pl|rl|clause|only|[0-9]+|[0-9]+plus))*(?: or later)?(?: with [a-z]+ exception(?: [0-9]+)*)? (?:or|and) "
+#: A plus sign that ends a version number; it becomes part of the number's word.
+_PLUS = r"(?<=[0-9])\+(?![0-9a-z+\x80-\x{10FFFF}])"
 
 
 def _number(version: str) -> str:
@@ -144,15 +154,22 @@ def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
         license_word = "" if key in ("gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "wtfpl", "unlicense", "0bsd", "cecill") else f" {_LICENSE}"
         out.append((label, key, rf"(?:{name}){license_word}", 2, 0.8, False))
         out.append((label, key, rf"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{name}){license_word}", 3, 0.95, False))
+        out.append((label, key, rf"(?:{name}) {_LICENSED}", 2, 0.8, False))
+        if label in BARE:
+            # a later one of a list comes from a rule of less priority, so that it suppresses none before it
+            for before, priority in (("", 3), (r"[a-z0-9]+(?: (?:license|licence|version|public|clause|[0-9]+))* (?:and|or|and or|or the|and the) ", 1)):
+                out.append((label, key, rf"{_LICENSED} under (?:both |either )?(?:the )?(?:terms of (?:the )?)?{before}(?:{name})", priority, 0.8, False))
         for v in versions:
             exact = f"{label}-{_number(v)}"
-            number = rf"(?:v|version )?{v}(?! \d)"
+            number = rf"(?:v|version )?{v}(?! \d)" if label in OR_LATER else rf"(?:v|version )?{v}(?:plus)?(?! \d)"
             if label in OR_LATER:
                 later = r"or(?: at your option)?(?: any)? later(?: versions?)?"
+                out.append((f"{exact}-or-later", key, rf"(?:{name}){license_word} (?:v|version )?{v}plus", 5, 1.0, False))
                 out.append((f"{exact}-or-later", key, rf"(?:{name}){license_word} {number}(?: of the license)? {later}", 5, 1.0, False))
                 out.append((f"{exact}-or-later", key, rf"(?:{name}){license_word} as published by the free software foundation(?: either)? version {v}(?: of the license)? {later}", 5, 1.0, False))
                 out.append((exact, key, rf"(?:{name}){license_word} as published by the free software foundation(?: either)? version {v}(?! \d)", 4, 0.95, False))
             out.append((exact, key, rf"(?:{name}){license_word} {number}", 4, 0.95, False))
+            out.append((exact, key, rf"(?:{name}) {number} {_LICENSED}", 4, 0.95, False))
             out.append((exact, key, rf"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{name}){license_word} {number}", 5, 1.0, False))
     for code, words_ in CREATIVE:
         for v in ("1 0", "2 0", "2 5", "3 0", "4 0"):
@@ -167,17 +184,33 @@ def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
             written, tag = f"{label} {v}".lower().replace("-", " ").strip(), f"{label}-{_number(v)}" if v else label
             out.append((tag, "spdx", rf"spdx license identifier {written}(?: only)?(?! \d)", 6, 1.0, False))
             if label in OR_LATER:
-                out.append((f"{tag}-or-later", "spdx", rf"spdx license identifier {written} or later", 7, 1.0, False))
+                out.append((f"{tag}-or-later", "spdx", rf"spdx license identifier {written}(?: or later|plus)", 7, 1.0, False))
+            for n, priority in ((1, 5), (2, 4), (3, 3)):  # the further back, the less priority: none suppresses one before it
+                out.append((tag, "spdx", rf"spdx license identifier (?:{_OPERAND}){{{n}}}{written}(?: only)?(?! \d)(?! or later)", priority, 1.0, False))
+                if label in OR_LATER:
+                    out.append((f"{tag}-or-later", "spdx", rf"spdx license identifier (?:{_OPERAND}){{{n}}}{written}(?: or later|plus)", priority, 1.0, False))
+    for short, label in JOINED.items():
+        for number in dict.fromkeys(_number(v) for family, _, _, versions in FAMILIES if family == label for v in versions):
+            major, minor = number.split(".")
+            for word in (f"{short}v{major}", f"{short}{major}"):
+                rest = "(?: 0)?" if minor == "0" else f" {minor}"
+                out.append((f"{label}-{number}", word, rf"(?:gnu )?{word}{rest}(?! \d)", 4, 0.95, False))
+                if label in OR_LATER:
+                    out.append((f"{label}-{number}-or-later", word, rf"(?:gnu )?{word}{rest} or(?: any)? later", 5, 1.0, False))
+                    out.append((f"{label}-{number}-or-later", word, rf"(?:gnu )?{word} {minor}plus", 5, 1.0, False))
+                    if minor == "0":
+                        out.append((f"{label}-{number}-or-later", f"{word}plus", rf"(?:gnu )?{word}plus", 5, 1.0, False))
     out += [(label, key, pattern, priority, score, False) for label, key, pattern, priority, score in PHRASES]
     return [(i, *x) for i, x in enumerate(dict.fromkeys(out))]
 
 
 def gate_words() -> list[str]:
-    """Words of which every match of every rule holds one: the word license where the
-    rule's pattern has it in any case, and the rule's keywords elsewhere."""
+    """Words of which every match of every rule holds one: the words license and licensed where
+    the rule's pattern has one in any case, and the rule's keywords elsewhere. A version's plus
+    sign is no part of a word here; a rule without it has the same keyword."""
     out: set[str] = set()
     for _, _, keys, pattern, _, _, base in rules():
-        out.update(_LICENSE_WORDS if base or keys == "spdx" or f" {_LICENSE}" in pattern else keys.split())
+        out.update(_LICENSE_WORDS if base or keys == "spdx" or f" {_LICENSE}" in pattern or _LICENSED in pattern else keys.split())
     return sorted(out)
 
 
@@ -197,7 +230,7 @@ def detect(documents: DataFrame) -> DataFrame:
     their first and last word, before any suppression."""
     # lower() is much faster than ascii_lower() and never merges or splits words
     gate = F.arrays_overlap(words(F.lower(F.coalesce("text", F.lit("")))), _any_of(gate_words()))
-    marked = documents.where(gate).select("doc_id", "key", words(ascii_lower(F.col("text"))).alias("w"))
+    marked = documents.where(gate).select("doc_id", "key", words(F.regexp_replace(ascii_lower(F.col("text")), _PLUS, "plus")).alias("w"))
     keywords = sorted({key for _, _, keys, *_ in rules() for key in keys.split()})
     joined = marked.select("doc_id", "key", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("line"), F.explode_outer(F.array_intersect("w", _any_of(keywords))).alias("keyword"))
     tried = joined.join(_rule_table(documents.sparkSession), "keyword")
@@ -215,7 +248,8 @@ def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     base_labels has the labels of base phrases, labels those and the labels of detections
-    that no other one suppresses; both sorted and comma-joined, empty if none. score is the
+    that no other one suppresses, but for those that differ from a base label in case only;
+    both sorted and comma-joined, empty if none. score is the
     highest confidence among them, 0 if none. first_word and last_word are null without a
     base phrase. Null texts are empty. Every row is kept, repeated ones too (rows with one
     id and different texts are told apart); other columns are ignored.
@@ -231,8 +265,11 @@ def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     base = F.col("base")
     per_doc = kept.groupBy("doc_id", "key").agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("confidence").alias("score"),
+        F.array_sort(F.collect_set(F.when(base, F.col("label")))).alias("b"), F.array_sort(F.collect_set("label")).alias("all"), F.max("confidence").alias("score"),
     )
+    # a license is named once: a base label stands for the same name in the method's spelling
+    named = F.filter("all", lambda x: F.array_contains("b", x) | ~F.array_contains("b", F.lower(x)))
+    per_doc = per_doc.withColumns({"base_labels": F.array_join("b", ","), "labels": F.array_join(named, ",")}).drop("b", "all")
     per_doc = per_doc.withColumnsRenamed({"doc_id": "d", "key": "k"})
     out = docs.select("doc_id", "key", n_words(F.col("text")).alias("n_words")).join(per_doc, F.expr("doc_id <=> d AND key = k"), "left")
     return out.select(

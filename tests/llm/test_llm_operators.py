@@ -208,13 +208,13 @@ def examples(pattern, rng):
                 out += chr(x)
             elif name == "IN":
                 kind, y = rng.choice(x)
-                out += "3" if str(kind) == "CATEGORY" else chr(y)
+                out += "3" if str(kind) == "CATEGORY" else chr(rng.randint(*y)) if str(kind) == "RANGE" else chr(y)
             elif name == "BRANCH":
                 out += of(rng.choice(x[1]))
             elif name == "SUBPATTERN":
                 out += of(x[3])
             elif name == "MAX_REPEAT":
-                out += of(x[2]) if rng.random() < 0.5 else ""
+                out += "".join(of(x[2]) for _ in range(x[0] + (rng.random() < 0.5 and x[1] > x[0])))
             elif name == "CATEGORY":
                 out += "3"
             else:
@@ -240,6 +240,42 @@ def test_every_license_rule_fires_alone(spark):
     assert labels == ["MPL-2.0", "EPL-2.0", "CDDL-1.1", "CeCILL-2.1", "WTFPL", "0BSD", "proprietary", "public-domain", "CC-BY-SA-4.0", "all-rights-reserved", "MIT"]
 
 
+def test_ordinary_license_forms(spark):
+    forms = {
+        "GPLv3": "GPL-3.0", "under LGPLv2.1 or so": "LGPL-2.1", "GNU GPL v3+": "GPL-3.0-or-later", "GPLv2+": "GPL-2.0-or-later", "lgpl2.1+": "LGPL-2.1-or-later", "GPL3 or later": "GPL-3.0-or-later", "AGPLv3": "AGPL-3.0", "MPLv2.0": "MPL-2.0",
+        "Apache 2.0": "Apache-2.0", "apache-2.0": "Apache-2.0", "Apache v2": "Apache-2.0", "MIT-licensed code": "MIT", "BSD licensed": "BSD", "GPL v2 licensed": "GPL-2.0",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT", "SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-or-later": "BSD-3-Clause,GPL-2.0-or-later,MIT", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0",
+        "SPDX-License-Identifier: GPL-2.0+ OR MIT": "GPL-2.0-or-later,MIT", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "dual licensed under MIT and GPL": "GPL,MIT", "licensed under the GPL or the MIT": "GPL,MIT", "licensed under Apache 2.0 or MIT": "Apache-2.0,MIT", "the MIT License": "mit",
+        "mit dem Hund": "", "apache 3 helicopters": "", "3+4 and 2+ apples": "", "general+ public": "",
+    }
+    rows = list(enumerate(forms))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: ",".join(x for x in got[i].labels.split(",") if x != "Apache") for i, t in rows} == forms
+    assert got[[t for _, t in rows].index("3+4 and 2+ apples")].n_words == 5
+
+
+def test_suppression_is_by_containment_and_priority(spark, monkeypatch):
+    """Detections of random places and priorities against a plain version of the rule."""
+    rng = random.Random(12)
+    priority = {x[0]: x[4] for x in licenses.rules()}
+    levels = sorted(set(priority.values()))
+    rows = [(d, 0, n, f"L{n}", rng.choice(levels), 0.5, rng.random() < 0.2, a, a + rng.randrange(6)) for d in range(60) for n in range(rng.randrange(9)) for a in [rng.randrange(8)]]
+    found = spark.createDataFrame(rows, "doc_id long, key long, rule int, label string, priority int, confidence double, base boolean, first long, last long")
+    docs = spark.createDataFrame([(d, "x") for d in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(licenses, "text_key", lambda text: F.lit(0).cast("long"))
+    monkeypatch.setattr(licenses, "detect", lambda documents: found)
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+
+    def order(x):
+        return (x[7], -x[8], -x[4], x[2])
+
+    for d in range(60):
+        mine = [x for x in rows if x[0] == d]
+        kept = {x[3] for x in mine if x[6] or not any(y is not x and not y[6] and order(y) < order(x) and y[4] >= x[4] and y[7] <= x[7] and y[8] >= x[8] for y in mine)}
+        assert got[d] == ",".join(sorted(kept))
+
+
 # ---- passages
 
 
