@@ -4,8 +4,10 @@ For every block node of the page's tree: characters per tag, adjusted by the sha
 link characters and link tags in the node and in the body.  A node's density sum is the
 sum of its children's densities.  The node with the largest sum holds the content; the
 smallest density on its path to the body is the threshold, and other subtrees at or
-above it that the path leaves are content too.  Elements that are never article text
-(menus, forms, scripts, adverts, reader comments ...) leave the tree first.
+above it that the path leaves are content too, and so are the blocks of the article (or,
+without one, of the main element) that holds it, unless they are mostly links.  Elements
+that are never article text (menus, forms, scripts, adverts, reader comments ...) leave the
+tree first.
 """
 
 from __future__ import annotations
@@ -39,9 +41,16 @@ NOT_ARTICLE = frozenset(
     "disqus respond replies share sharing social related recommended recommendation recommendations trending widget toolbar pagination pager search skip hidden".split()
 )
 #: Parts that only say how something is laid out: the part before them is the last one.
-LAYOUT = frozenset("box bar container wrapper wrap inner outer block section area panel slot unit row column col list item items links link buttons button left right top bottom".split())
+LAYOUT = frozenset("count counts counter box bar container wrapper wrap inner outer block section area panel slot unit row column col list item items links link buttons button left right top bottom".split())
 #: Words that begin so tell what stands beside or within an element, or that it's absent.
 BESIDE = frozenset("no not has have with without".split())
+#: Words that may be the subject of an article's section; there its id is the slug of its heading.
+SUBJECTS = frozenset("search alert notice banner menu header navigation promotion advertising advertisement login signup pagination widget toolbar modal popup overlay cookie cookies consent gdpr hidden skip sponsor breadcrumb breadcrumbs trending sharing".split())
+#: In an article these are no reader's comments, whatever their class says.
+QUOTED = frozenset("blockquote p pre code span q cite em i b".split())
+#: The last part of a class or id of what holds an article without being one.
+CONTENT = frozenset("content article post entry story".split())
+_CONTENT = re.compile("content|article|post|entry|story", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 KEPT = frozenset("html body main article".split())
@@ -61,9 +70,24 @@ def _listed(word: str) -> str:
     return parts[-1] if parts[-1] in NOT_ARTICLE else ""
 
 
-def _not_article(tag: str, attributes: str, inside_article: bool) -> int:
+def _holds_content(tag: str, attributes: str) -> bool:
+    """Whether a class or id names the element as what holds the content."""
+    if tag not in ("div", "section") or not _CONTENT.search(attributes):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for word in (m[2] or m[3] or m[4] or "").split():
+                parts = [x.lower() for x in _PART.findall(word)]
+                while len(parts) > 1 and parts[-1] in LAYOUT:
+                    parts.pop()
+                if parts and parts[-1] in CONTENT:
+                    return True
+    return False
+
+
+def _not_article(tag: str, attributes: str, inside_article: bool, inside_content: bool) -> int:
     """2 for what is never article text, 1 for what a class or id in NOT_ARTICLE marks, else 0."""
-    if tag in DROPPED or tag == "header" and not inside_article:
+    if tag in DROPPED or tag == "header" and not inside_article and not inside_content:
         return 2
     if not attributes or tag in KEPT:
         return 0
@@ -77,6 +101,8 @@ def _not_article(tag: str, attributes: str, inside_article: bool) -> int:
         if name == "class" or name == "id" and tag not in HEADINGS:  # ids of headings are slugs of their text
             for word in value.split():
                 if found := _listed(word):
+                    if inside_article and (name == "id" and tag == "section" and found in SUBJECTS or tag in QUOTED and found in ("comment", "comments")):
+                        continue
                     if found in ("header", "banner") and (inside_article or {x.lower() for x in _PART.findall(word)} & {"article", "post", "entry", "story"}):
                         continue
                     marked = 1
@@ -100,7 +126,7 @@ class _Page:
 
     def _start(self) -> None:
         self.parent, self.chars, self.tags, self.link_chars, self.link_tags = [-1], [0], [0], [0], [0]
-        self.body = 0
+        self.names, self.body = [""], 0
         self.runs: list[tuple[int, int, str]] = []  # node, block number, text
 
     def _text(self, text: str, node: int, block: int, link: bool) -> None:
@@ -119,6 +145,7 @@ class _Page:
         depths: dict[str, list[int]] = {}
         open_blocks: list[int] = []
         marked: list[int] = []  # those that stay if they hold the article
+        contents: list[int] = []  # those that hold the content by their class or id
         tags_end = s.rfind(">") + 1  # a "<" beyond begins no tag
 
         def deepest(*tags: str) -> int:
@@ -131,8 +158,9 @@ class _Page:
                 depths[tag].pop()
                 links -= tag == "a"
                 articles -= tag in ("article", "main")
-                if marked and marked[-1] == len(stack):
-                    marked.pop()
+                for places in (marked, contents):
+                    if places and places[-1] == len(stack):
+                        places.pop()
                 if tag in BLOCKS:
                     block += 1
                     open_blocks.pop()
@@ -181,7 +209,7 @@ class _Page:
                 if depth > (open_blocks[-1] if open_blocks else 0):
                     close(depth)
             _, node, dropped, _ = stack[-1]
-            why = _not_article(tag, attributes, articles > 0)
+            why = _not_article(tag, attributes, articles > 0, bool(contents))
             # within an article or main, what follows an article holds comments or teasers
             holder = m.start() if why == 1 and not (articles and seen) else -1
             dropped = dropped or why > 0 and m.start() not in self.holders
@@ -192,6 +220,7 @@ class _Page:
                 block += 1
                 if not dropped:
                     self.parent.append(node)
+                    self.names.append(tag)
                     for x in (self.chars, self.tags, self.link_chars, self.link_tags):
                         x.append(0)
                     node = len(self.parent) - 1
@@ -208,6 +237,8 @@ class _Page:
                     open_blocks.append(len(stack))
                 if holder >= 0:
                     marked.append(len(stack))
+                if _holds_content(tag, attributes):
+                    contents.append(len(stack))
                 stack.append((tag, node, dropped, holder))
             else:
                 links -= tag == "a"
@@ -254,14 +285,36 @@ class _Page:
                 todo += [j for j in children[i] if j != chosen]
         for i in range(body + 1, n):
             marked[i] = marked[i] or marked[self.parent[i]]
+        own = self._rest_of_article(best, children)
         blocks: dict[int, list[str]] = {}
         for node, block, text in self.runs:
-            if marked[node]:
+            if marked[node] or node in own:
                 blocks.setdefault(block, []).append(text)
         lines = (" ".join("".join(x).split()) for x in blocks.values())
         return "\n".join(x for x in lines if x)
 
 
+    def _rest_of_article(self, best: int, children: list[list[int]]) -> set[int]:
+        """The nodes of the article that holds ``best`` (else of the main element) whose own text
+        stays: those within no block that is mostly links."""
+        held, i = -1, best
+        while i > 0:
+            if self.names[i] == "article":
+                held = i
+                break
+            if self.names[i] == "main" and held < 0:
+                held = i
+            i = self.parent[i]
+        out: set[int] = set()
+        todo = [held] if held > 0 else []
+        while todo:
+            i = todo.pop()
+            if 2 * self.link_chars[i] <= self.chars[i]:
+                out.add(i)
+                todo += children[i]
+        return out
+
+
 def main_text(source: str | None) -> str:
     """The article's text of one page: its blocks in page order, one line each."""
     return _Page(source).text() if source else ""

@@ -178,6 +178,25 @@ def test_decontamination_edges(spark):
     assert decontamination.decontaminate(frame(spark, [(1, "a")]), bench.where("false")).first().n_hit == 0
 
 
+LONG = "<p>" + "A long paragraph of the article with many plain words in it. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "there", "gone"),
+    [
+        (f"<article>{LONG}<section id='search'><h2>Search</h2><p>Search text.</p></section></article>", ["Search", "Search text."], []),
+        (f"<article>{LONG}<section id='comments'><p>Reader text.</p></section></article>", [], ["Reader text."]),
+        (f"<main><section><h2>A</h2>{LONG}{LONG}</section><section><h2>B</h2><p>gamma delta.</p></section></main>", ["A", "B", "gamma delta."], []),
+        (f"<header><h1>Site</h1></header><div class='content'><header><h1>Title</h1></header>{LONG}{LONG}</div>", ["Title"], ["Site"]),
+        (f"<article>{LONG}<blockquote class='comment'>A quote.</blockquote><pre>x <span class='comment'># why</span></pre><div class='article-comment-count'>5</div></article>", ["A quote.", "x # why"], ["5"]),
+        (f"<article>{LONG}<p>Short.</p><p><a href=x>Only a link to elsewhere</a></p></article><article><p>teaser</p></article>", ["Short."], []),
+    ],
+)
+def test_article_text_that_marks_and_density_must_not_lose(page, there, gone):
+    lines = main_text.main_text(f"<html><body>{page}</body></html>").split("\n")
+    assert set(there) <= set(lines) and not set(gone) & set(lines)
+
+
 # ---- licenses
 
 
