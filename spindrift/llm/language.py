@@ -170,16 +170,19 @@ def fit(documents: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE,
     """Learn from a bounded sample of the rows with a language that are not held out.
 
     The sample is drawn by hash: a threshold for each language that lets about twice as many
-    rows pass, then the smallest hashes of those. n-grams are counted and summed by Spark,
-    and all of the sample's are kept.
+    rows pass, then the smallest hashes of those. Every tenth row of it is left out of the
+    counts and calibrates the rejection: a limit is as many deviations above the mean
+    cross-entropy of the language's own left-out texts. A language with fewer than ten rows
+    has no limit. n-grams are counted and summed by Spark, and all of the others' are kept.
     """
     usable = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     ids = usable.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"))
     share = small_side(written(ids.groupBy("lang").agg((F.lit(2.0 * sample_per_language) / F.count("*")).alias("share")), "languages"))
     ids = ids.join(share, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample_per_language)
-    ids = small_side(written(ids.select(F.col("id").alias("__id")).distinct(), "sample"))
-    sample = usable.join(ids, usable[id_col] == ids["__id"], "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    ids = small_side(written(ids.groupBy(F.col("id").alias("__id")).agg(F.bool_and(F.col("r") % 10 == 0).alias("__out")), "sample"))
+    drawn = usable.join(ids, usable[id_col] == ids["__id"]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "__out")
+    sample, left_out = drawn.where("NOT __out").drop("__out"), drawn.where("__out")
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0x110000, bool)
@@ -206,7 +209,7 @@ def fit(documents: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE,
     order = [np.argsort(x["gram"].to_numpy().view(np.uint64)) for x in by]
     model = Model(languages, [x["gram"].to_numpy().view(np.uint64)[o] for x, o in zip(by, order, strict=True)], [x["n"].to_numpy()[o] for x, o in zip(by, order, strict=True)], alphabet)
     if languages:
-        own = _scored(sample.select(F.col("lang").alias("own"), F.lit(False).alias("held_out"), "text"), "string", model).where("doc_id = lang_pred").groupBy("doc_id").agg(F.avg("entropy").alias("m"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("s")).collect()
+        own = _scored(left_out.select(F.col("lang").alias("own"), F.lit(False).alias("held_out"), "text"), "string", model).where("doc_id = lang_pred").groupBy("doc_id").agg(F.avg("entropy").alias("m"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("s")).collect()
         for r in own:
             model.limits[languages.index(r["doc_id"])] = r["m"] + REJECT * r["s"]
     return model

@@ -106,15 +106,19 @@ class Neighbours:
             self.vectors = _unit(centred @ self.projection).astype(np.float32)
 
     def score(self, terms: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest, weighted by similarity and class share. Ties
-        beyond the k-th go by the sample's order; without a sample every score is 1."""
+        """Share of label 1 among the nearest, weighted by similarity and class share. Of
+        those as similar as the k-th, the first in the sample's order vote; without a sample
+        every score is 1."""
         if not len(self.labels):
             return np.ones(len(terms))
         out = np.empty(len(terms))
         k = min(self.k, len(self.labels))
         for i in range(0, len(terms), 256):
             sims = _unit((terms[i : i + 256] - self.mean) @ self.projection) @ self.vectors.T
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            edge = np.partition(sims, -k, axis=1)[:, -k][:, None]
+            above, equal = sims > edge, sims == edge
+            equal &= np.cumsum(equal, axis=1) <= k - above.sum(1)[:, None]
+            near = np.nonzero(above | equal)[1].reshape(len(sims), k)
             votes = np.maximum(np.take_along_axis(sims, near, 1), 1e-6) ** 4 * self.weights[self.labels[near]]
             out[i : i + 256] = (votes * self.labels[near]).sum(1) / votes.sum(1)
         return np.clip(out, 0.0, 1.0)

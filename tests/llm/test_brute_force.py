@@ -41,6 +41,19 @@ def test_suffix_order_is_the_order_of_the_symbols():
     assert [bool(s) for s in same] == [i > 0 and suffixes[i][:3] == suffixes[i - 1][:3] and len(suffixes[i]) >= 3 for i in range(13)]
 
 
+def test_ties_at_the_last_neighbour_go_by_the_samples_order():
+    terms = np.zeros((40, quality.TERMS), np.float32)
+    terms[:, 0] = 1
+    terms[:5, 1] = np.arange(5)
+    labels = np.array([i % 2 for i in range(40)])
+    model = quality.Neighbours(terms, labels, (1.0, 1.0))
+    sims = np.round(quality._unit((terms[30:31] - model.mean) @ model.projection) @ model.vectors.T, 6)[0]
+    near = sorted(range(40), key=lambda i: (-sims[i], i))[: model.k]
+    votes = np.maximum(sims[near], 1e-6) ** 4
+    assert sims[near[-1]] == sims[39] and len(near) < 36
+    assert np.isclose(model.score(terms[30:31])[0], (votes * labels[near]).sum() / votes.sum(), atol=1e-4)
+
+
 def test_an_anchor_with_very_many_surroundings(spark):
     rng = random.Random(21)
     phrase = "this phrase of forty bytes is everywhere "
