@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import Step, select, text_of
 from ..functions.text import normalize_whitespace
 from ..functions.times import from_epoch_ms, ist_iso, parse_datetime
+from .ordering import positions
 
 
 def markup_only(html: Column) -> Column:
@@ -57,9 +58,12 @@ def bounded_links(links: DataFrame, cap: int = 15, predicate: Column | None = No
 
 def schedule_links(links: DataFrame, seen: DataFrame, budget: DataFrame) -> DataFrame:
     """New links of each scope within its remaining budget: links (scope, link, self), seen
-    (scope, link), budget (scope, remaining)."""
+    (scope, link), budget (scope, remaining).
+
+    Ranks come from a range sort (written to the shared folder), so a scope may hold any share
+    of the links."""
     new = links.where(F.col("link") != F.coalesce("self", F.lit(""))).select("scope", "link").distinct().join(seen, ["scope", "link"], "left_anti")
-    ranked = new.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy("link")))
+    ranked = positions(new.where("scope IS NOT NULL"), ["scope"], [F.col("link")], "rank").withColumn("rank", F.col("rank").cast("int"))
     return ranked.join(budget, "scope").where(F.col("rank") <= F.col("remaining")).select("scope", "link", "rank")
 
 

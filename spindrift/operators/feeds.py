@@ -101,18 +101,36 @@ def search_index(stories: DataFrame) -> DataFrame:
     return feed_rows(stories).select("id", "slug", "title", "summary", "scope", "category")
 
 
-def search(stories: DataFrame, query: str, n: int = 12) -> DataFrame:
-    """Ranked fuzzy search: the best edit distance of any title and summary token to the query,
-    relative to the longer one, weighted 0.7 and 0.3; at most 0.4 apart; the best n."""
-    q = query.lower()
+def _words(c: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
+def token_index(stories: DataFrame) -> DataFrame:
+    """token, id: each token of a title once a story; to be written where many searches follow."""
+    return search_index(stories).select("id", F.explode(F.array_distinct(_words("title"))).alias("token")).select("token", "id")
 
-    def apart(c: str) -> Column:
-        tokens = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
-        far = F.transform(tokens, lambda t: F.levenshtein(t, F.lit(q)) / F.greatest(F.length(t), F.lit(len(q))))
-        return F.coalesce(F.array_min(far), F.lit(1.0))
 
-    score = 0.7 * apart("title") + 0.3 * apart("summary")
-    return search_index(stories).withColumn("score", F.round(score, 6)).where("score <= 0.4").orderBy("score", "id").limit(n)
+def search(stories: DataFrame, query: str, n: int = 12, *, index: DataFrame | None = None, most: float = 0.4) -> DataFrame:
+    """Ranked fuzzy search: the best edit distance of any title and summary token to the query,
+    relative to the longer one, weighted 0.7 and 0.3; at most ``most`` apart; the best n.
+
+    The title alone decides who can be near enough. Distances are computed once for each
+    distinct title token of a possible length, then for the summaries of the stories found;
+    ``index`` is the written ``token_index``.
+    """
+    q = query.lower()
+    apart = lambda t: F.levenshtein(t, F.lit(q)) / F.greatest(F.length(t), F.lit(len(q)))
+    cut = most / 0.7 + 1e-6  # the score is rounded to six digits
+    if cut >= 1:  # a title without any token could do, too
+        near = F.coalesce(F.array_min(F.transform(_words("title"), apart)), F.lit(1.0))
+        found = search_index(stories).withColumn("t", near)
+    else:
+        tokens = token_index(stories) if index is None else index
+        possible = F.abs(F.length("token") - len(q)) <= cut * F.greatest(F.length("token"), F.lit(len(q)))
+        close = tokens.where(possible).select("token").distinct().withColumn("t", apart(F.col("token"))).where(F.col("t") <= cut)
+        found = search_index(stories).join(tokens.join(close, "token").groupBy("id").agg(F.min("t").alias("t")), "id")
+    score = 0.7 * F.col("t") + 0.3 * F.coalesce(F.array_min(F.transform(_words("summary"), apart)), F.lit(1.0))
+    return found.withColumn("score", F.round(score, 6)).drop("t").where(F.col("score") <= most).orderBy("score", "id").limit(n)
 
 
 def reading_queue(stories: DataFrame, **where) -> DataFrame:

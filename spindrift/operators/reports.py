@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,11 @@ def synthesis_totals(results: DataFrame, seconds: float) -> DataFrame:
     return results.agg(F.count("*").alias("examined"), *count).withColumn("drop_percent", rate).withColumn("per_second", F.round(F.coalesce(F.try_divide(F.col("examined") * 1.0, F.lit(seconds)), F.lit(0.0)), 2))
 
 
+def observed_outcomes(results: DataFrame, observation: Observation) -> DataFrame:
+    """``results`` whose outcomes ``observation`` counts while they are written, without a second pass."""
+    return results.observe(observation, F.count("*").alias("examined"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("rewritten", "dropped", "failed", "skipped_existing")])
+
+
 def stage_counters(articles: DataFrame, assigned: DataFrame) -> DataFrame:
     """examined, skipped (no vector), created (new clusters), joined."""
     a = assigned.agg(F.count("*").alias("placed"), F.count_if(F.col("article_id") == F.col("cluster_id")).alias("created"))

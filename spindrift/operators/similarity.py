@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -176,6 +177,79 @@ def approximate_neighbours(articles: DataFrame, *, least: float, hours: int = 48
     return found.where((a("article_id") < b("article_id")) & a("scope").eqNullSafe(b("scope")) & near).select(a("article_id").alias("a"), b("article_id").alias("b"), (1 - F.col("distance") * F.col("distance") / 2).alias("similarity"))
 
 
+#: Vectors that the coarse centroids are fitted on, at most.
+SAMPLE_VECTORS = 20_000
+
+
+def _in_lists(articles: DataFrame, centres: np.ndarray, count: int) -> DataFrame:
+    """Dated articles with a vector, once for each of their ``count`` nearest centroids; ``scope``
+    becomes the scope and the list."""
+    near = min(count, len(centres))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.asarray(b.column(4).flatten(), np.float64).reshape(b.num_rows, -1)
+            lists = np.argpartition(-(v @ centres.T), near - 1, axis=1)[:, :near].ravel() if b.num_rows else np.zeros(0, np.int64)
+            at = pa.array(np.repeat(np.arange(b.num_rows), near))
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns], pa.array(lists.astype(np.int32))], [*b.schema.names, "list"])
+
+    dated = articles.where(F.col("published_at").isNotNull()).select(F.col("article_id").cast("long").alias("id"), "scope", "published_at", _seconds().alias("seconds"), unit(F.col("embedding")).alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
+    types = {f.name: f.dataType.simpleString() for f in dated.schema.fields}
+    each = dated.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in types.items()) + ", list int")
+    return each.withColumn("scope", F.to_json(F.struct("scope", "list"))).select("id", "scope", "seconds", "v")
+
+
+def store_lists(articles: DataFrame, root: str, *, hours: int = 48, lists: int = 64, copies: int = 2, seed: int = 1) -> None:
+    """An index for ``listed_neighbours`` under ``root``: coarse centroids, and the vectors in the
+    lists of their ``copies`` nearest ones, packed by scope, list and block of ``hours``.
+
+    The centroids are fitted on a bounded sample (SAMPLE_VECTORS, drawn by hash); all vectors
+    are in the lists.
+    """
+    unit_vectors = articles.select("article_id", array_to_vector(unit(F.col("embedding"))).alias("features")).where("features IS NOT NULL")
+    sample = written(unit_vectors.orderBy(F.xxhash64("article_id"), "article_id").limit(SAMPLE_VECTORS).select("features"), "sample")
+    spark = articles.sparkSession
+    found = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features").fit(sample).clusterCenters() if not sample.isEmpty() else []
+    centres = [(i, [float(x) for x in c / max(np.linalg.norm(c), 1e-12)]) for i, c in enumerate(found)]
+    spark.createDataFrame(centres, "list int, centre array<double>").coalesce(1).write.parquet(f"{root}/centres")
+    rows = _in_lists(articles, np.array([c for _, c in centres]), copies) if centres else articles.where("false").select(F.col("article_id").cast("long").alias("id"), "scope", F.lit(0).cast("long").alias("seconds"), F.array().cast("array<double>").alias("v"))
+    listed = written(rows.withColumn("block", F.floor(F.col("seconds") / (hours * 3600)).cast("long")), "listed")
+    _packs(listed, ["scope", "block"])[0].write.partitionBy("block").parquet(f"{root}/lists")
+
+
+def listed_neighbours(articles: DataFrame, root: str, *, least: float, hours: int = 48, probes: int = 4) -> DataFrame:
+    """a, b, similarity: pairs of an article and a stored one, of at least ``least`` similarity, of
+    one scope and within +-hours, of which a few may be missed.
+
+    An article is compared with what the lists of its ``probes`` nearest centroids hold in its
+    scope and the blocks around it; candidates are made nowhere else. A pair comes once, the
+    smaller id first.
+    """
+    spark, span = articles.sparkSession, hours * 3600
+    centres = np.array([r.centre for r in spark.read.parquet(f"{root}/centres").orderBy("list").collect()])
+    if not len(centres):
+        return spark.createDataFrame([], "a long, b long, similarity double")
+    rows = written(_in_lists(articles, centres, probes).withColumn("block", F.floor(F.col("seconds") / span).cast("long")), "probes")
+    packed, parts = _packs(rows, ["scope", "block"])
+    probe = written(packed, "packs")
+    low, high = probe.agg(F.min("block"), F.max("block")).first()
+    stored = spark.read.parquet(f"{root}/lists").where(F.col("block").between(*((low - 1, high + 1) if low is not None else (0, -1)))).withColumn("block", F.col("block").cast("long"))
+    parts = max(parts, stored.agg(F.max("parts")).first()[0] or 1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cells = [batch.column(c)[i].as_py() for c in range(6)]
+                (a, ta, x), (b, tb, y) = _unpacked(*cells[:3]), _unpacked(*cells[3:])
+                s = x @ y.T
+                row, column = np.nonzero((s >= least) & (np.abs(ta[:, None] - tb[None, :]) <= span) & (a[:, None] != b[None, :]))
+                one, two = a[row], b[column]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(s[row, column])], ["a", "b", "similarity"])
+
+    found = pack_pairs(probe, stored, parts > TOGETHER).mapInArrow(score, "a long, b long, similarity double")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
 def centroids(members: DataFrame, key: str) -> DataFrame:
     """key, centroid: the unit-length mean of the members' unit vectors; null at length zero."""
     each = members.select(key, unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")

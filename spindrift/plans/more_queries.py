@@ -3,6 +3,7 @@ made by Spark from the given tables, written to the shared folder and read by th
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, times, urls
@@ -331,6 +332,14 @@ def assign_in_two_runs(spark, d):
     return first.unionByName(second)
 
 
+@query()
+def neighbors_listed(spark, d):
+    """Pairs of similar articles by a stored index of lists, blocked by scope and time."""
+    a, root = A.vec_articles(spark, d), new_path(spark, "lists")
+    similarity.store_lists(a, root, lists=12, copies=3)
+    return similarity.listed_neighbours(a, root, least=0.35, probes=6).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
 # ---- hand-off
 
 
@@ -366,6 +375,15 @@ def two_stage_run(spark, d):
     return _staged(spark, d)[1].select("cluster_id", "outcome", "drop_reason")
 
 
+@query(f"WITH {STAGED} SELECT count(*) AS examined, count(*) FILTER (outcome = 'rewritten') AS rewritten, count(*) FILTER (outcome = 'dropped') AS dropped, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped_existing') AS skipped_existing FROM staged")
+def run_counters(spark, d):
+    """Counters of a model run, taken by the write of its results."""
+    seen = Observation("run")
+    written(reports.observed_outcomes(_staged(spark, d)[1].select("cluster_id", "outcome"), seen), "results")
+    names = ("examined", "rewritten", "dropped", "failed", "skipped_existing")
+    return spark.createDataFrame([tuple(int(seen.get[n]) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @query(f"WITH {STAGED} SELECT cluster_id, CASE WHEN outcome <> 'failed' THEN 'synthesized' ELSE 'ready_for_llm' END AS status FROM staged")
 def settled_clusters(spark, d):
     return handoff.settle(*_staged(spark, d)).select("cluster_id", "status")

@@ -306,11 +306,33 @@ def pending_embeddings(spark, d):
     return embedding.pending(A.articles(spark, d), vectors).select("article_id", F.length("text").cast("long").alias("n"))
 
 
-@query()
+CRC = """tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+hexed AS (SELECT token, hex(token) AS h FROM (SELECT DISTINCT token FROM tok)), coded AS (SELECT token, list_transform(range(1, len(h), 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', substr(h, i, 1)) - 1) + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1 AS BIGINT)) AS b FROM hexed),
+crcs AS (SELECT token, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM coded, tab)"""
+TODO = f"""{A.ARTICLES}, todo AS (SELECT article_id, {EMB} AS t FROM articles WHERE trim({EMB}) <> '' AND article_id NOT IN ({{have}})), tok AS (SELECT article_id, unnest(list_filter(string_split_regex(lower(t), '\\s+'), lambda x: x <> '')) AS token FROM todo), {CRC},
+cells AS (SELECT article_id, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM tok JOIN crcs USING (token) GROUP BY ALL),
+made AS (SELECT article_id, CAST(sum((i + 1) * sign(x)) AS BIGINT) AS signs, CAST(count(*) FILTER (x > 0) AS BIGINT) AS positive FROM cells GROUP BY article_id)"""
+
+
+@query(f"WITH {TODO.replace('{have}', 'SELECT vec_id FROM embeddings')} SELECT article_id, 'hashed-64' AS model_name, sha256(t) AS text_hash, 64 AS dim, coalesce(signs, 0) AS signs, coalesce(positive, 0) AS positive, 1.0::DOUBLE AS norm FROM todo LEFT JOIN made USING (article_id)")
 def embed_articles(spark, d):
+    """Vectors of the articles that have none, with their provenance; of a vector, its signs by place and its length."""
     todo = embedding.pending(A.articles(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("article_id")))
     out = embedding.embed(todo, embedding.hashed_encoder(64), model="hashed-64", dim=64)
-    return embedding.current_model(out, "hashed-64").select("article_id", "text_hash", "dim", F.round(similarity.dot(F.col("embedding").cast("array<double>"), F.col("embedding").cast("array<double>")), 4).alias("norm"))
+    v = F.col("embedding").cast("array<double>")
+    signs = F.aggregate(F.zip_with(v, F.sequence(F.lit(1), F.lit(64)), lambda x, i: F.signum(x) * i), F.lit(0.0), lambda s, x: s + x).cast("long")
+    return out.select("article_id", "model_name", "text_hash", "dim", signs.alias("signs"), F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("positive"), F.round(similarity.dot(v, v), 4).alias("norm"))
+
+
+@query(f"WITH {A.ARTICLES} SELECT article_id, article_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0) AS renewed FROM articles WHERE trim({EMB}) <> '' OR article_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0)")
+def stale_embeddings(spark, d):
+    """Vectors of another model go, and their articles are encoded anew with those that had none."""
+    name = F.when(F.col("vec_id") % 3 == 0, "old-64").otherwise("hashed-64")
+    stored = table(spark, d, "embeddings").select(F.col("vec_id").alias("article_id"), name.alias("model_name"), "embedding")
+    current = embedding.current_model(stored, "hashed-64")
+    new = embedding.embed(embedding.pending(A.articles(spark, d), current), embedding.hashed_encoder(64), model="hashed-64", dim=64)
+    both = current.select("article_id", "model_name", F.lit(False).alias("renewed")).unionByName(new.select("article_id", "model_name", F.lit(True).alias("renewed")))
+    return embedding.current_model(both, "hashed-64").select("article_id", "renewed")
 
 
 PAIRS = f"""{A.VEC_ARTICLES}, pairs AS (

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spindrift.operators import clusters, handoff, ordering, quota, similarity
+from spindrift.operators import clusters, feeds, handoff, ordering, quota, similarity
 from spindrift.sources import tables
 from spindrift.streaming import streams
 
@@ -138,6 +138,48 @@ def test_approximate_neighbours_find_nearly_all(spark):
     assert found <= exact and len(found) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("together", [100, 1])
+def test_listed_neighbours(spark, monkeypatch, tmp_path, together):
+    """With all lists probed nothing is missed; with some, most is found; pairs are never wrong."""
+    monkeypatch.setattr(similarity, "TOGETHER", together)
+    monkeypatch.setattr(similarity._packs, "__defaults__", (16, ("id", "seconds"), None))
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((12, 8))
+    rows = [(i, None if i % 5 == 0 else "a", int(rng.integers(0, 150)), [float(x) for x in base[i % 12] + 0.4 * rng.standard_normal(8)], "s") for i in range(260)]
+    df = article_frame(spark, rows)
+    unit = np.array([v for _, _, _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    exact = {(i, j) for i, s, h, _, _ in rows for j, t, g, _, _ in rows if i < j and s == t and abs(h - g) <= 48 and unit[i] @ unit[j] >= 0.8}
+    similarity.store_lists(df, str(tmp_path / "x"), lists=8, copies=1)
+    for probes, share in ((8, 1.0), (2, 0.9)):
+        got = {(r.a, r.b): r.similarity for r in similarity.listed_neighbours(df, str(tmp_path / "x"), least=0.8, probes=probes).collect()}
+        assert set(got) <= exact and len(got) >= share * len(exact) > 50
+    assert similarity.listed_neighbours(df.where("false"), str(tmp_path / "x"), least=0.8).count() == 0
+    similarity.store_lists(df.where("false"), str(tmp_path / "none"))
+    assert similarity.listed_neighbours(df, str(tmp_path / "none"), least=0.8).count() == 0
+
+
+@pytest.mark.parametrize(("query", "most"), [("edthe", 0.4), ("election", 0.5), ("a", 0.4), ("zzzzzzzzzzzzzzzz", 0.4), ("storm", 0.75)])
+def test_search_by_distinct_tokens(spark, query, most):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("adeht") for _ in range(rng.randrange(1, 8))) if rng.random() < 0.7 else rng.choice(["election", "elections", "storm", "Stormy", "a"])
+    rows = [(i, f"s{i}", " ".join(word() for _ in range(rng.randrange(0, 4))) or None, rng.choice([None, "", word() + " " + word()])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, slug string, title string, summary string").withColumns({"scope": F.lit("India"), "category": F.lit("tech"), "canonical_story_id": F.lit(None).cast("long")})
+    got = [(r.id, r.score) for r in feeds.search(df, query, 15, most=most).collect()]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    apart = lambda text: min((distance(t, query) / max(len(t), len(query)) for t in (text or "").lower().split()), default=1.0)
+    scored = sorted((round(0.7 * apart(t) + 0.3 * apart(s), 6), i) for i, _, t, s in rows)
+    assert got == [(i, x) for x, i in scored if x <= most][:15]
+
+
 def test_running_sums(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randrange(5)) for i in range(2000)]
