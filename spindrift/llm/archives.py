@@ -1,6 +1,7 @@
 """Web archives: legacy ARC records converted to WARC, written and read with Spark.
 
-``arc_records`` reads ARC bytes by their version's header lines and declared lengths.
+``arc_records`` reads ARC bytes by their version's header lines and declared lengths,
+``read_arc`` whole files of them as streams of lines.
 ``to_warc`` gives each record the WARC fields that ARC lacks: identifier, time stamp,
 type and digest.  ``write_warc`` stores records through Spark's text writer (a record's
 two closing line ends are the line separator, so files are byte-exact WARC, committed
@@ -14,7 +15,6 @@ import base64
 import hashlib
 import re
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,6 +32,23 @@ WARC_SCHEMA = "record_id string, record_type string, target_uri string, date str
 READ_SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, http_header binary, payload binary, headers map<string,string>"
 
 
+def _described(block: bytes) -> tuple[str, ...]:
+    """The header fields that a version block names, else those of its version."""
+    rows = block.decode("utf-8", "replace").splitlines()
+    named = tuple(_ARC_NAMES.get(x) for x in rows[1].split()) if len(rows) > 1 else ()
+    return named if named and all(named) else ARC_FIELDS[rows[0].split()[0]]
+
+
+def _record(line: list[str], fields: tuple[str, ...] | None, block: bytes) -> dict:
+    kind = fields or (ARC_FIELDS["2"] if len(line) >= len(ARC_FIELDS["2"]) else ARC_FIELDS["1"])
+    spare = len(line) - len(kind)  # a content type may hold blanks
+    if spare > 0:
+        i = kind.index("mime")
+        line[i : i + spare + 1] = [" ".join(line[i : i + spare + 1])]
+    out = dict(zip(kind, line, strict=True)) | {"block": block}
+    return {k: out.get(k) for k in ("url", "ip", "date", "mime", "status", "block")}
+
+
 def arc_records(data: bytes) -> Iterator[dict]:
     """The URL records of one ARC archive, or of a run of its records.
 
@@ -54,17 +71,39 @@ def arc_records(data: bytes) -> Iterator[dict]:
             raise ValueError(f"ARC record at byte {at} declares {length} bytes and has {len(block)}")
         at = end + 1 + length
         if line[0].startswith("filedesc:"):
-            rows = block.decode("utf-8", "replace").splitlines()
-            named = tuple(_ARC_NAMES.get(x) for x in rows[1].split()) if len(rows) > 1 else ()
-            fields = named if named and all(named) else ARC_FIELDS[rows[0].split()[0]]
+            fields = _described(block)
             continue
-        kind = fields or (ARC_FIELDS["2"] if len(line) >= len(ARC_FIELDS["2"]) else ARC_FIELDS["1"])
-        spare = len(line) - len(kind)  # a content type may hold blanks
-        if spare > 0:
-            i = kind.index("mime")
-            line[i : i + spare + 1] = [" ".join(line[i : i + spare + 1])]
-        out = dict(zip(kind, line, strict=True)) | {"block": block}
-        yield {k: out.get(k) for k in ("url", "ip", "date", "mime", "status", "block")}
+        yield _record(line, fields, block)
+
+
+def arc_stream(lines: Iterable[tuple[int, bytes]]) -> Iterator[dict]:
+    """The URL records of ARC files that come line by line, without line ends, each line with a
+    number of its file. One record is held at a time; a line end may be missing at a file's end."""
+    held, fields, head, need, now = bytearray(), None, None, 0, None
+    for file, text in lines:
+        if file != now:
+            if head is not None:
+                raise ValueError(f"the ARC record of {head[0]} declares {need} bytes and has {len(held)}")
+            held, fields, now = bytearray(), None, file
+        if head is None:
+            line = text.rstrip(b"\r")
+            if line:
+                head = line.decode("utf-8", "replace").split(" ")
+                need = int(head[-1])
+        else:
+            held += text
+            held += b"\n"
+        if head is not None and len(held) >= need:
+            block, rest = bytes(held[:need]), held[need:].strip(b"\r\n")
+            if rest:  # a block ends within a line only where the line end after it is missing
+                raise ValueError(f"the ARC record of {head[0]} contradicts its declared length {need}")
+            if head[0].startswith("filedesc:"):
+                fields = _described(block)
+            else:
+                yield _record(head, fields, block)
+            held, head = bytearray(), None
+    if head is not None:
+        raise ValueError(f"the ARC record of {head[0]} declares {need} bytes and has {len(held)}")
 
 
 def digest_of(payload: bytes) -> str:
@@ -129,15 +168,21 @@ def to_warc(archives: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """WARC fields of all records in the ARC files at ``path`` (plain or gzip)."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """WARC fields of all records in the ARC files at ``path``, plain or ``.gz`` (one member or many).
+
+    Files come as lines through Spark's text reader and are put together by declared lengths:
+    a task holds one record, whatever a file's size. A compressed file is one task's stream;
+    the lines of plain files, which Spark may cut, are brought together and sorted by file.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").endswith(".gz").alias("zipped"), F.col("_metadata.file_block_start").alias("start"))
+    plain = lines.where("NOT zipped").withColumn("place", F.monotonically_increasing_id()).repartition("file").sortWithinPartitions("file", "start", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                yield from _rows((warc_fields(r) for r in arc_records(_plain(x.as_py()))), _WARC_NAMES, _WARC_TYPES)
+        each = ((f.as_py(), v.as_py()) for batch in batches for f, v in zip(batch.column(0), batch.column(1), strict=True))
+        yield from _rows((warc_fields(r) for r in arc_stream(each)), _WARC_NAMES, _WARC_TYPES)
 
-    return files.mapInArrow(run, WARC_SCHEMA)
+    streamed = lines.where("zipped").select("file", "value").mapInArrow(run, WARC_SCHEMA)
+    return streamed.unionByName(plain.select("file", "value").mapInArrow(run, WARC_SCHEMA))
 
 
 def mark_revisits(records: DataFrame, order: str, *, digest: str = "payload_digest") -> DataFrame:
@@ -178,18 +223,6 @@ def write_warc(records: DataFrame, path: str, *, extra: dict[str, str] | None =
     records.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _plain(data: bytes) -> bytes:
-    """A file's bytes without gzip, whether it has one member or many."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
-
-
 _END = b"\r\n\r\n"
 
 

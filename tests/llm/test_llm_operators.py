@@ -447,6 +447,31 @@ def test_arc_versions(spark, tmp_path):
         list(archives.arc_records(one[:-3]))
 
 
+def test_arc_files_are_read_as_streams(spark, tmp_path):
+    """Plain files that Spark cuts into many parts, and a file of many gzip members; any bytes in blocks."""
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 256, int(n), np.uint8).tobytes() for n in rng.integers(0, 4000, 300)] + [b"", b"\n", b"\r\n\r\n", b"x" * 300_000]
+    records = [f"dns:h{i} 1.2.3.4 19970101120000 text/dns {len(b)}\n".encode() + b + b"\n" for i, b in enumerate(blocks)]
+    (tmp_path / "a.arc").write_bytes(b"".join(records[:150]))
+    (tmp_path / "b.arc").write_bytes(b"".join(records[150:200]).rstrip(b"\n") + b"\n" if records[199][-2:] != b"\n\n" else b"".join(records[150:200]))
+    (tmp_path / "c.arc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[200:]))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r.target_uri: bytes(r.payload) for r in archives.read_arc(spark, str(tmp_path / "*.arc*")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == {f"dns:h{i}": b for i, b in enumerate(blocks)}
+    lines = [(1, x) for x in (records[0] + records[3]).split(b"\n")]
+    assert [r["block"] for r in archives.arc_stream(lines)] == [blocks[0], blocks[3]]
+    with pytest.raises(ValueError, match="declares"):
+        list(archives.arc_stream([(1, b"dns:h 1.2.3.4 19970101120000 text/dns 50"), (1, b"short"), (2, b"")]))
+    with pytest.raises(ValueError, match="contradicts"):
+        list(archives.arc_stream([(1, b"dns:h 1.2.3.4 19970101120000 text/dns 5"), (1, b"much longer")]))
+    (tmp_path / "e.arc").write_bytes(b"")
+    assert archives.read_arc(spark, str(tmp_path / "e.arc")).count() == 0
+
+
 # ---- main text
 
 
