@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, times, urls
-from ..operators import clusters, embedding, exports, extract, feeds, handoff, quota, reports, retention, similarity, upsert
+from ..operators import clusters, embedding, exports, extract, feeds, handoff, quota, reports, retention, similarity, text_join, upsert
 from ..sources.readers import union_sources
 from ..sources.tables import table, written
 from ..streaming.streams import ready_sessions
@@ -87,17 +87,8 @@ WHERE len(list_intersect(a.t, b.t)) >= 2 AND len(list_intersect(a.t, b.t)) / len
 def title_jaccard_pairs(spark, d):
     """Pairs of titles of one language with Jaccard of at least 0.35: met by their rarest tokens
     only (prefix filter), so a frequent token pairs nobody by itself."""
-    t = A.articles(spark, d).select("article_id", "language", text.title_tokens(F.col("title")).alias("t")).where(F.size("t") >= 2)
-    each = t.select("article_id", "language", F.size("t").alias("n"), F.explode("t").alias("w"))
-    counts = each.groupBy("language", "w").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, ["language", "w"]).groupBy("article_id", "language", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    prefix = ranked.select("article_id", "language", "n", F.explode(F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * 0.35).cast("int") + 1)).alias("x")).select("article_id", "language", "n", F.col("x.w").alias("w"))
-    other = prefix.withColumnsRenamed({"article_id": "b", "language": "l2", "n": "n2", "w": "w2"})
-    sized = (F.least("n", "n2") >= 0.35 * F.greatest("n", "n2")) & (F.col("article_id") < F.col("b"))
-    pairs = prefix.join(other, (F.col("w") == F.col("w2")) & (F.col("language") == F.col("l2")) & sized).select(F.col("article_id").alias("a"), "b").distinct()
-    x = pairs.join(t.select(F.col("article_id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("article_id").alias("b"), F.col("t").alias("tb")), "b")
-    s, j = text.shared_tokens(F.col("ta"), F.col("tb")), text.token_jaccard(F.col("ta"), F.col("tb"))
-    return x.select("a", "b", s.alias("shared"), j.alias("j")).where("shared >= 2 AND j >= 0.35").select("a", "b", "shared", F.round("j", 4).alias("jaccard"))
+    titles = A.articles(spark, d).select("article_id", "language", text.title_tokens(F.col("title")).alias("t"))
+    return text_join.similar_token_sets(titles, "article_id", "language", "t", least=0.35, shared=2).select("a", "b", "shared", F.round("jaccard", 4).alias("jaccard"))
 
 
 @query("SELECT page_id, rtrim(lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/') AS url FROM pages")
