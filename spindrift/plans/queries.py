@@ -315,7 +315,7 @@ def embed_articles(spark, d):
     return out.select("article_id", "model_name", "text_hash", "dim", signs.alias("signs"), F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("positive"), F.round(similarity.dot(v, v), 4).alias("norm"))
 
 
-@query(f"WITH {A.ARTICLES} SELECT article_id, article_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0) AS renewed FROM articles WHERE trim({EMB}) <> '' OR article_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0)")
+@query(f"WITH {A.ARTICLES} SELECT vec_id AS article_id, false AS renewed FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT article_id, true FROM articles WHERE trim({EMB}) <> '' AND article_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0)")
 def stale_embeddings(spark, d):
     """Vectors of another model go, and their articles are encoded anew with those that had none."""
     name = F.when(F.col("vec_id") % 3 == 0, "old-64").otherwise("hashed-64")
