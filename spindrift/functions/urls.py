@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Query parameters that only track.
 TRACKING = ("utm_", "fbclid", "gclid", "mc_cid", "mc_eid")
+#: What the address of a wide image asks for.
+IMAGE_WIDTH, IMAGE_AUTO, IMAGE_FIT = 1200, "auto=format%2Ccompress", "fit=max"
 #: Publisher names and hosts with their rank as a source of images and their page id.
 NAME_RANK = {"the hindu": 1, "hindu": 1, "the indian express": 3, "indian express": 3, "the new indian express": 3, "new indian express": 3, "the times of india": 2, "times of india": 2, "toi": 2}
 HOST_RANK = (("indianexpress.com", 3), ("newindianexpress.com", 3), ("timesofindia.com", 2), ("indiatimes.com", 2), ("thehindu.com", 1))
@@ -99,7 +101,7 @@ def best_of_srcset(srcset: Column) -> Column:
     return F.array_max(F.filter(each, lambda x: x["u"] != ""))["u"]
 
 
-def upgrade_image(url: Column, image_host: str, width: int = 1200) -> Column:
+def upgrade_image(url: Column, image_host: str, width: int = IMAGE_WIDTH) -> Column:
     """For images of ``image_host``: the query with w set and auto and fit given where absent;
     other addresses only become absolute. Empty is null."""
     one = F.when(F.contains(url, F.lit(",")) & F.contains(url, F.lit("w")), F.coalesce(best_of_srcset(url), url)).otherwise(F.trim(url))
@@ -107,16 +109,16 @@ def upgrade_image(url: Column, image_host: str, width: int = 1200) -> Column:
     pairs = F.filter(F.split(F.regexp_replace(_part(full, 4), r"^\?", ""), "&"), lambda x: F.contains(x, F.lit("=")) & ~F.endswith(x, F.lit("=")))
     names = F.transform(pairs, lambda x: F.substring_index(x, "=", 1))
     with_w = F.when(F.array_contains(names, "w"), F.transform(pairs, lambda x: F.when(F.substring_index(x, "=", 1) == "w", F.lit(f"w={width}")).otherwise(x))).otherwise(F.array_append(pairs, F.lit(f"w={width}")))
-    with_auto = F.when(F.array_contains(names, "auto"), with_w).otherwise(F.array_append(with_w, F.lit("auto=format%2Ccompress")))
-    with_fit = F.when(F.array_contains(names, "fit"), with_auto).otherwise(F.array_append(with_auto, F.lit("fit=max")))
+    with_auto = F.when(F.array_contains(names, "auto"), with_w).otherwise(F.array_append(with_w, F.lit(IMAGE_AUTO)))
+    with_fit = F.when(F.array_contains(names, "fit"), with_auto).otherwise(F.array_append(with_auto, F.lit(IMAGE_FIT)))
     upgraded = F.concat(_part(full, 1), F.lit("://"), _part(full, 2), _part(full, 3), F.lit("?"), F.array_join(with_fit, "&"))
     return F.when(F.contains(full, F.lit(image_host)), upgraded).otherwise(full)
 
 
-def image_of_key(key: Column, base: str, width: int = 1200) -> Column:
+def image_of_key(key: Column, base: str, width: int = IMAGE_WIDTH) -> Column:
     """The address of a stored image under ``base``: its key percent-encoded whole, slashes too."""
     path = F.replace(F.url_encode(F.regexp_replace(F.trim(key), "^/+", "")), F.lit("+"), F.lit("%20"))
-    return F.concat(F.lit(base), path, F.lit(f"?w={width}&auto=format%2Ccompress&fit=max"))
+    return F.concat(F.lit(base), path, F.lit(f"?w={width}&{IMAGE_AUTO}&{IMAGE_FIT}"))
 
 
 def hero_address(original: Column, key: Column, *, image_host: str, old_host: str, base: str) -> Column:
