@@ -89,7 +89,8 @@ class Tokens:
 
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and one ``end_id``, cut
-    into pieces of ``capacity`` where it is longer. A null text is an empty one."""
+    from its end into pieces of ``capacity`` where it is longer, so that only the first piece
+    may be shorter. A null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, checked = Tokens(tokenizer_path), False  # gone when the task ends
@@ -101,8 +102,10 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
                         tokens.check(text)
                         checked = True
                     ids = np.append(tokens.ids(text), np.uint32(end_id)) if text else np.array([end_id], "<u4")
-                    for p, start in enumerate(range(0, len(ids), capacity)):
-                        part = np.ascontiguousarray(ids[start : start + capacity], "<u4")
+                    first = len(ids) % capacity or min(len(ids), capacity)
+                    for p, end in enumerate(range(first, len(ids) + 1, capacity)):
+                        start = max(end - capacity, 0)
+                        part = np.ascontiguousarray(ids[start:end], "<u4")
                         out.append((key, p, start, len(part), zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -179,8 +182,8 @@ def best_fit_packing(documents: DataFrame, tokenizer_path: str, capacity: int =
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and one closing id 0; null and empty texts are that one id. Only
-    documents longer than ``capacity`` are cut. An empty table gives no rows; repeated
-    rows are packed each; other columns are ignored.
+    documents longer than ``capacity`` are cut, and only their first piece may be shorter. An
+    empty table gives no rows; repeated rows are packed each; other columns are ignored.
     """
     cut = written(token_pieces(documents, tokenizer_path, capacity, id_col=id_col, text_col=text_col), "pieces")
     return pack(cut, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -400,6 +400,17 @@ def test_tokens_of_texts_with_added_tokens(spark):
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
 
 
+def test_only_the_first_piece_of_a_document_is_shorter(spark):
+    rows = [(n, " word" * (n - 1)) for n in (1, 2047, 2048, 2049, 4096, 5000, 6145)]  # a token each, and the closing one
+    got = {}
+    for r in packing.token_pieces(frame(spark, rows), TOKENIZER).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+    assert {i: sorted(x) for i, x in got.items()} == {
+        1: [(0, 0, 1)], 2047: [(0, 0, 2047)], 2048: [(0, 0, 2048)], 2049: [(0, 0, 1), (1, 1, 2048)], 4096: [(0, 0, 2048), (1, 2048, 2048)],
+        5000: [(0, 0, 904), (1, 904, 2048), (2, 2952, 2048)], 6145: [(0, 0, 1), (1, 1, 2048), (2, 2049, 2048), (3, 4097, 2048)],
+    }
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(3)
     histogram = {rng.randrange(1, 700): rng.randrange(1, 5000) for _ in range(300)} | {2048: 7, 2000: 3}
