@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import shared_tokens, title_tokens, token_jaccard
 from ..sources.tables import written
 from .components import components, linked_components, roots
-from .similarity import close_clusters, max_pair_similarity, neighbours, store_vectors
+from .similarity import close_clusters, neighbours, store_vectors
 
 
 def _order() -> list:
@@ -91,16 +91,12 @@ class MergeRules:
 def merge_scores(clusters: DataFrame, members: DataFrame, rules: MergeRules = MergeRules()) -> DataFrame:
     """a, b, the scores of pairs of clusters in one window, reasons, merge.
 
-    Pairs that neither their centroids nor the bound on their members' similarity could join
-    are left out (``close_clusters``); members are multiplied only for those that remain.
+    Pairs that neither their centroids nor their members could join are left out
+    (``close_clusters``), before there is a row of them.
     """
-    close = written(close_clusters(clusters, members, hours=rules.hours, centroid=rules.centroid, pair=rules.pair, soft=rules.soft), "close")
-    open_ = close.where("max_pair IS NULL").select("a", "b")
-    larger = members.join(open_.select(F.explode(F.array("a", "b")).alias("cluster_id")).distinct(), "cluster_id", "left_semi")
+    close = close_clusters(clusters, members, hours=rules.hours, centroid=rules.centroid, pair=rules.pair, soft=rules.soft)
     t = clusters.select("cluster_id", title_tokens(F.col("title_hint")).alias("tokens"))
     both = close.join(t.withColumnsRenamed({"cluster_id": "a", "tokens": "t"}), "a").join(t.withColumnsRenamed({"cluster_id": "b", "tokens": "u"}), "b")
-    if not open_.isEmpty():
-        both = both.join(max_pair_similarity(open_, larger).withColumnRenamed("max_pair", "found"), ["a", "b"], "left").withColumn("max_pair", F.coalesce("max_pair", "found"))
     some = (F.size("t") > 0) & (F.size("u") > 0)
     scored = both.select("a", "b", "centroid_sim", "max_pair", token_jaccard(F.col("t"), F.col("u")).alias("jaccard"), F.when(some, shared_tokens(F.col("t"), F.col("u"))).otherwise(0).alias("shared_tokens"))
     soft = (F.col("centroid_sim") >= rules.soft) & (F.col("jaccard") >= rules.title) & (F.col("shared_tokens") >= rules.tokens)

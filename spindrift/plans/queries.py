@@ -408,7 +408,7 @@ MPAIR = f"{CPAIRS}, mp AS (SELECT a, b, max(list_dot_product(x.u, y.u)) AS max_p
 @query(f"WITH RECURSIVE {MPAIR} SELECT a, b, round(max_pair, 4) AS max_pair FROM mp")
 def pair_max_sim(spark, d):
     m = _members(spark, d)
-    return similarity.max_pair_similarity(similarity.overlapping_pairs(clusters.cluster_attributes(m)), m).select("a", "b", F.round("max_pair", 4).alias("max_pair"))
+    return similarity.pair_similarities(clusters.cluster_attributes(m), m).select("a", "b", F.round("max_pair", 4).alias("max_pair"))
 
 
 SCORES = f"""{MPAIR}, sc AS (SELECT cp.a, cp.b, list_dot_product(x.c, y.c) AS cs, max_pair AS mpv, {TOKENS.format('ta')} AS t, {TOKENS.format('tb')} AS u FROM cp JOIN mp USING (a, b) JOIN centre x ON x.cluster_id = cp.a JOIN centre y ON y.cluster_id = cp.b),

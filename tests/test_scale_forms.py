@@ -114,6 +114,30 @@ def test_bounds_leave_out_only_what_cannot_merge(spark, monkeypatch, together):
     assert {(r.a, r.b) for r in scores.where("merge").collect()} >= {p for p, (s, m) in want.items() if s >= 0.7 + 1e-9 or m >= 0.75 + 1e-9}
 
 
+@pytest.mark.parametrize("together", [100, 1])
+def test_pairs_of_clusters_come_with_their_members_similarity(spark, monkeypatch, together):
+    monkeypatch.setattr(similarity, "PACK_ROWS", 16)
+    monkeypatch.setattr(similarity, "SLICE", 8)  # the large cluster is several rows of packs
+    monkeypatch.setattr(similarity, "TOGETHER", together)
+    rows, unit = vectors(np.random.default_rng(14), 150, hours=300)
+    own = {i: 0 if i < 40 else i // 3 for i, *_ in rows}
+    df = article_frame(spark, rows).withColumn("cluster_id", F.when(F.col("article_id") < 40, 0).otherwise(F.floor(F.col("article_id") / 3))).withColumn("scope", F.lit(None).cast("string"))
+    c = clusters.cluster_attributes(df)
+    members = {k: np.array([unit[i] for i in own if own[i] == k]) for k in set(own.values())}
+    want = {(r.a, r.b): (members[r.a] @ members[r.b].T).max() for r in similarity.overlapping_pairs(c).collect()}
+    got = similarity.pair_similarities(c, df).collect()
+    assert len(got) == len(want) and all(abs(want[r.a, r.b] - r.max_pair) < 1e-9 for r in got)
+    close = similarity.close_clusters(c, df, hours=48, centroid=2.0, pair=0.9, soft=2.0).collect()  # a row for pairs that can merge only
+    assert {(r.a, r.b) for r in close} == {p for p, x in want.items() if x >= 0.9} and 0 < len(close) < len(want)
+    assert all(abs(want[r.a, r.b] - r.max_pair) < 1e-9 for r in close)
+
+
+def test_copies_of_packs_are_bounded():
+    assert similarity._grid(0, 0) == similarity._grid(4, 90) == 1
+    assert [similarity._grid(n, n) for n in (8, 32, 400, 40_000)] == [2, 8, 8, 8]  # one hot group, however large
+    assert similarity._grid(40, 8000) == 2  # many groups are keys enough
+
+
 def test_survivors(spark):
     groups = spark.createDataFrame([(1, 1, 5, None), (2, 1, 7, 1), (3, 1, 7, 2), (4, 1, 7, 2), (5, 5, 1, None)], "id long, component long, n int, day int").withColumn("at", F.timestamp_seconds(F.col("day") * 86400))
     got = clusters.survivors(groups, -F.col("n"), *clusters._latest_first("at")).collect()
