@@ -12,22 +12,36 @@ def similar_token_sets(sets: DataFrame, id_col: str, group: str, tokens: str, *,
     """a, b (a < b), shared, jaccard: pairs of rows of one group whose token sets have at least
     ``least`` Jaccard similarity and ``shared`` common tokens.
 
+    Rows with one set are a class, and classes meet: copies become pairs in the result only.
     Two sets that are so similar share one of their rarest tokens (a prefix of the set in order
     of frequency), so rows meet by these only, and a frequent token pairs nobody by itself.
     Tokens are numbers from then on, and a candidate is checked with one intersection. Sets
     and their numbered forms are written to the shared folder, as they are read several times.
     Ids are unique; rows without tokens, or with a null group, meet nobody.
     """
-    t = written(sets.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(tokens).alias("t")).where((F.size("t") >= shared) & (F.size("t") > 0) & F.col("g").isNotNull()), "sets")
-    each = t.select("id", "g", F.explode("t").alias("w"))
+    t = written(sets.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.array_sort(tokens).alias("t")).where((F.size("t") >= shared) & (F.size("t") > 0) & F.col("g").isNotNull()), "sets")
+    named = t.select("id", "g", F.sha2(F.array_join("t", "\x00"), 256).alias("set"))
+    classes = written(t.groupBy("g", F.sha2(F.array_join("t", "\x00"), 256).alias("set")).agg(F.any_value("t").alias("t")).withColumn("c", F.monotonically_increasing_id()), "classes")
+    members = written(named.join(classes.select("g", "set", "c"), ["g", "set"]).select("id", "c"), "members")
+    each = classes.select("c", "g", F.explode("t").alias("w"))
     words = written(each.groupBy("g", "w").agg(F.count("*").alias("df")).withColumn("n", F.monotonically_increasing_id()), "words")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "n"))), lambda x: x["n"])
-    ranked = written(each.join(words, ["g", "w"]).groupBy("id", "g").agg(ordered.alias("s")), "ranked")
+    ranked = written(each.join(words, ["g", "w"]).groupBy("c").agg(ordered.alias("s")), "ranked")
     size = F.size("s")
-    prefix = ranked.select("id", size.alias("size"), F.explode(F.slice("s", 1, size - F.ceil(size * least - 1e-9).cast("int") + 1)).alias("n"))
-    other = prefix.withColumnsRenamed({"id": "b", "size": "size2"})
-    sized = (F.least("size", "size2") >= least * F.greatest("size", "size2") - 1e-9) & (F.col("id") < F.col("b"))
-    pairs = prefix.join(other, "n").where(sized).select(F.col("id").alias("a"), "b").distinct()
-    both = pairs.join(ranked.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(ranked.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    met = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("shared")).where(F.col("shared") >= shared)
-    return met.select("a", "b", "shared", (F.col("shared") / (F.col("sizes") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    prefix = ranked.select("c", size.alias("size"), F.posexplode(F.slice("s", 1, size - F.ceil(size * least - 1e-9).cast("int") + 1)).alias("at", "n"))
+    other = prefix.withColumnsRenamed({"c": "d", "size": "size2", "at": "at2"})
+    sized = (F.least("size", "size2") >= least * F.greatest("size", "size2") - 1e-9) & (F.col("c") < F.col("d"))
+    # with a common token at these places, so many can be common at most besides those before it
+    after = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
+    before = F.least("at", "at2")
+    most = before + after
+    useful = (most >= shared) & (most * (1 + least) >= least * (F.col("size") + F.col("size2")) - 1e-9)
+    pairs = prefix.join(other, "n").where(sized & useful).select("c", "d").distinct()
+    both = pairs.join(ranked.select("c", F.col("s").alias("x")), "c").join(ranked.select(F.col("c").alias("d"), F.col("s").alias("y")), "d")
+    met = both.select("c", "d", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("shared")).where(F.col("shared") >= shared)
+    met = met.select("c", "d", "shared", (F.col("shared") / (F.col("sizes") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    own = ranked.select("c", F.col("c").alias("d"), F.size("s").alias("shared"), F.lit(1.0).alias("jaccard")).where(F.lit(1.0) >= least)
+    linked = written(met.unionByName(own), "linked")
+    one, two = members.select(F.col("id").alias("i"), "c"), members.select(F.col("id").alias("j"), F.col("c").alias("d"))
+    rows = linked.join(one, "c").join(two, "d").where((F.col("c") != F.col("d")) | (F.col("i") < F.col("j")))
+    return rows.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", "jaccard")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from spindrift.operators import clusters, components, embedding, extract, quota, upsert
+from spindrift.operators.text_join import similar_token_sets
 from spindrift.sources import readers
 from spindrift.streaming import streams
 
@@ -112,3 +113,15 @@ def test_streams(spark, tmp_path):
     q = streams.dedup_stream(stream, "url", "ts").writeStream.format("memory").queryName("dedup").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("dedup").count() == 2
+
+
+def test_copies_of_token_sets_meet_once(spark):
+    rows = [(i, "g", ["a", "b", "c"] if i % 2 else ["c", "b", "a"]) for i in range(60)] + [(60 + i, "g", ["a", "b", "d"]) for i in range(50)] + [(200, "h", ["a", "b", "c"])]
+    out = similar_token_sets(spark.createDataFrame(rows, "id long, g string, t array<string>"), "id", "g", "t", least=0.5, shared=2)
+    got = {(r.a, r.b): (r.shared, r.jaccard) for r in out.collect()}
+    assert got == {(a, b): (3, 1.0) if (a < 60) == (b < 60) else (2, 0.5) for a in range(110) for b in range(a + 1, 110)}
+    sizes = []
+    for path in {f.rpartition("/")[0] for f in out.inputFiles()}:
+        if "/linked-" in path:
+            sizes.append(spark.read.parquet(path.removeprefix("file://")).count())
+    assert sizes == [4]  # three classes and the one pair of them, whatever the copies
