@@ -138,6 +138,13 @@ def test_copies_of_packs_are_bounded():
     assert similarity._grid(40, 8000) == 2  # many groups are keys enough
 
 
+def test_packs_come_to_python_in_small_batches(spark):
+    rows, _ = vectors(np.random.default_rng(3), 30)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    similarity.neighbours(article_frame(spark, rows), k=2)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == similarity.BATCH_BYTES <= 8 << 20
+
+
 def test_survivors(spark):
     groups = spark.createDataFrame([(1, 1, 5, None), (2, 1, 7, 1), (3, 1, 7, 2), (4, 1, 7, 2), (5, 5, 1, None)], "id long, component long, n int, day int").withColumn("at", F.timestamp_seconds(F.col("day") * 86400))
     got = clusters.survivors(groups, -F.col("n"), *clusters._latest_first("at")).collect()
