@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -61,48 +63,73 @@ def ready_sessions(events: DataFrame, key: str, ts: str, *, quiet: str = "10 min
 # ---- rules that need the order of events
 
 
+#: Rows of one value of the state, about: state is read and written value by value.
+HELD_ROWS = 20_000
+
+
+def _held_values(frames: Iterator[pd.DataFrame], ts: str) -> Iterator[tuple[int, bytes]]:
+    """The smallest time of some rows and the rows, as arrays, about HELD_ROWS in a value."""
+    some: list[pd.DataFrame] = []
+    for f in itertools.chain(frames, [None]):
+        if f is not None and len(f):
+            some.append(f)
+        if some and (f is None or sum(map(len, some)) >= HELD_ROWS):
+            rows, some = pd.concat(some, ignore_index=True), []
+            yield int(rows[ts].min()), pickle.dumps({c: rows[c].to_numpy() for c in rows.columns}, protocol=5)
+
+
 class _InOrder(StatefulProcessor):
-    """Rows wait until the watermark has passed their time, then go through a step in order."""
+    """Rows wait until the watermark has passed their time, then go through a step in order.
 
-    def __init__(self, ts: str, order: list[str], step: Step, names: list[str], kept: list[str], rows: StructType, memory: StructType, horizon_ms: int | None):
+    Waiting rows are held many in a value; values whose rows all wait on aren't opened.
+    """
+
+    def __init__(self, ts: str, order: list[str], step: Step, names: list[str], kept: list[str], memory: StructType, horizon_ms: int | None):
         self._ts, self._order, self._step, self._names, self._kept = ts, order, step, names, kept
-        self._schemas, self._horizon = (rows, memory), horizon_ms
+        self._memory_schema, self._horizon = memory, horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self._schemas[0])
-        self._memory = handle.getValueState("memory", self._schemas[1])
+        self._waiting = handle.getListState("waiting", "low long, held binary")
+        self._memory = handle.getValueState("memory", self._memory_schema)
+
+    def _settle(self, key: tuple, frames: Iterator[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        before = [(int(low), bytes(held)) for low, held in self._waiting.get()] if self._waiting.exists() else []
+        stay, opened = [v for v in before if v[0] > watermark], [v for v in before if v[0] <= watermark]
+        due: list[pd.DataFrame] = []
 
-    def _settle(self, key: tuple, waiting: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
-        at = waiting[self._ts].astype("int64") if len(waiting) else pd.Series([], dtype="int64")
-        due = waiting[at <= watermark].sort_values(self._order)
-        later = waiting[at > watermark]
+        def later() -> Iterator[pd.DataFrame]:
+            for rows in itertools.chain((pd.DataFrame(pickle.loads(held)) for _, held in opened), frames):
+                past = rows[self._ts] <= watermark
+                due.append(rows[past])
+                yield rows[~past]
+
+        new = list(_held_values(later(), self._ts))
         memory, out = self._memory.get() if self._memory.exists() else None, []
-        for row in due.itertuples(index=False):
+        ready = pd.concat([f for f in due if len(f)], ignore_index=True).sort_values(self._order) if any(map(len, due)) else pd.DataFrame([], columns=self._kept)
+        for row in ready.itertuples(index=False):
             memory, rows = self._step(memory, row)
             out += [(*key, *r) for r in rows]
-        self._waiting.put([tuple(r) for r in later.itertuples(index=False)]) if len(later) else self._waiting.clear()
-        if memory is not None and len(due):
+        if opened:
+            self._waiting.put(stay + new) if stay or new else self._waiting.clear()
+        elif new:
+            self._waiting.appendList(new)
+        if memory is not None and len(ready):
             self._memory.update(tuple(memory))
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        if len(later):
-            self._handle.registerTimer(int(at[at > watermark].min()))
-        elif self._horizon is not None and len(due):
-            self._handle.registerTimer(int(at.max()) + self._horizon)
+        if stay or new:
+            self._handle.registerTimer(min(low for low, _ in stay + new))
+        elif self._horizon is not None and len(ready):
+            self._handle.registerTimer(int(ready[self._ts].max()) + self._horizon)
         yield pd.DataFrame(out, columns=self._names)
 
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame(list(self._waiting.get()) if self._waiting.exists() else [], columns=self._kept)
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        frames = [self._held(), *(f[self._kept] for f in rows)]
-        yield from self._settle(key, pd.concat([f for f in frames if len(f)] or frames[:1], ignore_index=True), timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, (f[self._kept] for f in rows), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = self._held()
-        if len(held):
-            yield from self._settle(key, held, timerValues.getCurrentWatermarkInMs())
+        if self._waiting.exists():
+            yield from self._settle(key, iter(()), timerValues.getCurrentWatermarkInMs())
         else:
             self._memory.clear()
             yield pd.DataFrame([], columns=self._names)
@@ -125,7 +152,6 @@ def in_event_order(stream: DataFrame, key: str, ts: str, step: Step, *, out: str
     """
     kept = [c for c in stream.columns if c != key]
     rows = stream.withWatermark(ts, late).withColumn("event_ms", F.unix_millis(ts))
-    held = rows.select(*[F.col("event_ms").alias(c) if c == ts else F.col(c) for c in kept]).schema
     kind = stream.select(key).schema[0].dataType.simpleString()
     shaped = StructType.fromDDL(f"{key} {kind}, {out}")
 
@@ -133,7 +159,7 @@ def in_event_order(stream: DataFrame, key: str, ts: str, step: Step, *, out: str
         def handleInputRows(self, k: tuple, frames: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
             yield from super().handleInputRows(k, (f.drop(columns=[ts]).rename(columns={"event_ms": ts}) for f in frames), timers)
 
-    processor = Processor(ts, [ts, *order], step, shaped.names, kept, held, StructType.fromDDL(memory), forget_ms)
+    processor = Processor(ts, [ts, *order], step, shaped.names, kept, StructType.fromDDL(memory), forget_ms)
     return rows.groupBy(key).transformWithStateInPandas(processor, shaped, "append", "eventtime")
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -248,6 +249,66 @@ def test_quota_of_a_stream_equals_the_batch_rule(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, kept.collect()))
 
 
+def test_waiting_rows_are_held_many_in_a_value():
+    class State:
+        def __init__(self):
+            self.values = None
+
+        def exists(self):
+            return self.values is not None
+
+        def get(self):
+            return self.values if isinstance(self.values, tuple) else iter(self.values)
+
+        def put(self, values):
+            self.values = list(values)
+
+        def appendList(self, values):  # noqa: N802
+            self.values = (self.values or []) + list(values)
+
+        def update(self, value):
+            self.values = value
+
+        def clear(self):
+            self.values = None
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def getListState(self, name, schema):  # noqa: N802
+            return self.states.setdefault(name, State())
+
+        getValueState = getListState  # noqa: N815
+
+        def listTimers(self):  # noqa: N802
+            return self.timers
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    step = lambda memory, row: (((memory or (0,))[0] + 1,), [(row.i, row.name)])
+    p = streams._InOrder("ts", ["ts", "i"], step, ["k", "i", "name"], ["ts", "i", "name"], "n long", None)
+    handle, n, got = Handle(), 5000, []
+    p.init(handle)
+    rows = pd.DataFrame({"ts": [i * 7919 % n for i in range(n)], "i": range(n), "name": [None if i % 3 else f"n{i}" for i in range(n)]})
+    waiting = handle.states["waiting"]
+    for at, frames in ((-1, [rows[:2000], rows[2000:3000]]), (-1, [rows[3000:4000]]), (2499, [rows[4000:]])):
+        got += pd.concat(p.handleInputRows(("a",), iter(frames), Now(at))).values.tolist()
+        assert len(waiting.values) <= 2  # before: a value for each waiting row
+    assert len(got) == 2500 and handle.timers == [2500]
+    got += pd.concat(p.handleExpiredTimer(("a",), Now(n), None)).values.tolist()
+    assert not waiting.exists() and handle.states["memory"].values == (n,)
+    assert got == [["a", i, name] for i, name in rows.sort_values("ts")[["i", "name"]].itertuples(index=False)]
+
+
 def test_two_stages(spark):
     c = spark.createDataFrame([(1, "India", "ready_for_llm"), (2, "India", "open"), (3, "World", "ready_for_llm"), (4, "World", "ready_for_llm"), (5, None, "ready_for_llm")], "cluster_id long, scope string, status string")
     m = spark.createDataFrame([(k, 10 * k + i, f"t{k}", f"u{k}{i}") for k in (1, 2, 3, 4, 5) for i in (0, 1)], "cluster_id long, article_id long, title string, url string")
