@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import closing
 from functools import reduce
+from itertools import batched
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: An article record as it is exchanged; time stamps are ISO strings.
 ARTICLE_DDL = (
@@ -72,6 +77,62 @@ def write_jdbc(df: DataFrame, url: str, name: str, *, parts: int = 8, mode: str
     df.coalesce(parts).write.jdbc(url, name, mode=mode, properties=dict(options))
 
 
+#: Spark's types, Arrow's, and the database's for a new table.
+DATABASE_TYPES = {"bigint": (pa.int64(), "BIGINT"), "int": (pa.int32(), "INTEGER"), "double": (pa.float64(), "DOUBLE PRECISION"), "string": (pa.string(), "TEXT")}
+#: Rows that a task holds of a database's at once.
+DATABASE_ROWS = 10_000
+
+
+def read_database(spark: SparkSession, connect: Callable, name: str, schema: StructType, *, key: str, parts: int, where: str = "1 = 1") -> DataFrame:
+    """A database table's columns of ``schema`` read in ``parts`` ranges of an integer key, by as many
+    connections, for databases with a Python driver: ``connect`` gives a connection (DB-API 2)
+    on the driver and in every task.
+
+    The smallest and the largest key are asked of the database and place the cuts; rows without
+    a key are in the first range. ``where`` is a condition in the database's SQL.
+    """
+    types = [(f.name, DATABASE_TYPES[f.dataType.simpleString()][0]) for f in schema.fields]
+    with closing(connect()) as c:
+        cursor = c.cursor()
+        cursor.execute(f"SELECT MIN({key}), MAX({key}) FROM {name} WHERE {where}")
+        low, high = (int(x or 0) for x in cursor.fetchone())
+    parts = max(1, min(parts, high - low + 1))
+    cuts = [low + (high - low + 1) * i // parts for i in range(1, parts)]
+    first = [f"({key} < {cuts[0]} OR {key} IS NULL)" if cuts else "1 = 1"]
+    ranges = [*first, *[f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])], *[f"{key} >= {c}" for c in cuts[-1:]]]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i in (i for b in batches for i in b.column(0).to_pylist()):
+            with closing(connect()) as c:
+                cursor = c.cursor()
+                cursor.execute(f"SELECT {', '.join(n for n, _ in types)} FROM {name} WHERE ({where}) AND {ranges[i]}")
+                while rows := cursor.fetchmany(DATABASE_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(zip(*rows), types)], [n for n, _ in types])
+
+    return spark.range(0, parts, 1, parts).mapInArrow(read, schema)
+
+
+def write_database(df: DataFrame, connect: Callable, name: str, *, parts: int = 8, mark: str = "?") -> None:
+    """Rows added to a database table, which is made if it isn't there, by at most ``parts`` connections
+    at once, for databases with a Python driver (``connect`` as in ``read_database``; ``mark``
+    stands for a value in its SQL). The rows of a task are one transaction, so a task that
+    failed leaves none; the driver only makes the table."""
+    columns = ", ".join(f"{f.name} {DATABASE_TYPES[f.dataType.simpleString()][1]}" for f in df.schema.fields)
+    with closing(connect()) as c:
+        c.cursor().execute(f"CREATE TABLE IF NOT EXISTS {name} ({columns})")
+        c.commit()
+    put = f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES ({', '.join([mark] * len(df.columns))})"
+
+    def write(rows: Iterator[Row]) -> None:
+        with closing(connect()) as c:
+            cursor = c.cursor()
+            for some in batched(rows, DATABASE_ROWS):
+                cursor.executemany(put, [tuple(r) for r in some])
+            c.commit()
+
+    df.coalesce(parts).foreachPartition(write)
+
+
 def write_articles(df: DataFrame, path: str) -> None:
     """JSON Lines export."""
     df.write.mode("errorifexists").json(path)
